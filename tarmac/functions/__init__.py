@@ -1,7 +1,7 @@
 """Column expressions used by the operators. All of them stay inside the JVM."""
 
 from tarmac.functions.labels import cause_label, named_counts, ranked_counts
-from tarmac.functions.missing import keep_unless, nan_to_null, number_or_zero
+from tarmac.functions.missing import keep_unless, nan_to_null, number_or_zero, text_to_number
 from tarmac.functions.numeric import (
     as_doubles,
     exact_mean,
@@ -26,4 +26,5 @@ __all__ = [
     "ratio",
     "rounded",
     "row_hash",
+    "text_to_number",
 ]

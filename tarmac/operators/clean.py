@@ -59,7 +59,7 @@ def keep_columns(df: DataFrame, wanted: Sequence[str] = tuple(FLIGHT_COLUMNS)) -
 
 def impute_causes(df: DataFrame, columns: Sequence[str] = tuple(CAUSE_COLUMNS.values())) -> DataFrame:
     """Cause minutes as numbers; missing or unreadable minutes mean 0."""
-    return df.withColumns({c: number_or_zero(F.col(c)) for c in columns if c in df.columns})
+    return df.withColumns({c: number_or_zero(df, c) for c in columns if c in df.columns})
 
 
 def clean_flights(

@@ -12,14 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.functions import nan_to_null
+from tarmac.functions import nan_to_null, text_to_number
 from tarmac.schema import CAUSE_COLUMNS, FLIGHT_COLUMNS, RAW_EXTRA_COLUMNS
 
 CORRUPT = "_corrupt_record"
-# Spellings of a missing number in text files.
-MISSING_NUMBERS = ("", "NaN", "nan", "NA", "N/A", "NULL", "null", "None")
-# End of fixed values.
 KNOWN = {**RAW_EXTRA_COLUMNS, **FLIGHT_COLUMNS}
+CAUSES = tuple(CAUSE_COLUMNS.values())
 
 
 class Loaded(NamedTuple):
@@ -31,78 +29,100 @@ def _flag_ok() -> Column:
     return F.coalesce(F.col("cancelled").isin(0, 1), F.lit(False))
 
 
-def _value(text: Column, kind: T.DataType) -> Column:
-    """Typed value of a text cell, NULL if missing or unreadable."""
-    if isinstance(kind, T.StringType):
-        return F.when(text != "", text)
-    if isinstance(kind, T.TimestampType):
-        return F.try_to_timestamp(F.when(text != "", text))
-    present = F.when(~text.isin(*MISSING_NUMBERS), text)
-    number = nan_to_null(present.try_cast("double"))
-    # Whole numbers may be written as 12 or 12.0.
-    return number.try_cast(kind) if isinstance(kind, T.LongType) else number
+def _parsed_as(name: str, strict_dates: bool) -> T.DataType:
+    """Type the text parser has to read a column as.
 
-
-def _unreadable(text: Column, value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StringType):
-        return F.lit(False)
-    blank = ("",) if isinstance(kind, T.TimestampType) else MISSING_NUMBERS
-    return text.isNotNull() & ~text.isin(*blank) & value.isNull()
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",", strict_dates: bool = False) -> Loaded:
+    Whole numbers may be written ``12.0``, so they are read as doubles. Cause minutes stay
+    text, as unreadable ones must not reject the row.
+    """
+    kind = KNOWN.get(name, T.StringType())
+    if name in CAUSES or (isinstance(kind, T.TimestampType) and strict_dates):
+        return T.StringType()
+    return T.DoubleType() if isinstance(kind, T.LongType) else kind
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    null_text: str = "",
+    strict_dates: bool = False,
+) -> Loaded:
     """Delimited text with a header line, columns matched by name.
 
     Only the header is read to learn the names; types are declared, never inferred.
     A row is rejected when it has the wrong number of fields, holds text in a number or
-    date, or has a cancellation flag other than 0 and 1. Unreadable cause minutes do not
-    reject a row, they are left for cleaning. Blank lines and repeated headers are skipped.
-    With ``strict_dates`` an unreadable date stops the job instead.
+    date, or has a cancellation flag other than 0 and 1. Unreadable cause minutes become
+    NULL and are left for cleaning. Blank lines and repeated headers are skipped. Empty
+    cells, ``NaN`` and ``null_text`` are missing values. With ``strict_dates`` an
+    unreadable date stops the job instead.
     """
     reader = spark.read.option("header", True).option("sep", sep)
     names = reader.csv(path).columns
-    text_schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())]
-    )
-    lines = (
-        reader.schema(text_schema)
+    parsed = T.StructType([T.StructField(n, _parsed_as(n, strict_dates)) for n in names])
+    rows = (
+        reader.schema(parsed.add(CORRUPT, T.StringType()))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
+        .option("nullValue", null_text)
         .option("enforceSchema", False)
+        # With pruning a line's field count would be checked against the used columns only.
+        .option("columnPruning", False)
         .csv(path)
     )
-    lines = lines.where(~F.col(names[0]).eqNullSafe(F.lit(names[0])))
-
-    known = {n: KNOWN[n] for n in names if n in KNOWN}
-    reasons = [F.when(F.col(CORRUPT).isNotNull(), F.lit("width"))]
-    values = {}
-    for name, kind in known.items():
-        text = F.coalesce(F.col(name), F.lit(""))
-        value = _value(text, kind)
-        values[name] = value
-        if name in CAUSE_COLUMNS.values():
-            continue
-        if isinstance(kind, T.TimestampType) and strict_dates:
-            values[name] = F.to_timestamp(F.when(text != "", text))
-            continue
-        reasons.append(F.when(_unreadable(text, value, kind), F.lit(name)))
-    if "cancelled" in known:
-        flag = values["cancelled"]
-        odd = F.coalesce(~flag.isin(0, 1), flag.isNull())
-        reasons.append(F.when(F.col(CORRUPT).isNull() & odd, F.lit("flag")))
-    judged = lines.withColumn("_reasons", F.array_distinct(F.array_compact(F.array(*reasons))))
-    good = judged.where(F.size("_reasons") == 0).select(
-        *[v.alias(n) for n, v in values.items()]
-    )
-    record = F.coalesce(
-        F.col(CORRUPT), F.concat_ws(sep, *[F.coalesce(F.col(n), F.lit("")) for n in names])
+    flag_ok = _flag_ok() if "cancelled" in names else F.lit(True)
+    # Spark parses only the columns a query uses. All of them take part here, with a test
+    # that always holds, or a bad cell would go unnoticed whenever its column is unused.
+    every_cell_parsed = F.xxhash64(*names) >= F.lit(-(2**63))
+    whole = F.col(CORRUPT).isNull() & every_cell_parsed
+    good = rows.where(whole & flag_ok).select(
+        *[_value(n, parsed[n].dataType).alias(n) for n in names if n in KNOWN]
     )
-    rejected = judged.where(F.size("_reasons") > 0).select(
-        record.alias("record"), F.col("_reasons").alias("reasons")
+    return Loaded(good, _rejected(rows.where(~(whole & flag_ok)), parsed, names, sep, null_text))
+
+
+def _value(name: str, parsed: T.DataType) -> Column:
+    value, kind = F.col(name), KNOWN[name]
+    if name in CAUSES:
+        return text_to_number(value)
+    if isinstance(kind, T.LongType):
+        return nan_to_null(value).try_cast(kind)
+    if isinstance(kind, T.DoubleType):
+        return nan_to_null(value)
+    return F.to_timestamp(value) if parsed != kind else value
+
+
+def _rejected(
+    rows: DataFrame, parsed: T.StructType, names: list[str], sep: str, null_text: str
+) -> DataFrame:
+    """The refused lines with the reasons: ``width``, ``flag``, or an unreadable column.
+
+    Only these few lines are taken apart a second time, as plain text.
+    """
+    cells = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
+    record = F.coalesce(F.col(CORRUPT), F.concat_ws(sep, *cells)).alias("record")
+    layout = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
+    options = {"sep": sep, "columnNameOfCorruptRecord": CORRUPT, "nullValue": null_text}
+    options |= {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    lines = rows.select(record).withColumn("_text", F.from_csv("record", layout, options))
+    reasons = [F.when(F.col("_text")[CORRUPT].isNotNull(), F.lit("width"))]
+    for name in names:
+        text, kind = F.col("_text")[name], parsed[name].dataType
+        if isinstance(kind, T.StringType):
+            continue
+        unreadable = text.isNotNull() & text.try_cast(kind).isNull()
+        reasons.append(F.when(unreadable, F.lit(name)))
+    if "cancelled" in names:
+        flag = F.col("_text")["cancelled"].try_cast("double")
+        present = F.col("_text")[CORRUPT].isNull() | F.col("_text")["cancelled"].isNotNull()
+        odd = present & ~F.coalesce(flag.isin(0, 1), F.lit(False))
+        reasons.append(F.when(odd, F.lit("flag")))
+    header = F.col("_text")[names[0]].eqNullSafe(F.lit(names[0]))
+    return lines.where(~header).select(
+        "record", F.array_compact(F.array(*reasons)).alias("reasons")
     )
-    return Loaded(good, rejected)
 
 
 def split_flags(df: DataFrame) -> Loaded:

@@ -5,65 +5,105 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.schema import FLIGHT_COLUMNS
+from tarmac.schema import CAUSE_COLUMNS, FLIGHT_COLUMNS
+
+# Declared, so that no job has to look into the files first.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+# Orders up to this many bytes on disk (about a million rows) are joined by broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _stored_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the nation of their customer.
 
     Orders meet customers and nations before the line items, so the largest table is
-    shuffled at most once; join strategies follow from table sizes.
+    shuffled at most once. Spark overestimates the size of joined inputs; whether the
+    orders fit a broadcast is therefore decided by their own stored size, and beyond the
+    limit the join shuffles.
     """
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    stored = load(spark, sf_dir, "orders")
+    orders = stored.select("o_orderkey", "o_custkey")
+    customers = load(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", (F.col("c_nationkey") % 5 == 0).alias("strike")
+    )
     nations = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    origins = orders.join(customers, orders.o_custkey == customers.c_custkey).join(
-        nations, customers.c_nationkey == nations.n_nationkey
+    origins = (
+        orders.join(customers, orders.o_custkey == customers.c_custkey)
+        .join(nations, customers.c_nationkey == nations.n_nationkey)
+        .select("o_orderkey", "n_name", "strike")
     )
-    lines = load(spark, sf_dir, "lineitem")
-    cancelled = ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)) | (
-        (F.col("l_suppkey") % 15 == 0) & (F.col("c_nationkey") % 5 == 0)
+    if _stored_bytes(stored) <= BROADCAST_BYTES:
+        origins = F.broadcast(origins)
+    # Everything that needs no origin is computed below the join, so that a filter above
+    # it is pushed down without repeating these expressions.
+    part = F.col("l_partkey")
+    minutes = F.col("l_quantity") * 3 - 30
+    late = minutes > 15
+    lines = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.month("l_shipdate").cast("bigint").alias("month"),
+        F.col("l_shipdate").alias("fl_date"),
+        F.concat(F.lit("C"), F.lpad((F.col("l_suppkey") % 15).cast("string"), 2, "0")).alias(
+            "op_unique_carrier"
+        ),
+        F.col("l_orderkey").cast("double").alias("op_carrier_fl_num"),
+        F.concat(F.lit("D"), (part % 40).cast("string")).alias("dest"),
+        minutes.alias("dep_minutes"),
+        F.when(part % 97 != 0, minutes + (part % 21) - 14).alias("arr_minutes"),
+        F.substring(F.lit("ABCD"), (part % 4).cast("int") + 1, F.lit(1)).alias("code"),
+        *[
+            F.when(late & hit, float(value)).otherwise(0.0).alias(name)
+            for name, (value, hit) in {
+                "carrier_delay": (5, part % 3 == 0),
+                "weather_delay": (7, part % 11 == 0),
+                "nas_delay": (9, part % 2 == 0),
+                "security_delay": (3, part % 53 == 0),
+                "late_aircraft_delay": (11, part % 3 == 1),
+            }.items()
+        ],
+        ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)).alias("returned"),
+        (F.col("l_suppkey") % 15 == 0).alias("striking"),
+        (part % 97 == 0).alias("off_route"),
+        (part % 89 == 0).alias("unlogged"),
+        F.when(part % 5 == 0, "").when(part % 7 == 0, "abc").alias("scrawl"),
     )
+    cancelled = F.col("returned") | (F.col("striking") & F.col("strike"))
     return (
         lines.join(origins, lines.l_orderkey == origins.o_orderkey)
-        .withColumn("dd", F.col("l_quantity") * 3 - 30)
-        .withColumn("canc", F.when(cancelled, 1).otherwise(0).cast("bigint"))
+        .withColumnRenamed("n_name", "origin")
+        .withColumn("flown", ~cancelled)
     )
 
 
 def _flight_columns() -> dict:
-    part = F.col("l_partkey")
-    flown = F.col("canc") == 0
-    late = flown & (F.col("dd") > 15)
-
-    def cause(minutes: int, hit):
-        return F.when(late & hit, float(minutes)).otherwise(0.0)
-
-    return {
-        "month": F.month("l_shipdate").cast("bigint"),
-        "fl_date": F.col("l_shipdate"),
-        "op_unique_carrier": F.concat(
-            F.lit("C"), F.lpad((F.col("l_suppkey") % 15).cast("string"), 2, "0")
-        ),
-        "op_carrier_fl_num": F.col("l_orderkey").cast("double"),
-        "origin": F.col("n_name"),
-        "dest": F.concat(F.lit("D"), (part % 40).cast("string")),
-        "dep_delay": F.when(flown, F.col("dd")),
-        "arr_delay": F.when(flown & (part % 97 != 0), F.col("dd") + (part % 21) - 14),
-        "cancelled": F.col("canc"),
-        "cancellation_code": F.when(
-            ~flown, F.substring(F.lit("ABCD"), (part % 4).cast("int") + 1, F.lit(1))
-        ),
-        "carrier_delay": cause(5, part % 3 == 0),
-        "weather_delay": cause(7, part % 11 == 0),
-        "nas_delay": cause(9, part % 2 == 0),
-        "security_delay": cause(3, part % 53 == 0),
-        "late_aircraft_delay": cause(11, part % 3 == 1),
-    }
+    flown = F.col("flown")
+    columns = {c: F.col(c) for c in FLIGHT_COLUMNS}
+    columns["dep_delay"] = F.when(flown, F.col("dep_minutes"))
+    columns["arr_delay"] = F.when(flown, F.col("arr_minutes"))
+    columns["cancelled"] = F.when(flown, 0).otherwise(1).cast("bigint")
+    columns["cancellation_code"] = F.when(~flown, F.col("code"))
+    for c in CAUSE_COLUMNS.values():
+        columns[c] = F.when(flown, F.col(c)).otherwise(0.0)
+    return columns
 
 
 def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,25 +113,22 @@ def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights before cleaning: all cells are text or missing as in a raw file.
+    """Flights before cleaning.
 
-    Adds ``year`` and ``diverted``, blanks some departure delays, and writes part of the
-    cause minutes as missing or unreadable text.
+    Adds ``year`` and ``diverted``, blanks some departure delays, and gives part of the
+    cause minutes as text, missing or unreadable.
     """
     columns = _flight_columns()
-    part = F.col("l_partkey")
-    diverted = (F.col("canc") == 0) & (part % 97 == 0)
-    blank = (F.col("canc") == 0) & ~diverted & (part % 89 == 0)
-    columns["dep_delay"] = F.when(~blank, columns["dep_delay"])
+    flown, scrawl = F.col("flown"), F.col("scrawl")
+    columns["dep_delay"] = F.when(
+        flown & (F.col("off_route") | ~F.col("unlogged")), F.col("dep_minutes")
+    )
     for c in ("carrier_delay", "weather_delay", "nas_delay"):
-        columns[c] = (
-            F.when(part % 5 == 0, F.lit(None).cast("string"))
-            .when(part % 7 == 0, F.lit("abc"))
-            .otherwise(columns[c].cast("string"))
-        )
+        text = F.when(flown, F.col(c)).otherwise(0.0).cast("string")
+        columns[c] = F.when(scrawl.isNull(), text).when(scrawl != "", scrawl)
     extra = {
         "year": F.lit(2024).cast("bigint"),
-        "diverted": F.when(diverted, 1).otherwise(0).cast("bigint"),
+        "diverted": F.when(flown & F.col("off_route"), 1).otherwise(0).cast("bigint"),
     }
     named = {**extra, **{c: columns[c] for c in FLIGHT_COLUMNS}}
     return _lines(spark, sf_dir).select(*[v.alias(c) for c, v in named.items()])
