@@ -398,13 +398,13 @@ runs as (
          (['Hive', 'Spark_SQL', 'Spark_Core', 'MapReduce'])[cast(user_id % 4 as int) + 1] as tech,
          ([10, 25, 50, 75, 100, 150])[cast(hour(ts) % 6 as int) + 1] as pct,
          case event_type when 'view' then 'Locale' else 'Cluster' end as env,
-         cast(value as decimal(12,2)) as seconds, ts, event_id
+         cast(value as decimal(12,2)) as seconds, event_id
   from events where event_type in ('view', 'click')
 ),
 firsts as (
   select analysis, tech, pct,
-         cast(first(seconds order by ts, event_id) filter (where env = 'Locale') as double) as a,
-         cast(first(seconds order by ts, event_id) filter (where env = 'Cluster') as double) as b
+         cast(first(seconds order by event_id) filter (where env = 'Locale') as double) as a,
+         cast(first(seconds order by event_id) filter (where env = 'Cluster') as double) as b
   from runs group by analysis, tech, pct
 )"""
 

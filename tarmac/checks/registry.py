@@ -36,7 +36,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # The test data's delays end at 120 minutes, so its cleaning band is narrower.
 LOW, HIGH = -30.0, 110.0
-REPEAT = ("ts", "event_id")
 
 
 def _on_flights(make: Callable[[DataFrame], DataFrame]) -> Query:
@@ -309,14 +308,12 @@ QUERIES: dict[str, Query] = {
     "set_difference": set_difference,
     "multiset_difference": multiset_difference,
     # Runs compared
-    "run_pivot": _on_runs(lambda df: runs.run_pivot(df, repeat=REPEAT)),
-    "run_speedup": _on_runs(lambda df: runs.run_speedup(df, repeat=REPEAT)),
-    "run_speedup_matrix": _on_runs(lambda df: runs.speedup_matrix(df, repeat=REPEAT)),
-    "run_seconds_matrix": _on_runs(
-        lambda df: runs.seconds_matrix(df, "Locale", repeat=REPEAT)
-    ),
+    "run_pivot": _on_runs(runs.run_pivot),
+    "run_speedup": _on_runs(runs.run_speedup),
+    "run_speedup_matrix": _on_runs(runs.speedup_matrix),
+    "run_seconds_matrix": _on_runs(lambda df: runs.seconds_matrix(df, "Locale")),
     "run_mean_speedup": _on_runs(runs.mean_speedup),
-    "run_break_even": _on_runs(lambda df: runs.break_even(df, overhead=20.0, repeat=REPEAT)),
+    "run_break_even": _on_runs(lambda df: runs.break_even(df, overhead=20.0)),
     "run_summary": _on_runs(runs.run_summary),
     "run_extremes": _on_runs(runs.run_extremes),
     # Stored and read back

@@ -1,7 +1,8 @@
 """Comparing measurements of two environments.
 
 A run table has the columns ``analysis, tech, pct, env, seconds`` and may hold any number
-of repetitions per run. Everything is first reduced to one value per run, which leaves as
+of repetitions per run, in the order of a ``repeat`` column. Everything is first reduced to
+one value per run by a hash aggregation that starts before the shuffle; what is left has as
 many rows as there are distinct runs.
 """
 
@@ -25,12 +26,12 @@ PERCENTS = tuple(int(s * 100) for s in SCALES)
 RUN = ["analysis", "tech", "pct"]
 
 
-def _reduced(how: str, here: Column, repeat: Sequence[str]) -> Column:
+def _reduced(how: str, here: Column, repeat: str) -> Column:
     """Seconds of the rows selected by ``here``: the first by ``repeat``, or their mean."""
     seconds = F.when(here, F.col("seconds"))
     if how == "mean":
         return exact_mean(seconds)
-    order = F.when(here & F.col("seconds").isNotNull(), F.struct(*repeat))
+    order = F.when(here & F.col("seconds").isNotNull(), F.col(repeat))
     return F.min_by(F.col("seconds"), order).cast("double")
 
 
@@ -38,12 +39,12 @@ def side_values(
     runs: DataFrame,
     keys: Sequence[str] = RUN,
     how: str = "first",
-    repeat: Sequence[str] = ("repeat",),
+    repeat: str = "repeat",
     environments: tuple[str, str] = ENVIRONMENTS,
 ) -> DataFrame:
     """One row per ``keys`` with the seconds of both environments, ``a`` and ``b``.
 
-    ``how`` is ``first`` (lowest ``repeat`` columns win) or ``mean``.
+    ``how`` is ``first`` (the lowest ``repeat`` wins) or ``mean``.
     """
     sides = [
         _reduced(how, F.col("env") == env, repeat).alias(name)
@@ -101,7 +102,7 @@ def seconds_matrix(
     environment: str,
     percents: Sequence[int] = PERCENTS,
     how: str = "first",
-    repeat: Sequence[str] = ("repeat",),
+    repeat: str = "repeat",
 ) -> DataFrame:
     """Seconds of one environment by label and scale."""
     here = runs.where(F.col("env") == environment)

@@ -148,6 +148,5 @@ def runs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(percents, F.hour("ts") % 6).alias("pct"),
         env.alias("env"),
         F.col("value").cast("decimal(12,2)").alias("seconds"),
-        "ts",
-        "event_id",
+        F.col("event_id").alias("repeat"),
     ).where(F.col("env").isNotNull())

@@ -62,3 +62,12 @@ def test_comparison_pairs_rows_without_a_join(stored):
     report = route_month_stats(stored)
     text = plan(reconcile.reconcile(report, report, ROUTE_MONTH_KEY))
     assert "Join" not in text and "SortAggregate" not in text
+
+
+def test_run_logs_are_reduced_by_hash_aggregation(spark, small):
+    from tarmac.operators import runs
+    from tarmac.sources.tables import runs_view
+
+    for how in ("first", "mean"):
+        text = plan(runs.side_values(runs_view(spark, small), how=how))
+        assert "SortAggregate" not in text and exchanges(text, "hash") == 1
