@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Digits, signs, exponents, blanks, and the letters of "inf", "Infinity" and "NaN".
-NUMBER_CHARACTERS = "0123456789+-.eE \tinfatyINFATY"
 
 
 def nan_to_null(value: Column) -> Column:
@@ -21,20 +17,10 @@ def keep_unless(bad: Column) -> Column:
 
 
 def text_to_number(text: Column) -> Column:
-    """Number written in ``text``, or NULL.
-
-    A failing cast costs a Java exception, so text with other characters than numbers
-    have is sorted out first.
-    """
-    plausible = F.translate(text, NUMBER_CHARACTERS, "") == ""
-    return nan_to_null(F.when(plausible, text.try_cast("double")))
+    """Number written in ``text``, or NULL."""
+    return nan_to_null(text.try_cast("double"))
 
 
-def number_or_zero(df: DataFrame, column: str) -> Column:
+def number_or_zero(value: Column) -> Column:
     """Lenient number: text that is no number, NaN and NULL all become 0."""
-    value = F.col(f"`{column}`")
-    if isinstance(df.schema[column].dataType, T.StringType):
-        number = text_to_number(value)
-    else:
-        number = nan_to_null(value.cast("double"))
-    return F.coalesce(number, F.lit(0.0))
+    return F.coalesce(text_to_number(value), F.lit(0.0))

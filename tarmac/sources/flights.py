@@ -61,7 +61,7 @@ def read_csv(
     names = reader.csv(path).columns
     parsed = T.StructType([T.StructField(n, _parsed_as(n, strict_dates)) for n in names])
     rows = (
-        reader.schema(parsed.add(CORRUPT, T.StringType()))
+        reader.schema(T.StructType([*parsed.fields, T.StructField(CORRUPT, T.StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("ignoreLeadingWhiteSpace", True)
@@ -73,9 +73,10 @@ def read_csv(
         .csv(path)
     )
     flag_ok = _flag_ok() if "cancelled" in names else F.lit(True)
-    # Spark parses only the columns a query uses. All of them take part here, with a test
-    # that always holds, or a bad cell would go unnoticed whenever its column is unused.
-    every_cell_parsed = F.xxhash64(*names) >= F.lit(-(2**63))
+    # Spark parses only the columns a query uses. All numbers and dates take part here, with
+    # a test that always holds, or a bad cell would go unnoticed in an unused column.
+    checked = [f.name for f in parsed if f.dataType != T.StringType()]
+    every_cell_parsed = F.xxhash64(*(checked or names)) >= F.lit(-(2**63))
     whole = F.col(CORRUPT).isNull() & every_cell_parsed
     good = rows.where(whole & flag_ok).select(
         *[_value(n, parsed[n].dataType).alias(n) for n in names if n in KNOWN]
