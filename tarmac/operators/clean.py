@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarmac.functions import keep_unless, nan_to_null, number_or_zero
@@ -75,35 +75,57 @@ def clean_flights(
     return drop_outliers(impute_causes(keep_columns(steps)), low=low, high=high)
 
 
-def clean_audit(
-    df: DataFrame, low: float = DELAY_FLOOR, high: float = DELAY_CEILING
-) -> DataFrame:
-    """Rows and columns left after each cleaning step, counted in one scan."""
+AUDIT_SCHEMA = "step int, name string, row_count bigint, column_count int"
+
+
+def audit_measures(low: float = DELAY_FLOOR, high: float = DELAY_CEILING) -> list[Column]:
+    """Rows before cleaning and after each filter, as aggregates over the raw flights."""
     kept = keep_unless(corrupt())
     inside = kept & keep_unless(outlier(low, high))
-    wide, narrow = len(df.columns), len(keep_columns(df).columns)
-    without_year = len(df.drop("year").columns)
-    counts = df.agg(
+    return [
         F.count(F.lit(1)).alias("initial"),
-        F.count_if(kept).alias("corrupt"),
-        F.count_if(inside).alias("outliers"),
-    )
-    steps = [
+        F.count_if(kept).alias("whole"),
+        F.count_if(inside).alias("inside"),
+    ]
+
+
+def audit_steps(df: DataFrame) -> list[tuple[int, str, str, int]]:
+    """Step, name, the measure that counts its rows, and its number of columns."""
+    wide, narrow = len(df.columns), len(keep_columns(df).columns)
+    return [
         (1, "initial", "initial", wide),
-        (2, "drop_corrupt", "corrupt", wide),
-        (3, "drop_year", "corrupt", without_year),
-        (4, "keep_columns", "corrupt", narrow),
-        (5, "drop_outliers", "outliers", narrow),
+        (2, "drop_corrupt", "whole", wide),
+        (3, "drop_year", "whole", len(df.drop("year").columns)),
+        (4, "keep_columns", "whole", narrow),
+        (5, "drop_outliers", "inside", narrow),
     ]
+
+
+def clean_audit(
+    df: DataFrame, low: float = DELAY_FLOOR, high: float = DELAY_CEILING
+) -> DataFrame:
+    """Rows and columns left after each cleaning step, counted in one scan."""
     rows = F.array(
         *[
             F.struct(
-                F.lit(i).alias("step"),
+                F.lit(step).alias("step"),
                 F.lit(name).alias("name"),
-                F.col(count).alias("row_count"),
+                F.col(measure).alias("row_count"),
                 F.lit(width).alias("column_count"),
             )
-            for i, name, count, width in steps
+            for step, name, measure, width in audit_steps(df)
         ]
     )
-    return counts.select(F.inline(rows))
+    return df.agg(*audit_measures(low, high)).select(F.inline(rows))
+
+
+def write_clean(
+    df: DataFrame, path: str, low: float = DELAY_FLOOR, high: float = DELAY_CEILING
+) -> DataFrame:
+    """Write the clean flights as Parquet and return the audit, counted while writing."""
+    seen = Observation()
+    observed = df.observe(seen, *audit_measures(low, high))
+    clean_flights(observed, low, high).write.mode("overwrite").parquet(path)
+    counts = seen.get
+    rows = [(step, name, counts[m], width) for step, name, m, width in audit_steps(df)]
+    return df.sparkSession.createDataFrame(rows, AUDIT_SCHEMA)

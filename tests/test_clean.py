@@ -100,3 +100,12 @@ def test_uncoded_and_contradicting_flags(make_flights):
     uncoded = {r.column_name: r.nulls for r in profile.uncoded_cancellations(flights).collect()}
     assert uncoded["cancellation_code"] == 1 and uncoded["origin"] == 0
     assert tuple(profile.quality_counts(flights).first()) == (5, 1, 1, 2)
+
+
+def test_writing_counts_the_same_audit(spark, small, tmp_path):
+    from tarmac.sources.tables import raw_view
+
+    raw = raw_view(spark, small)
+    audit = clean.write_clean(raw, str(tmp_path / "clean"), low=-30.0, high=110.0)
+    assert audit.collect() == clean.clean_audit(raw, low=-30.0, high=110.0).collect()
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == audit.collect()[-1].row_count
