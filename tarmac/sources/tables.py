@@ -42,74 +42,65 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     stored = load(spark, sf_dir, "orders")
     orders = stored.select("o_orderkey", "o_custkey")
-    customers = load(spark, sf_dir, "customer").select(
-        "c_custkey", "c_nationkey", (F.col("c_nationkey") % 5 == 0).alias("strike")
+    customers = load(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "c_nationkey", "c_nationkey % 5 = 0 as strike"
     )
-    nations = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nations = load(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name as origin")
     origins = (
-        orders.join(customers, orders.o_custkey == customers.c_custkey)
-        .join(nations, customers.c_nationkey == nations.n_nationkey)
-        .select("o_orderkey", "n_name", "strike")
+        orders.join(customers, F.expr("o_custkey = c_custkey"))
+        .join(nations, F.expr("c_nationkey = n_nationkey"))
+        .select("o_orderkey", "origin", "strike")
     )
     if _stored_bytes(stored) <= BROADCAST_BYTES:
         origins = F.broadcast(origins)
     # Everything that needs no origin is computed below the join, so that a filter above
     # it is pushed down without repeating these expressions.
-    part = F.col("l_partkey")
-    minutes = F.col("l_quantity") * 3 - 30
-    late = minutes > 15
-    lines = load(spark, sf_dir, "lineitem").select(
+    late = "l_quantity * 3 - 30 > 15"
+    lines = load(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey",
-        F.month("l_shipdate").cast("bigint").alias("month"),
-        F.col("l_shipdate").alias("fl_date"),
-        F.concat(F.lit("C"), F.lpad((F.col("l_suppkey") % 15).cast("string"), 2, "0")).alias(
-            "op_unique_carrier"
-        ),
-        F.col("l_orderkey").cast("double").alias("op_carrier_fl_num"),
-        F.concat(F.lit("D"), (part % 40).cast("string")).alias("dest"),
-        minutes.alias("dep_minutes"),
-        F.when(part % 97 != 0, minutes + (part % 21) - 14).alias("arr_minutes"),
-        F.substring(F.lit("ABCD"), (part % 4).cast("int") + 1, F.lit(1)).alias("code"),
-        *[
-            F.when(late & hit, float(value)).otherwise(0.0).alias(name)
-            for name, (value, hit) in {
-                "carrier_delay": (5, part % 3 == 0),
-                "weather_delay": (7, part % 11 == 0),
-                "nas_delay": (9, part % 2 == 0),
-                "security_delay": (3, part % 53 == 0),
-                "late_aircraft_delay": (11, part % 3 == 1),
-            }.items()
-        ],
-        ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)).alias("returned"),
-        (F.col("l_suppkey") % 15 == 0).alias("striking"),
-        (part % 97 == 0).alias("off_route"),
-        (part % 89 == 0).alias("unlogged"),
-        F.when(part % 5 == 0, "").when(part % 7 == 0, "abc").alias("scrawl"),
+        "cast(month(l_shipdate) as bigint) as month",
+        "l_shipdate as fl_date",
+        "concat('C', lpad(cast(l_suppkey % 15 as string), 2, '0')) as op_unique_carrier",
+        "cast(l_orderkey as double) as op_carrier_fl_num",
+        "concat('D', cast(l_partkey % 40 as string)) as dest",
+        "l_quantity * 3 - 30 as dep_minutes",
+        "if(l_partkey % 97 <> 0, l_quantity * 3 - 30 + l_partkey % 21 - 14, null) as arr_minutes",
+        "substr('ABCD', cast(l_partkey % 4 as int) + 1, 1) as code",
+        f"if({late} and l_partkey % 3 = 0, 5d, 0d) as carrier_delay",
+        f"if({late} and l_partkey % 11 = 0, 7d, 0d) as weather_delay",
+        f"if({late} and l_partkey % 2 = 0, 9d, 0d) as nas_delay",
+        f"if({late} and l_partkey % 53 = 0, 3d, 0d) as security_delay",
+        f"if({late} and l_partkey % 3 = 1, 11d, 0d) as late_aircraft_delay",
+        "l_returnflag = 'R' and l_linenumber = 7 as returned",
+        "l_suppkey % 15 = 0 as striking",
+        "l_partkey % 97 = 0 as off_route",
+        "l_partkey % 89 = 0 as unlogged",
+        "case when l_partkey % 5 = 0 then '' when l_partkey % 7 = 0 then 'abc' end as scrawl",
     )
-    cancelled = F.col("returned") | (F.col("striking") & F.col("strike"))
-    return (
-        lines.join(origins, lines.l_orderkey == origins.o_orderkey)
-        .withColumnRenamed("n_name", "origin")
-        .withColumn("flown", ~cancelled)
+    return lines.join(origins, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "*", "not (returned or (striking and strike)) as flown"
     )
 
 
-def _flight_columns() -> dict:
-    flown = F.col("flown")
-    columns = {c: F.col(c) for c in FLIGHT_COLUMNS}
-    columns["dep_delay"] = F.when(flown, F.col("dep_minutes"))
-    columns["arr_delay"] = F.when(flown, F.col("arr_minutes"))
-    columns["cancelled"] = F.when(flown, 0).otherwise(1).cast("bigint")
-    columns["cancellation_code"] = F.when(~flown, F.col("code"))
+def _flight_columns() -> dict[str, str]:
+    """Column definitions over ``_lines``, in the order of the flight table."""
+    columns = {c: c for c in FLIGHT_COLUMNS}
+    columns["dep_delay"] = "if(flown, dep_minutes, null)"
+    columns["arr_delay"] = "if(flown, arr_minutes, null)"
+    columns["cancelled"] = "if(flown, 0L, 1L)"
+    columns["cancellation_code"] = "if(flown, null, code)"
     for c in CAUSE_COLUMNS.values():
-        columns[c] = F.when(flown, F.col(c)).otherwise(0.0)
+        columns[c] = f"if(flown, {c}, 0d)"
     return columns
 
 
+def _select(lines: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return lines.selectExpr(*[f"{definition} as {c}" for c, definition in columns.items()])
+
+
 def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean flights, one per line item."""
-    columns = _flight_columns()
-    return _lines(spark, sf_dir).select(*[columns[c].alias(c) for c in FLIGHT_COLUMNS])
+    return _select(_lines(spark, sf_dir), _flight_columns())
 
 
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,20 +109,13 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Adds ``year`` and ``diverted``, blanks some departure delays, and gives part of the
     cause minutes as text, missing or unreadable.
     """
-    columns = _flight_columns()
-    flown, scrawl = F.col("flown"), F.col("scrawl")
-    columns["dep_delay"] = F.when(
-        flown & (F.col("off_route") | ~F.col("unlogged")), F.col("dep_minutes")
-    )
+    columns = {"year": "2024L", "diverted": "if(flown and off_route, 1L, 0L)"}
+    columns |= _flight_columns()
+    columns["dep_delay"] = "if(flown and (off_route or not unlogged), dep_minutes, null)"
     for c in ("carrier_delay", "weather_delay", "nas_delay"):
-        text = F.when(flown, F.col(c)).otherwise(0.0).cast("string")
-        columns[c] = F.when(scrawl.isNull(), text).when(scrawl != "", scrawl)
-    extra = {
-        "year": F.lit(2024).cast("bigint"),
-        "diverted": F.when(flown & F.col("off_route"), 1).otherwise(0).cast("bigint"),
-    }
-    named = {**extra, **{c: columns[c] for c in FLIGHT_COLUMNS}}
-    return _lines(spark, sf_dir).select(*[v.alias(c) for c, v in named.items()])
+        text = f"cast(if(flown, {c}, 0d) as string)"
+        columns[c] = f"if(scrawl is null, {text}, nullif(scrawl, ''))"
+    return _select(_lines(spark, sf_dir), columns)
 
 
 def runs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
