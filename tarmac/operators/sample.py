@@ -234,7 +234,8 @@ def _sample_strata(
     """Per-stratum sample: the cut is a table with one row per stratum.
 
     The tables joined here hold one row per stratum, so a stratum with most of the data
-    meets a single row and adaptive execution may split it freely.
+    meets a single row and adaptive execution may split it freely. Each level reads the
+    hashed columns once: three levels, six with a ``key``.
     """
     row = row_hash(key or df.columns, seed)
     # With a key the whole-row hash follows, so only identical rows can tie.

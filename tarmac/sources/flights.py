@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.functions import nan_to_null, text_to_number
+from tarmac.functions import keep_unless, nan_to_null, text_to_number
 from tarmac.schema import CAUSE_COLUMNS, FLIGHT_COLUMNS, RAW_EXTRA_COLUMNS
 
 CORRUPT = "_corrupt_record"
@@ -26,7 +26,7 @@ class Loaded(NamedTuple):
 
 
 def _flag_ok() -> Column:
-    return F.coalesce(F.col("cancelled").isin(0, 1), F.lit(False))
+    return F.col("cancelled").isin(0, 1)
 
 
 def _parsed_as(name: str, strict_dates: bool) -> T.DataType:
@@ -81,7 +81,8 @@ def read_csv(
     good = rows.where(whole & flag_ok).select(
         *[_value(n, parsed[n].dataType).alias(n) for n in names if n in KNOWN]
     )
-    return Loaded(good, _rejected(rows.where(~(whole & flag_ok)), parsed, names, sep, null_text))
+    bad = rows.where(keep_unless(whole & flag_ok))
+    return Loaded(good, _rejected(bad, parsed, names, sep, null_text))
 
 
 def _value(name: str, parsed: T.DataType) -> Column:
@@ -128,7 +129,7 @@ def _rejected(
 
 def split_flags(df: DataFrame) -> Loaded:
     """Rows whose cancellation flag is 0 or 1, and the others."""
-    return Loaded(df.where(_flag_ok()), df.where(~_flag_ok()))
+    return Loaded(df.where(_flag_ok()), df.where(keep_unless(_flag_ok())))
 
 
 def read_parquet(spark: SparkSession, path: str) -> Loaded:

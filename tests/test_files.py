@@ -197,3 +197,12 @@ def test_run_log(spark, tmp_path):
 
 def test_scratch_is_shared(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_flag_check_reaches_the_parquet_scan(spark, make_flights, tmp_path):
+    flights = make_flights([{"cancelled": c} for c in (0, 1, 2, None)])
+    flights.write.parquet(str(tmp_path / "p"))
+    loaded = read_parquet(spark, str(tmp_path / "p"))
+    assert (loaded.good.count(), loaded.rejected.count()) == (2, 2)
+    plan = loaded.good._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(cancelled" in plan or "Or(EqualTo(cancelled" in plan
