@@ -3,9 +3,9 @@
 import compare
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLE = queries(), oracle_sql()
+from __spark_entry__ import entry
+from tarmac.checks.oracle import ORACLE_SQL as ORACLE
+from tarmac.checks.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
