@@ -17,7 +17,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tarmac.llm.common import stored, words
@@ -214,7 +213,7 @@ def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
         *[F.col("row").getField(c).alias(c) for c in kept],
         "source_size",
         "target",
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).cast(T.IntegerType()).alias("repetition"),
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("repetition"),
     )
 
 
