@@ -51,6 +51,8 @@ HEADLINE = [
     "run_pivot",
     "run_break_even",
     "run_extremes",
+    "sample_strata_25",
+    "csv_rejects",
 ]
 RUNS = 3
 

@@ -1,6 +1,6 @@
 """Command line: ``python -m tarmac <command>`` or through spark-submit.
 
-    prepare    raw text -> clean Parquet, rejected lines, audit of the steps
+    prepare    raw text -> clean Parquet, rejected lines, audit of the steps, profile
     scales     clean Parquet -> datasets of several sizes
     report     clean flights -> report 3.1, 3.2 or 3.3, its first rows, a run-log entry
     reconcile  two stored versions of a report -> summary
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarmac import schema as S
 from tarmac.operators import runs
 from tarmac.operators.clean import write_clean
+from tarmac.operators.profile import preparation_profile
 from tarmac.plans import carrier_deviation, delay_band_report, route_month_stats
 from tarmac.session import build_session
 from tarmac.sources import (
@@ -43,15 +44,23 @@ REPORTS = {
 
 
 def _flights(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    return (read_csv if fmt == "csv" else read_parquet)(spark, path).good
+    """The good rows; says how many others the input has."""
+    loaded = (read_csv if fmt == "csv" else read_parquet)(spark, path)
+    print(f"refused rows: {loaded.rejected.count()}")
+    return loaded.good
 
 
 def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     loaded = read_csv(spark, args.raw, strict_dates=args.strict_dates)
-    audit = write_clean(loaded.good, f"{args.out}/flights")
     loaded.rejected.write.mode("overwrite").parquet(f"{args.out}/rejected")
+    refused = spark.read.parquet(f"{args.out}/rejected").count()
+    audit = write_clean(
+        loaded.good, f"{args.out}/flights", refused=refused, columns=len(loaded.columns)
+    )
     audit.write.mode("overwrite").parquet(f"{args.out}/audit")
+    preparation_profile(loaded.good).write.mode("overwrite").parquet(f"{args.out}/profile")
     audit.orderBy("step").show(truncate=False)
+    spark.read.parquet(f"{args.out}/profile").orderBy("measure", "column_name").show(200, False)
 
 
 def scales(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -60,10 +69,12 @@ def scales(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
-    make, schema, _, order = REPORTS[args.name]
+    make, schema, keys, order = REPORTS[args.name]
+    order = keys if args.order == "key" else order
+    flights = _flights(spark, args.flights, args.input)
 
     def job() -> None:
-        write_report(make(_flights(spark, args.flights, args.input)), f"{args.out}/full", order)
+        write_report(make(flights), f"{args.out}/full", order)
 
     if args.log:
         timed(spark, args.log, args.pct, args.name, args.tech, job)
@@ -114,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("flights")
     p.add_argument("out")
     p.add_argument("--input", choices=["csv", "parquet"], default="parquet")
+    p.add_argument("--order", choices=["key", "rank"], default="rank")
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--log")
     p.add_argument("--pct", type=int, default=100)

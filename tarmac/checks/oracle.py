@@ -14,12 +14,37 @@ def _half_up(x: str, digits: int = 2) -> str:
     )
 
 
+def _exact_half_up(total: str, count: str, digits: int = 2) -> str:
+    """Half-up of a quotient in whole numbers; ``total`` counts millionths."""
+    scale = 10**digits
+    part = f"cast({total} as hugeint)"
+    number = f"cast({count} as hugeint)"
+    whole = f"((2 * {scale} * abs({part}) + 1000000 * {number}) // (2000000 * {number}))"
+    return (
+        f"case when {count} > 0 then cast(cast(sign({part}) * {whole} as bigint) as double) "
+        f"/ {scale} end"
+    )
+
+
+def _mean(value: str, where: str = "") -> str:
+    """Rounded mean of a column over the rows that ``where`` keeps."""
+    kept = f" filter (where {where})" if where else ""
+    return _exact_half_up(
+        f"sum(cast(round({value} * 1000000) as hugeint)){kept}", f"count({value}){kept}"
+    )
+
+
+def _rate(part: str, whole: str) -> str:
+    return _exact_half_up(f"100000000 * {part}", whole, 1)
+
+
 LINES = """
 lines as (
   select l.*, n_name, c_nationkey,
          l_quantity * 3 - 30 as dd,
          case when (l_returnflag = 'R' and l_linenumber = 7)
-                or (l_suppkey % 15 = 0 and c_nationkey % 5 = 0) then 1 else 0 end as canc
+                or (l_suppkey % 15 = 0 and c_nationkey % 5 = 0)
+                or c_nationkey = 7 then 1 else 0 end as canc
   from lineitem l
   join orders on l_orderkey = o_orderkey
   join customer on o_custkey = c_custkey
@@ -40,8 +65,8 @@ flights as (
          case when canc = 0 and l_partkey % 97 <> 0
               then dd + (l_partkey % 21) - 14 end as arr_delay,
          cast(canc as bigint) as cancelled,
-         case when canc = 1 then substr('ABCD', cast(l_partkey % 4 as int) + 1, 1) end
-           as cancellation_code,
+         case when (canc = 1 and l_partkey % 13 <> 0) or (canc = 0 and l_partkey % 101 = 0)
+              then substr('ABCD', cast(l_partkey % 4 as int) + 1, 1) end as cancellation_code,
          case when canc = 0 and dd > 15 and l_partkey % 3 = 0 then 5.0::double else 0.0::double end
            as carrier_delay,
          case when canc = 0 and dd > 15 and l_partkey % 11 = 0 then 7.0::double else 0.0::double end
@@ -71,7 +96,7 @@ raw as (
   select cast(2024 as bigint) as year,
          cast(case when canc = 0 and l_partkey % 97 = 0 then 1 else 0 end as bigint) as diverted,
          cast(month(l_shipdate) as bigint) as month,
-         l_shipdate as fl_date,
+         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as fl_date,
          'C' || lpad(cast(l_suppkey % 15 as varchar), 2, '0') as op_unique_carrier,
          cast(l_orderkey as double) as op_carrier_fl_num,
          n_name as origin,
@@ -80,9 +105,10 @@ raw as (
            as dep_delay,
          case when canc = 0 and l_partkey % 97 <> 0
               then dd + (l_partkey % 21) - 14 end as arr_delay,
-         cast(canc as bigint) as cancelled,
-         case when canc = 1 then substr('ABCD', cast(l_partkey % 4 as int) + 1, 1) end
-           as cancellation_code,
+         cast(case when l_partkey % 211 = 0 then 2 when l_partkey % 223 = 0 then null
+              else canc end as bigint) as cancelled,
+         case when (canc = 1 and l_partkey % 13 <> 0) or (canc = 0 and l_partkey % 101 = 0)
+              then substr('ABCD', cast(l_partkey % 4 as int) + 1, 1) end as cancellation_code,
          {_text_minutes("5.0", "l_partkey % 3 = 0")} as carrier_delay,
          {_text_minutes("7.0", "l_partkey % 11 = 0")} as weather_delay,
          {_text_minutes("9.0", "l_partkey % 2 = 0")} as nas_delay,
@@ -114,8 +140,8 @@ def _route_month(source: str, empty: str = "null") -> str:
          count(*) as numero_voli,
          coalesce(min({flown}), 0.0::double) as ritardo_minimo,
          coalesce(max({flown}), 0.0::double) as ritardo_massimo,
-         coalesce({_half_up(f"avg({flown})")}, {empty}) as ritardo_medio,
-         {_half_up("100.0::double * count(*) filter (where cancelled = 1) / count(*)", 1)}
+         coalesce({_mean("arr_delay", "cancelled = 0")}, {empty}) as ritardo_medio,
+         {_rate("count(*) filter (where cancelled = 1)", "count(*)")}
            as tasso_cancellazione,
          month as mese
   from {source}
@@ -166,11 +192,11 @@ BANDS = {
 def _band_columns(empty: str = "null") -> str:
     columns = []
     for suffix, (number, inside) in BANDS.items():
-        where = f"filter (where cancelled = 0 and {inside})"
+        where = f"cancelled = 0 and {inside}"
         columns += [
-            f"count(*) {where} as {number}",
-            f"coalesce({_half_up(f'avg(dep_delay) {where}')}, {empty}) as dep_avg_{suffix}",
-            f"coalesce({_half_up(f'avg(arr_delay) {where}')}, {empty}) as arr_avg_{suffix}",
+            f"count(*) filter (where {where}) as {number}",
+            f"coalesce({_mean('dep_delay', where)}, {empty}) as dep_avg_{suffix}",
+            f"coalesce({_mean('arr_delay', where)}, {empty}) as arr_avg_{suffix}",
         ]
     return ",\n         ".join(columns)
 
@@ -202,32 +228,34 @@ def _carriers(
     """CTEs ending in ``report``; means are kept unrounded next to the rounded ones."""
     differences = {
         "rounded": f"cast(ritardo_medio_partenza as decimal(10,2))"
-        f" - cast({_half_up('airport_mean')} as decimal(10,2))",
+        " - cast(airport_shown as decimal(10,2))",
         "exact": "carrier_mean - airport_mean",
         "mixed": "ritardo_medio_partenza - airport_mean",
     }
     return f"""
 airports as (
-  select origin, avg(dep_delay) filter (where cancelled = 0) as airport_mean
+  select origin, avg(dep_delay) filter (where cancelled = 0) as airport_mean,
+         {_mean("dep_delay", "cancelled = 0")} as airport_shown
   from flights group by origin
 ),
 carriers as (
   select origin, op_unique_carrier, count(*) as numero_voli,
          coalesce(avg(dep_delay) filter (where cancelled = 0), {empty}) as carrier_mean,
-         coalesce(avg(arr_delay) filter (where cancelled = 0), {empty}) as arrival_mean,
-         100.0::double * count(*) filter (where cancelled = 1) / count(*) as rate
+         coalesce({_mean("dep_delay", "cancelled = 0")}, {empty}) as carrier_shown,
+         coalesce({_mean("arr_delay", "cancelled = 0")}, {empty}) as arrival_shown,
+         {_rate("count(*) filter (where cancelled = 1)", "count(*)")} as rate
   from flights group by origin, op_unique_carrier
 ),
 shown as (
-  select carriers.*, airport_mean, {_half_up("carrier_mean")} as ritardo_medio_partenza
+  select carriers.*, airport_mean, airport_shown, carrier_shown as ritardo_medio_partenza
   from carriers join airports using (origin)
   {"where airport_mean is not null" if drop_airports else ""}
 ),
 report as (
   select origin as aeroporto_partenza, op_unique_carrier as compagnia, numero_voli,
          ritardo_medio_partenza,
-         {_half_up("arrival_mean")} as ritardo_medio_arrivo,
-         {_half_up("rate", 1)} as tasso_cancellazione,
+         arrival_shown as ritardo_medio_arrivo,
+         rate as tasso_cancellazione,
          {_half_up(differences[gap])} as differenza,
          cast(row_number() over (
            partition by origin
@@ -298,6 +326,22 @@ def _flight_sample(fraction: float, name: str) -> str:
     )
 
 
+FEW = "origin, month, cancelled"
+
+
+def _few_hash(columns: str) -> str:
+    texts = ", ".join(f"coalesce(cast({c} as varchar), '\\N')" for c in columns.split(", "))
+    return f"md5(concat_ws('|', '42', {texts}))"
+
+
+def _identical_sample(per: str = "") -> str:
+    return f"""with {FLIGHTS},
+hashed as (select {FEW}, {_few_hash(FEW)} as h from flights),
+placed as (select *, row_number() over ({per} order by h, {FEW}) as rn,
+                  count(*) over ({per}) as total from hashed)
+select {FEW} from placed where rn <= round_even(0.25::double * total, 0)"""
+
+
 # --- comparisons ----------------------------------------------------------------------
 
 ROUTE_MEASURES = [
@@ -390,6 +434,70 @@ version_a as (with {_carriers("rounded")} select * from report),
 version_b as (with {_carriers("exact")} select * from report),
 {_pairs(CARRIER_KEY, CARRIER_MEASURES)}"""
 
+ROUTE_PAIR = ["codice", "aeroporto_partenza"]
+ROUTE_REST = [*ROUTE_MEASURES, "mese"]
+
+
+def _grouped_side(source: str) -> str:
+    columns = [f"max({m}) as {m}, list_sort(list({m})) as all_{m}" for m in ROUTE_REST]
+    return f"(select {', '.join(ROUTE_PAIR)}, count(*) as n, {', '.join(columns)} from {source} group by all)"
+
+
+REPEATED = f"""with {FLIGHTS},
+inside as (select * from flights where not {OUTLIER}),
+full_a as ({_route_month("flights")}),
+full_b as ({_route_month("inside")}),
+version_a as (select * from full_a where (codice >= 'C05' or mese = 1)
+              and aeroporto_partenza <> 'FRANCE'),
+version_b as (select * from full_b where (codice >= 'C05' or mese = 1) and codice <> 'C03'),
+pairs as (
+  select {', '.join(f'coalesce(a.{k}, b.{k}) as {k}' for k in ROUTE_PAIR)},
+         coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b,
+         {', '.join(f'a.{m} as {m}_a, b.{m} as {m}_b, a.all_{m} is distinct from b.all_{m} as other_{m}' for m in ROUTE_REST)}
+  from {_grouped_side("version_a")} a
+  full outer join {_grouped_side("version_b")} b using ({', '.join(ROUTE_PAIR)})
+)"""
+
+
+def _repeated_summary() -> str:
+    single = "n_a = 1 and n_b = 1"
+    counters = {
+        m: f"count(*) filter (where {single} and {_cell_differs(m, 0.01)})" for m in ROUTE_REST
+    }
+    total = " + ".join(f"diff_{m}" for m in ROUTE_REST)
+    return f"""{REPEATED},
+counts as (
+  select cast(sum(n_a) as bigint) as rows_a, cast(sum(n_b) as bigint) as rows_b,
+         count(*) filter (where n_b = 0) as only_a, count(*) filter (where n_a = 0) as only_b,
+         count(*) filter (where n_a > 1 or n_b > 1) as repeated_keys,
+         {', '.join(f'{c} as diff_{m}' for m, c in counters.items())}
+  from pairs
+)
+select '3.1 by route' as job, rows_a, rows_b, rows_a = rows_b as same_length, only_a, only_b,
+       repeated_keys, {total} as diff_cells,
+       case when rows_a <> rows_b then 'different row counts'
+            when repeated_keys > 0 then 'repeated keys'
+            when only_a + only_b > 0 then 'different keys'
+            when {total} > 0 then 'different cells' else 'identical' end as verdict,
+       {', '.join(f'diff_{m}' for m in ROUTE_REST)}
+from counts"""
+
+
+def _repeated_cells() -> str:
+    keys = ", ".join(ROUTE_PAIR)
+    rows = [
+        f"select {keys}, '(row)' as column_name, cast(n_a as varchar) as value_a, "
+        "cast(n_b as varchar) as value_b from pairs where n_a <> 1 or n_b <> 1"
+    ]
+    for m in ROUTE_REST:
+        rows.append(
+            f"select {keys}, '{m}', cast({m}_a as varchar), cast({m}_b as varchar) from pairs "
+            f"where (n_a = 1 and n_b = 1 and {_cell_differs(m, 0.01)}) "
+            f"or ((n_a > 1 or n_b > 1) and n_a > 0 and n_b > 0 and other_{m})"
+        )
+    return f"{REPEATED} " + " union all ".join(rows)
+
+
 # --- runs -----------------------------------------------------------------------------
 
 RUNS = """
@@ -397,9 +505,9 @@ runs as (
   select '3.' || cast(user_id % 3 + 1 as varchar) as analysis,
          (['Hive', 'Spark_SQL', 'Spark_Core', 'MapReduce'])[cast(user_id % 4 as int) + 1] as tech,
          ([10, 25, 50, 75, 100, 150])[cast(hour(ts) % 6 as int) + 1] as pct,
-         case event_type when 'view' then 'Locale' else 'Cluster' end as env,
+         case when event_type in ('view', 'error') then 'Locale' else 'Cluster' end as env,
          cast(value as decimal(12,2)) as seconds, event_id
-  from events where event_type in ('view', 'click')
+  from events
 ),
 firsts as (
   select analysis, tech, pct,
@@ -409,14 +517,14 @@ firsts as (
 )"""
 
 
-def _mean(env: str) -> str:
+def _env_mean(env: str) -> str:
     here = f"filter (where env = '{env}')"
     return f"cast(sum(seconds) {here} as double) / nullif(count(*) {here}, 0)"
 
 
 def _run_means(keys: str, where: str = "true") -> str:
     return (
-        f"means as (select {keys}, {_mean('Locale')} as a, {_mean('Cluster')} as b "
+        f"means as (select {keys}, {_env_mean('Locale')} as a, {_env_mean('Cluster')} as b "
         f"from runs where {where} group by {keys})"
     )
 
@@ -468,7 +576,7 @@ ORACLE_SQL: dict[str, str] = {
     "delay_band_top10": _delay_bands() + " order by aeroporto_partenza, mese limit 10",
     "delay_band_cancelled_codes": _delay_bands("0", on_cancelled_only=True),
     "airport_means": f"with {FLIGHTS} select origin as aeroporto_partenza, "
-    f"{_half_up('avg(dep_delay) filter (where cancelled = 0)')} as ritardo_medio_complessivo "
+    f"{_mean('dep_delay', 'cancelled = 0')} as ritardo_medio_complessivo "
     "from flights group by origin",
     "carrier_deviation": f"with {FLIGHTS},{_carriers()} select * from report",
     "carrier_deviation_top10": f"with {FLIGHTS},{_carriers()} select * from report "
@@ -481,8 +589,9 @@ ORACLE_SQL: dict[str, str] = {
     "drop_corrupt": f"with {RAW} select * from raw where not {CORRUPT}",
     "impute_causes": f"with {RAW} select year, diverted, {FLIGHT_COLUMNS}, {IMPUTED} from raw",
     "drop_outliers": f"with {FLIGHTS} select * from flights where not {OUTLIER}",
-    "clean_flights": f"with {RAW} select {FLIGHT_COLUMNS}, {IMPUTED} from raw "
-    f"where not {CORRUPT} and not {OUTLIER}",
+    "clean_flights": f"with {RAW} select * replace (cast(fl_date as timestamp) as fl_date) from "
+    f"(select {FLIGHT_COLUMNS}, {IMPUTED} from raw "
+    f"where not {CORRUPT} and not {OUTLIER})",
     "clean_audit": f"""with {RAW},
 rows_left as (
   select count(*) as initial, count(*) filter (where not {CORRUPT}) as whole,
@@ -530,6 +639,26 @@ union all select 5, 'drop_outliers', inside, 15 from rows_left""",
 select {ORDER_COLUMNS} from ranked where rn <= round_even(0.25::double * total, 0)""",
     "sample_flights_25": f"with {FLIGHTS},\n{_flight_sample(0.25, 'quarter')} "
     "select * from quarter",
+    "sample_identical_25": _identical_sample(),
+    "sample_strata_identical_25": _identical_sample("partition by origin"),
+    "sample_tied_25": f"""with {FLIGHTS},
+hashed as (
+  select op_carrier_fl_num, {FEW}, md5('42|' || cast(op_carrier_fl_num as varchar)) as h1,
+         {_few_hash("op_carrier_fl_num, " + FEW)} as h2
+  from flights
+),
+placed as (select *, row_number() over (order by h1, h2) as rn, count(*) over () as total
+           from hashed)
+select op_carrier_fl_num, {FEW} from placed where rn <= round_even(0.25::double * total, 0)""",
+    "shuffled_first": f"select * from orders order by {ORDER_HASH} limit 100",
+    "scaled_rows": f"with {_orders_ranked()} "
+    + " union all ".join(
+        f"select {ORDER_COLUMNS}, {p} as scale from ranked "
+        f"where rn <= round_even({p / 100}::double * total, 0)"
+        for p in (28, 29, 57)
+    )
+    + f" union all select {ORDER_COLUMNS}, 150 from ranked union all "
+    f"select {ORDER_COLUMNS}, 150 from ranked where rn <= round_even(0.5::double * total, 0)",
     "scaled_counts": f"with {_orders_ranked()} "
     + " union all ".join(
         f"select {p} as scale, count(*) as row_count, cast(sum(o_orderkey) as bigint) as key_sum "
@@ -595,11 +724,15 @@ select max(speedup) as best_speedup,
 from known""",
     "csv_roundtrip": f"with {FLIGHTS} select * from flights",
     "parquet_roundtrip": f"with {FLIGHTS} select * from flights",
-    "csv_rejects": f"""with {RAW},
-marked as (select cast(op_carrier_fl_num as bigint) as number from raw)
-select concat_ws('+', case when number % 71 = 3 then 'width' end,
-                 case when number % 73 = 1 then 'dep_delay' end,
-                 case when number % 79 = 2 then 'flag' end) as reasons,
+    "csv_rejects": f"""with {LINES},
+marked as (
+  select l_orderkey % 71 = 3 as short, l_orderkey % 73 = 1 as late,
+         l_orderkey % 79 = 2 or l_partkey % 211 = 0 as odd,
+         l_orderkey % 79 <> 2 and l_partkey % 211 <> 0 and l_partkey % 223 = 0 as missing
+  from lines
+)
+select concat_ws('+', case when short then 'width' end, case when late then 'dep_delay' end,
+                 case when odd or (missing and not short) then 'flag' end) as reasons,
        count(*) as row_count
 from marked group by 1""",
     "declared_table": f"with {FLIGHTS} select origin, cancelled, count(*) as row_count, "
@@ -607,15 +740,41 @@ from marked group by 1""",
     "report_roundtrip": _delay_bands(),
     "report_snapshot": f"with {FLIGHTS},{_carriers()} select * from report "
     "order by aeroporto_partenza, classifica limit 10",
-    "scales_roundtrip": f"with {_orders_ranked()}, counted as ("
+    "scales_roundtrip": f"with {_orders_ranked()}, members as ("
     + " union all ".join(
-        f"select {p} as scale, count(*) as n, cast(sum(o_orderkey) as bigint) as k "
-        f"from ranked where rn <= round_even({p / 100}::double * total, 0)"
+        f"select {ORDER_COLUMNS}, {p} as scale from ranked "
+        f"where rn <= round_even({p / 100}::double * total, 0)"
         for p in (10, 25, 50, 75, 100)
     )
-    + " union all select 150, count(*) as n, cast(sum(o_orderkey) as bigint) from ranked"
-    " union all select 150, count(*), cast(sum(o_orderkey) as bigint) from ranked "
+    + f" union all select {ORDER_COLUMNS}, 150 from ranked"
+    f" union all select {ORDER_COLUMNS}, 150 from ranked "
     "where rn <= round_even(0.5::double * total, 0)) "
-    "select format, scale, cast(sum(n) as bigint) as row_count, cast(sum(k) as bigint) as key_sum "
-    "from counted cross join (values ('parquet'), ('csv')) f(format) group by format, scale",
+    "select * from members cross join (values ('parquet'), ('csv')) f(format)",
+    "reconcile_repeated": _repeated_summary(),
+    "differing_repeated": _repeated_cells(),
+    "run_log": f"with {RUNS} select analysis, tech, pct, env, cast(seconds as double) as seconds, "
+    "event_id as repeat from runs",
+    "carrier_deviation_by_carrier": f"with {FLIGHTS},{_carriers()} select * from report "
+    "order by aeroporto_partenza, compagnia limit 10",
+    "preparation_profile": f"with {RAW} "
+    + " union all ".join(
+        f"select '{name}' as measure, '{c}' as column_name, "
+        f"cast(count(*) filter (where {c} is null{more}) as double) as value from raw"
+        for name, more in (
+            ("nulls", ""),
+            ("nulls_uncoded", " and cancellation_code is null and cancelled = 1"),
+        )
+        for c in RAW_COLUMNS
+    )
+    + "".join(
+        f" union all select '{name}', '{c}', {f}({c}) from raw"
+        for name, f in (("smallest", "min"), ("largest", "max"))
+        for c in ("dep_delay", "arr_delay")
+    )
+    + f""" union all select 'rows', '', cast(count(*) as double) from raw
+union all select 'outliers', '', cast(count(*) filter (where {OUTLIER}) as double) from raw
+union all select 'outlier_percent', '',
+  100.0::double * count(*) filter (where {OUTLIER}) / count(*) from raw
+union all select 'flags', coalesce(cast(cancelled as varchar), 'missing'),
+  cast(count(*) as double) from raw group by cancelled""",
 }

@@ -25,9 +25,11 @@ from tarmac.sources import (
     read_csv,
     read_parquet,
     read_report,
+    read_runs,
     reconcile_files,
     snapshot,
     write_report,
+    write_runs,
     write_scales,
 )
 from tarmac.sources.tables import flights_view, load, raw_view, runs_view
@@ -36,6 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # The test data's delays end at 120 minutes, so its cleaning band is narrower.
 LOW, HIGH = -30.0, 110.0
+# Columns in which many flights are equal.
+FEW = ["origin", "month", "cancelled"]
 
 
 def _on_flights(make: Callable[[DataFrame], DataFrame]) -> Query:
@@ -77,10 +81,10 @@ def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_parquet(spark, path).good
 
 
-def damaged_text(spark: SparkSession, sf: str, path: str, files: int = 8) -> None:
+def damaged_text(spark: SparkSession, sf: str, path: str) -> None:
     """The raw flights as text files of which some lines are damaged.
 
-    Every file starts with a header, and a file may hold a second one further down.
+    Every file starts with a header, and some have more of them further down.
     """
     raw = raw_view(spark, sf)
     number = F.col("op_carrier_fl_num").cast("bigint")
@@ -89,23 +93,13 @@ def damaged_text(spark: SparkSession, sf: str, path: str, files: int = 8) -> Non
     cells["cancelled"] = F.when(number % 79 == 2, "2").otherwise(cells["cancelled"])
     whole = F.concat_ws(",", *cells.values())
     short = F.concat_ws(",", *list(cells.values())[:-3])
-    lines = raw.select(
-        (number % files).alias("file"),
-        F.lit(1).alias("position"),
-        F.when(number % 71 == 3, short).otherwise(whole).alias("value"),
-    )
-    headers = spark.range(files).select(
-        F.col("id").alias("file"),
-        F.lit(0).alias("position"),
-        F.lit(",".join(raw.columns)).alias("value"),
-    )
-    (
-        headers.unionByName(lines)
-        .repartition(files, "file")
-        .sortWithinPartitions("position")
-        .select("value")
-        .write.text(path)
-    )
+    line = F.when(number % 71 == 3, short).otherwise(whole)
+    header = ",".join(raw.columns)
+    again = F.array(line, F.lit(header))
+    lines = F.explode(F.when(number % 997 == 5, again).otherwise(F.array(line)))
+    # One column without quotes: its name is the header line of every part file.
+    options = {"header": True, "sep": "\x01", "quote": "", "escapeQuotes": False}
+    raw.select(lines.alias(header)).write.options(**options).csv(path)
 
 
 def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,6 +113,16 @@ def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return accepted.unionByName(refused)
 
 
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "runs")
+    runs_of = runs_view(spark, sf)
+    sides = []
+    for env in runs.ENVIRONMENTS:
+        write_runs(runs_of.where(F.col("env") == env), f"{path}/{env}")
+        sides.append(read_runs(spark, f"{path}/{env}", env))
+    return sides[0].unionByName(sides[1])
+
+
 def declared_table(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "table")
     flights_view(spark, sf).write.option("header", True).csv(path)
@@ -147,17 +151,19 @@ def report_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 def scales_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "scales")
-    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = load(spark, sf, "orders")
     write_scales(orders, path, key=["o_orderkey"])
-    stored = [
-        spark.read.parquet(f"{path}/parquet").withColumn("format", F.lit("parquet")),
-        spark.read.schema("o_orderkey bigint, o_custkey bigint, scale int")
-        .option("header", True)
-        .csv(f"{path}/csv")
-        .withColumn("format", F.lit("csv")),
-    ]
-    return stored[0].unionByName(stored[1]).groupBy("format", "scale").agg(
-        F.count("*").alias("row_count"), F.sum("o_orderkey").alias("key_sum")
+    layout = orders.schema.add("scale", "integer")
+    return (
+        spark.read.schema(layout)
+        .parquet(f"{path}/parquet")
+        .withColumn("format", F.lit("parquet"))
+        .unionByName(
+            spark.read.schema(layout)
+            .option("header", True)
+            .csv(f"{path}/csv")
+            .withColumn("format", F.lit("csv"))
+        )
     )
 
 
@@ -198,6 +204,26 @@ def _plain_and_clean(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return as_doubles(route_month_stats(flights)), as_doubles(route_month_stats(inside))
 
 
+def _keys_that_repeat(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Route statistics without the month in the key, each side lacking a part."""
+    flights = flights_view(spark, sf)
+    inside = clean.drop_outliers(flights, low=LOW, high=HIGH)
+    kept = (F.col("codice") >= "C05") | (F.col("mese") == 1)
+    a = as_doubles(route_month_stats(flights)).where(kept)
+    b = as_doubles(route_month_stats(inside)).where(kept)
+    return a.where("aeroporto_partenza <> 'FRANCE'"), b.where("codice <> 'C03'")
+
+
+def reconcile_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _keys_that_repeat(spark, sf)
+    return reconcile.reconcile(a, b, S.ROUTE_MONTH_KEY[:2], job="3.1 by route")
+
+
+def differing_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _keys_that_repeat(spark, sf)
+    return reconcile.differing_cells(a, b, S.ROUTE_MONTH_KEY[:2])
+
+
 def reconcile_reports(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _full_and_half(spark, sf)
     return reconcile.reconcile(a, b, S.ROUTE_MONTH_KEY, job="3.1")
@@ -261,6 +287,9 @@ QUERIES: dict[str, Query] = {
     "carrier_deviation_top10": _on_flights(
         lambda df: ranking.top_n(carrier_deviation(df), ["aeroporto_partenza", "classifica"])
     ),
+    "carrier_deviation_by_carrier": _on_flights(
+        lambda df: ranking.top_n(carrier_deviation(df), S.CARRIER_DEVIATION_KEY)
+    ),
     "carrier_deviation_exact": _on_flights(lambda df: carrier_deviation(df, precision="exact")),
     "carrier_deviation_nulls_last": _on_flights(lambda df: carrier_deviation(df, nulls="last")),
     "carrier_deviation_zero_mean": _on_flights(
@@ -272,7 +301,7 @@ QUERIES: dict[str, Query] = {
     "drop_corrupt": _on_raw(clean.drop_corrupt),
     "impute_causes": _on_raw(clean.impute_causes),
     "drop_outliers": _on_flights(lambda df: clean.drop_outliers(df, low=LOW, high=HIGH)),
-    "clean_flights": _on_raw(lambda df: clean.clean_flights(df, low=LOW, high=HIGH)),
+    "clean_flights": _on_raw(lambda df: _wall_clock(clean.clean_flights(df, low=LOW, high=HIGH))),
     "clean_audit": _on_raw(lambda df: clean.clean_audit(df, low=LOW, high=HIGH)),
     "null_counts": _on_raw(profile.null_counts),
     "delay_limits": _on_raw(profile.value_limits),
@@ -281,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "distinct_carriers": _on_raw(lambda df: profile.distinct_values(df, "op_unique_carrier")),
     "uncoded_cancellations": _on_raw(profile.uncoded_cancellations),
     "quality_counts": _on_raw(profile.quality_counts),
+    "preparation_profile": _on_raw(lambda df: profile.preparation_profile(df, LOW, HIGH)),
     # Samples
     "sample_10": _sample(0.10),
     "sample_25": _sample(0.25),
@@ -294,6 +324,19 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "sample_flights_25": lambda spark, sf: sample.exact_sample(flights_view(spark, sf), 0.25),
+    "sample_identical_25": _on_flights(lambda df: sample.exact_sample(df.select(*FEW), 0.25)),
+    "sample_strata_identical_25": _on_flights(
+        lambda df: sample.exact_sample(df.select(*FEW), 0.25, strata=["origin"])
+    ),
+    "sample_tied_25": _on_flights(
+        lambda df: sample.exact_sample(
+            df.select("op_carrier_fl_num", *FEW), 0.25, key=["op_carrier_fl_num"]
+        )
+    ),
+    "shuffled_first": _on_orders(
+        lambda df: sample.shuffled(df, key=["o_orderkey"]).limit(100)
+    ),
+    "scaled_rows": _on_orders(lambda df: sample.scaled(df, (0.28, 0.29, 0.57, 1.5), key=["o_orderkey"])),
     "scaled_counts": _on_orders(
         lambda df: sample.scaled(df, key=["o_orderkey"])
         .groupBy("scale")
@@ -304,6 +347,8 @@ QUERIES: dict[str, Query] = {
     "reconcile_precision": reconcile_precision,
     "reconcile_stored": reconcile_stored,
     "differing_cells": differing_cells,
+    "reconcile_repeated": reconcile_repeated,
+    "differing_repeated": differing_repeated,
     "side_by_side": side_by_side,
     "set_difference": set_difference,
     "multiset_difference": multiset_difference,
@@ -316,6 +361,7 @@ QUERIES: dict[str, Query] = {
     "run_break_even": _on_runs(lambda df: runs.break_even(df, overhead=20.0)),
     "run_summary": _on_runs(runs.run_summary),
     "run_extremes": _on_runs(runs.run_extremes),
+    "run_log": run_log,
     # Stored and read back
     "csv_roundtrip": csv_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,

@@ -5,6 +5,8 @@ from tarmac.functions.missing import keep_unless, nan_to_null, number_or_zero, t
 from tarmac.functions.numeric import (
     as_doubles,
     exact_mean,
+    exact_percent,
+    exact_sum,
     mean_of,
     percent,
     ratio,
@@ -16,6 +18,8 @@ __all__ = [
     "as_doubles",
     "cause_label",
     "exact_mean",
+    "exact_percent",
+    "exact_sum",
     "keep_unless",
     "mean_of",
     "named_counts",

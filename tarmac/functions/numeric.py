@@ -1,7 +1,8 @@
 """Rounding and ratios.
 
-Rounding is half-up on decimals. The value is widened to twelve decimals first, which is
-fine enough that a mean over fewer than 10^9 whole numbers cannot be pushed onto a half.
+Rounding is half-up on decimals. Sums are decimals and so are their quotients, which keep at
+least sixteen places, so neither the order of the rows nor the size of a group moves a mean
+onto or off a half.
 """
 
 from __future__ import annotations
@@ -10,16 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Minutes with up to six places; sums of it hold 22 digits before the point.
+EXACT = T.DecimalType(18, 6)
+WIDE = T.DecimalType(38, 16)
+
 
 def rounded(value: Column, digits: int = 2) -> Column:
-    wide = value.cast(T.DecimalType(30, 12))
-    return F.round(wide, digits).cast(T.DecimalType(10, digits))
+    return F.round(value.cast(WIDE), digits).cast(T.DecimalType(10, digits))
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum that does not depend on the order rows arrive in."""
+    return F.sum(value.cast(EXACT))
 
 
 def mean_of(total: Column, count: Column, empty: float | None = None) -> Column:
-    """Unrounded mean from partial sums; ``empty`` is the value of a group without rows."""
-    mean = F.try_divide(total, count)
-    return mean if empty is None else F.coalesce(mean, F.lit(float(empty)))
+    """Mean from exact partial sums; ``empty`` is the value of a group without rows."""
+    mean = F.try_divide(total, count.cast("decimal(20,0)"))
+    return mean if empty is None else F.coalesce(mean, F.lit(empty).cast(EXACT))
+
+
+def exact_percent(part: Column, whole: Column) -> Column:
+    """Percentage of two counts as a decimal."""
+    return F.try_divide((part * 100).cast("decimal(22,6)"), whole.cast("decimal(20,0)"))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -33,9 +47,7 @@ def ratio(a: Column, b: Column, digits: int = 2) -> Column:
 
 def exact_mean(value: Column) -> Column:
     """Mean whose sum is exact, so it does not depend on the order rows arrive in."""
-    return F.try_divide(
-        F.sum(value.cast(T.DecimalType(18, 6))).cast("double"), F.count(value).cast("double")
-    )
+    return mean_of(exact_sum(value), F.count(value)).cast("double")
 
 
 def as_doubles(df: DataFrame) -> DataFrame:

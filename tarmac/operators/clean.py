@@ -120,12 +120,23 @@ def clean_audit(
 
 
 def write_clean(
-    df: DataFrame, path: str, low: float = DELAY_FLOOR, high: float = DELAY_CEILING
+    df: DataFrame,
+    path: str,
+    low: float = DELAY_FLOOR,
+    high: float = DELAY_CEILING,
+    refused: int | None = None,
+    columns: int | None = None,
 ) -> DataFrame:
-    """Write the clean flights as Parquet and return the audit, counted while writing."""
+    """Write the clean flights as Parquet and return the audit, counted while writing.
+
+    With the number of rows a reader has ``refused``, and of the ``columns`` it found, the
+    audit begins with everything that was read.
+    """
     seen = Observation()
     observed = df.observe(seen, *audit_measures(low, high))
     clean_flights(observed, low, high).write.mode("overwrite").parquet(path)
     counts = seen.get
     rows = [(step, name, counts[m], width) for step, name, m, width in audit_steps(df)]
+    if refused is not None:
+        rows.insert(0, (0, "read", counts["initial"] + refused, columns or len(df.columns)))
     return df.sparkSession.createDataFrame(rows, AUDIT_SCHEMA)

@@ -89,3 +89,47 @@ def quality_counts(df: DataFrame) -> DataFrame:
             "unknown_flag"
         ),
     )
+
+
+def preparation_profile(
+    df: DataFrame, low: float = DELAY_FLOOR, high: float = DELAY_CEILING
+) -> DataFrame:
+    """What preparation reports of the raw flights: ``measure, column_name, value``.
+
+    Missing values per column, limits of the delays, outliers and their percentage, missing
+    values of the cancelled flights without a code, and how often each flag occurs. One scan
+    for the measures and one for the flags.
+    """
+    uncoded = F.col("cancellation_code").isNull() & (F.col("cancelled") == 1)
+    bad = F.count_if(outlier(low, high))
+    measures: list[tuple[str, str, Column]] = []
+    for c in df.columns:
+        measures.append(("nulls", c, F.count_if(_missing(df, c))))
+        measures.append(("nulls_uncoded", c, F.count_if(uncoded & _missing(df, c))))
+    for c in DELAY_COLUMNS:
+        value = nan_to_null(F.col(f"`{c}`").cast("double"))
+        measures += [("smallest", c, F.min(value)), ("largest", c, F.max(value))]
+    measures += [
+        ("rows", "", F.count(F.lit(1))),
+        ("outliers", "", bad),
+        ("outlier_percent", "", percent(bad, F.count(F.lit(1)))),
+    ]
+    counted = df.agg(*[m.cast("double").alias(f"_{i}") for i, (_, _, m) in enumerate(measures)])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("measure"),
+                F.lit(column).alias("column_name"),
+                F.col(f"_{i}").alias("value"),
+            )
+            for i, (name, column, _) in enumerate(measures)
+        ]
+    )
+    flags = df.groupBy("cancelled").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return counted.select(F.inline(rows)).unionByName(
+        flags.select(
+            F.lit("flags").alias("measure"),
+            F.coalesce(F.col("cancelled").cast("string"), F.lit("missing")).alias("column_name"),
+            "value",
+        )
+    )

@@ -25,28 +25,48 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(f"`{c}`").cast("double")) for c in floats})
 
 
-def pair_rows(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], names: tuple[str, str] = ("a", "b")
-) -> DataFrame:
-    """One row per key: ``rows_<name>`` per side and every other column once per side.
-
-    Where a key repeats within a side, its largest values stand for the group; the row
-    counts show that it repeats.
-    """
-    values = [c for c in a.columns if c not in keys]
+def _stacked(a: DataFrame, b: DataFrame) -> DataFrame:
     lacking = [c for c in a.columns if c not in b.columns]
     if lacking or len(a.columns) != len(b.columns):
         raise ValueError(f"the two results have different columns: {a.columns} / {b.columns}")
-    stacked = (
+    return (
         _clean(a)
         .withColumn("_side", F.lit(0))
         .unionByName(_clean(b).withColumn("_side", F.lit(1)))
     )
+
+
+def pair_rows(
+    a: DataFrame,
+    b: DataFrame,
+    keys: Sequence[str],
+    names: tuple[str, str] = ("a", "b"),
+    texts: bool = True,
+) -> DataFrame:
+    """One row per key: ``rows_<name>`` per side and every other column once per side.
+
+    Where a key repeats within a side, its largest values stand for the group; the row
+    counts show that it repeats, and ``same_<column>`` whether both sides hold the same
+    values equally often. Without ``texts``, hashes stand for text columns, which lets the
+    aggregation keep its groups in a hash table.
+    """
+    stacked = _stacked(a, b)
+    values = [c for c in a.columns if c not in keys]
+    kinds = {f.name: f.dataType for f in stacked.schema.fields}
     measures = []
     for side, name in enumerate(names):
         here = F.col("_side") == side
         measures.append(F.count_if(here).alias(f"rows_{name}"))
-        measures += [F.max(F.when(here, F.col(f"`{c}`"))).alias(f"{c}_{name}") for c in values]
+        for c in values:
+            value = F.col(f"`{c}`")
+            if isinstance(kinds[c], T.StringType) and not texts:
+                value = F.when(value.isNotNull(), F.xxhash64(value))
+            measures.append(F.max(F.when(here, value)).alias(f"{c}_{name}"))
+    for c in values:
+        # Sums of row hashes are equal if the sides hold the same values equally often.
+        each = F.xxhash64(F.lit(c), F.col(f"`{c}`")).cast("decimal(20,0)")
+        total = F.sum(F.when(F.col("_side") == 0, each).otherwise(-each))
+        measures.append((total == 0).alias(f"same_{c}"))
     return stacked.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*measures)
 
 
@@ -75,7 +95,7 @@ def reconcile(
     names: tuple[str, str] = ("a", "b"),
 ) -> DataFrame:
     """One summary row: row counts, keys found on one side, differing cells, verdict."""
-    pairs = pair_rows(a, b, keys, names)
+    pairs = pair_rows(a, b, keys, names, texts=False)
     values = _value_columns(a, keys)
     rows_a, rows_b = (F.col(f"rows_{n}") for n in names)
     matched = (rows_a == 1) & (rows_b == 1)
@@ -144,10 +164,16 @@ def differing_cells(
     keys: Sequence[str],
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """One row per differing cell or one-sided row: key, column and both values as text."""
+    """One row per differing cell: key, column and both values as text.
+
+    A key that does not have exactly one row on either side gets an entry ``(row)`` with its
+    row counts. If it has rows on both, every column whose values the sides do not hold
+    equally often is listed with the largest of them.
+    """
     names = ("a", "b")
     pairs = pair_rows(a, b, keys, names)
-    one_sided = (F.col("rows_a") == 0) | (F.col("rows_b") == 0)
+    single = (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
+    both = (F.col("rows_a") > 0) & (F.col("rows_b") > 0)
 
     def entry(name: str, left: Column, right: Column) -> Column:
         return F.struct(
@@ -158,12 +184,14 @@ def differing_cells(
 
     cells = [
         F.when(
-            ~one_sided & _differs(pairs, c, names, tolerance),
+            F.when(single, _differs(pairs, c, names, tolerance)).otherwise(
+                both & ~F.col(f"`same_{c}`")
+            ),
             entry(c, F.col(f"`{c}_a`"), F.col(f"`{c}_b`")),
         )
         for c in _value_columns(a, keys)
     ]
-    whole = F.when(one_sided, entry("(row)", F.col("rows_a"), F.col("rows_b")))
+    whole = F.when(~single, entry("(row)", F.col("rows_a"), F.col("rows_b")))
     return pairs.select(
         *[F.col(f"`{k}`") for k in keys], F.inline(F.array_compact(F.array(whole, *cells)))
     )

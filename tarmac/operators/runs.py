@@ -15,17 +15,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions import exact_mean, ratio
-from tarmac.schema import CLUSTER_OVERHEAD_SECONDS, SCALES
+from tarmac.schema import CLUSTER_OVERHEAD_SECONDS
 
-# Environment names, analyses and scales in percent.
+# The usual names of the two environments, in the order they are compared.
 ENVIRONMENTS = ("Locale", "Cluster")
-ANALYSES = ("3.1", "3.2", "3.3")
-PERCENTS = tuple(int(s * 100) for s in SCALES)
 # End of fixed values.
 
+# A wide table has a column per analysis or scale. A log with more of them is refused.
+MOST_COLUMNS = 1000
+
 RUN = ["analysis", "tech", "pct"]
 
 
+def axis(df: DataFrame, column: str) -> list:
+    """The distinct values of ``column`` in order: what a wide table gets columns for."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1)
+    values = sorted(r[0] for r in rows.collect())
+    if len(values) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} different values of {column}")
+    return values
+
+
+def environments_of(runs: DataFrame) -> tuple[str, str]:
+    """The two environments of a log; usual names in the usual order, others by name."""
+    usual = {name: i for i, name in enumerate(ENVIRONMENTS)}
+    found = sorted(axis(runs, "env"), key=lambda e: (usual.get(e, len(usual)), e))
+    if len(found) == 1:
+        found += [e for e in ENVIRONMENTS if e not in found][:1]
+    if len(found) != 2:
+        raise ValueError(f"two environments are compared, the log has {found}")
+    return found[0], found[1]
+
+
 def _reduced(how: str, here: Column, repeat: str) -> Column:
     """Seconds of the rows selected by ``here``: the first by ``repeat``, or their mean."""
     seconds = F.when(here, F.col("seconds"))
@@ -40,17 +61,19 @@ def side_values(
     keys: Sequence[str] = RUN,
     how: str = "first",
     repeat: str = "repeat",
-    environments: tuple[str, str] = ENVIRONMENTS,
+    environments: tuple[str, str] | None = None,
 ) -> DataFrame:
     """One row per ``keys`` with the seconds of both environments, ``a`` and ``b``.
 
-    ``how`` is ``first`` (the lowest ``repeat`` wins) or ``mean``.
+    ``how`` is ``first`` (the lowest ``repeat`` wins) or ``mean``. The environments are
+    those of the log unless two are named.
     """
     sides = [
         _reduced(how, F.col("env") == env, repeat).alias(name)
-        for env, name in zip(environments, ("a", "b"))
+        for env, name in zip(environments or environments_of(runs), ("a", "b"))
     ]
-    return runs.where(F.col("env").isin(*environments)).groupBy(*keys).agg(*sides)
+    reduced = runs.groupBy(*keys).agg(*sides, F.count_if(F.col("env").isNotNull()).alias("_n"))
+    return reduced.where("_n > 0").drop("_n")
 
 
 def _label() -> Column:
@@ -60,17 +83,19 @@ def _label() -> Column:
 def run_pivot(
     runs: DataFrame,
     pct: int = 100,
-    analyses: Sequence[str] = ANALYSES,
-    environments: tuple[str, str] = ENVIRONMENTS,
+    environments: tuple[str, str] | None = None,
     **kwargs,
 ) -> DataFrame:
     """Technologies by analysis at one scale: seconds per environment and the speedup.
 
-    A technology known to one environment only keeps its row.
+    The analyses are those of the whole log. A technology known to one environment only keeps
+    its row.
     """
+    environments = environments or environments_of(runs)
+    analyses = axis(runs, "analysis")
     sides = side_values(runs.where(F.col("pct") == pct), environments=environments, **kwargs)
     suffixes = [e.lower() for e in environments]
-    wide = sides.groupBy("tech").pivot("analysis", list(analyses)).agg(
+    wide = sides.groupBy("tech").pivot("analysis", analyses or [""]).agg(
         F.first("a").alias("a"), F.first("b").alias("b")
     )
     columns = ["tech"]
@@ -90,28 +115,22 @@ def run_speedup(runs: DataFrame, **kwargs) -> DataFrame:
     return both.select(*RUN, _label(), "a", "b", ratio(F.col("a"), F.col("b")).alias("speedup"))
 
 
-def speedup_matrix(
-    runs: DataFrame, percents: Sequence[int] = PERCENTS, **kwargs
-) -> DataFrame:
-    """Speedups by label (rows) and scale (columns ``p10``, ``p25``, ...)."""
-    return _matrix(run_speedup(runs, **kwargs), "speedup", percents)
+def speedup_matrix(runs: DataFrame, **kwargs) -> DataFrame:
+    """Speedups by label (rows) and scale (columns ``p10``, ``p25``, ... of the log)."""
+    return _matrix(run_speedup(runs, **kwargs), "speedup", axis(runs, "pct"))
 
 
 def seconds_matrix(
-    runs: DataFrame,
-    environment: str,
-    percents: Sequence[int] = PERCENTS,
-    how: str = "first",
-    repeat: str = "repeat",
+    runs: DataFrame, environment: str, how: str = "first", repeat: str = "repeat"
 ) -> DataFrame:
     """Seconds of one environment by label and scale."""
     here = runs.where(F.col("env") == environment)
     values = here.groupBy(*RUN).agg(_reduced(how, F.lit(True), repeat).alias("seconds"))
-    return _matrix(values.select("*", _label()), "seconds", percents)
+    return _matrix(values.select("*", _label()), "seconds", axis(runs, "pct"))
 
 
 def _matrix(values: DataFrame, column: str, percents: Sequence[int]) -> DataFrame:
-    wide = values.groupBy("label").pivot("pct", list(percents)).agg(F.first(column))
+    wide = values.groupBy("label").pivot("pct", percents or [0]).agg(F.first(column))
     return wide.select("label", *[F.col(f"`{p}`").alias(f"p{p}") for p in percents]).orderBy(
         "label"
     )
@@ -128,32 +147,31 @@ def mean_speedup(runs: DataFrame, **kwargs) -> DataFrame:
 
 
 def break_even(
-    runs: DataFrame,
-    overhead: float = CLUSTER_OVERHEAD_SECONDS,
-    analyses: Sequence[str] = ANALYSES,
-    percents: Sequence[int] = PERCENTS,
-    **kwargs,
+    runs: DataFrame, overhead: float = CLUSTER_OVERHEAD_SECONDS, **kwargs
 ) -> DataFrame:
     """Does the second environment save more than its start-up cost?
 
-    One row per technology and analysis, one column per scale: ``yes``, ``no``, or ``-``
-    where a run is missing on either side.
+    One row per technology and analysis of the log, one column per scale: ``yes``, ``no``,
+    or ``-`` where a run is missing on either side. The runs are reduced once; the grid is
+    read from the flags of each technology.
     """
+    analyses, percents = axis(runs, "analysis"), axis(runs, "pct")
     saved = F.col("a") - F.col("b") - F.lit(float(overhead))
-    flags = side_values(runs, **kwargs).select(
-        "tech", "analysis", "pct", F.when(saved > 0, "yes").when(saved <= 0, "no").alias("flag")
-    )
-    wide = flags.groupBy("tech", "analysis").pivot("pct", list(percents)).agg(F.first("flag"))
-    # Technologies times the listed analyses: combinations never run still get a row.
-    grid = runs.select("tech").distinct().withColumn(
-        "analysis", F.explode(F.array(*[F.lit(x) for x in analyses]))
-    )
-    cells = [F.coalesce(F.col(f"`{p}`"), F.lit("-")).alias(f"p{p}") for p in percents]
-    return (
-        grid.join(wide, ["tech", "analysis"], "left")
-        .select("tech", "analysis", *cells)
-        .orderBy("tech", "analysis")
+    flag = F.when(saved > 0, "yes").when(saved <= 0, "no").otherwise("-")
+    place = F.concat_ws("/", F.col("pct").cast("string"), "analysis")
+    flags = (
+        side_values(runs, **kwargs)
+        .groupBy("tech")
+        .agg(F.map_from_entries(F.collect_list(F.struct(place, flag))).alias("flags"))
     )
+    grid = flags.withColumn("analysis", F.explode(F.lit(analyses).cast("array<string>")))
+    cells = [
+        F.coalesce(
+            F.col("flags")[F.concat_ws("/", F.lit(str(p)), "analysis")], F.lit("-")
+        ).alias(f"p{p}")
+        for p in percents
+    ]
+    return grid.select("tech", "analysis", *cells).orderBy("tech", "analysis")
 
 
 def run_summary(runs: DataFrame, pct: int = 100, **kwargs) -> DataFrame:

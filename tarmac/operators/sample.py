@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.rowhash import HASH_DIGITS, row_hash
 from tarmac.schema import SAMPLE_SEED, SCALES
+from tarmac.session import stored
 
 # Digits read per counting level: one level yields at most 16^4 = 65,536 counters.
 STEP = 4
-# A hash range with fewer rows than this is resolved hash by hash.
+# A hash range with fewer rows than this is resolved hash by hash. The third level always is:
+# it sees one prefix of 8 digits per size, a 2^32nd of the distinct hashes.
 SMALL_RANGE = 1_000_000
 # Identical rows are multiplied in blocks of this size, spread over the cluster.
 COPY_BLOCK = 100_000
@@ -161,13 +163,27 @@ def shuffled(df: DataFrame, key: Sequence[str] | None = None, seed: int = SAMPLE
 def oversample(
     df: DataFrame, extra: float = 0.5, key: Sequence[str] | None = None, seed: int = SAMPLE_SEED
 ) -> DataFrame:
-    """All rows plus an exact sample of them, so each row appears once or twice."""
-    cut = find_cuts(df, [float(extra)], key, seed)[0]
-    copies = F.when(cut.covers(row_hash(key or df.columns, seed)), F.array(F.lit(1), F.lit(2)))
-    doubled = df.withColumn(
-        "_copy", F.explode(F.coalesce(copies, F.array(F.lit(1))))
-    ).drop("_copy")
-    return doubled.unionByName(_split_tie(df, cut, key, seed)) if cut.splits_tie else doubled
+    """All rows plus ``extra`` times as many: whole copies, and an exact sample for the rest.
+
+    With 0.5 a row appears once or twice, with 1.5 twice or three times.
+    """
+    if extra < 0:
+        raise ValueError("extra is not negative")
+    times, rest = 1 + int(extra), float(extra) % 1
+    cut = find_cuts(df, [rest], key, seed)[0] if rest else EMPTY
+    more = cut.covers(row_hash(key or df.columns, seed)) if rest else F.lit(False)
+    copies = F.when(more, F.lit(times + 1)).otherwise(F.lit(times))
+    repeated = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    return repeated.unionByName(_split_tie(df, cut, key, seed)) if cut.splits_tie else repeated
+
+
+def percent_labels(scales: Sequence[float]) -> list[int]:
+    """The scales in percent. Two scales must not share a label, and labels are whole."""
+    labels = [round(s * 100) for s in scales]
+    odd = [s for s, label in zip(scales, labels) if s <= 0 or abs(s * 100 - label) > 1e-6]
+    if odd or len(set(labels)) < len(labels):
+        raise ValueError(f"scales are different whole percentages, not {list(scales)}")
+    return labels
 
 
 def scaled(
@@ -181,14 +197,16 @@ def scaled(
     The input is scanned once for all scales: a row is repeated for each scale it is in.
     """
     h = row_hash(key or df.columns, seed)
-    partial = sorted({float(s % 1) for s in scales if s % 1})
-    cuts = dict(zip(partial, find_cuts(df, partial, key, seed) if partial else []))
+    percents = percent_labels(scales)
+    partial = sorted({p % 100 for p in percents if p % 100})
+    sizes = [p / 100 for p in partial]
+    cuts = dict(zip(partial, find_cuts(df, sizes, key, seed) if partial else []))
     members, ties = [], []
-    for s in scales:
-        label = F.lit(int(s * 100))
-        members += [label] * int(s)
-        if s % 1:
-            cut = cuts[float(s % 1)]
+    for percent in percents:
+        label = F.lit(percent)
+        members += [label] * (percent // 100)
+        if percent % 100:
+            cut = cuts[percent % 100]
             members.append(F.when(cut.covers(h), label))
             if cut.splits_tie:
                 ties.append(_split_tie(df, cut, key, seed).withColumn("scale", label))
@@ -215,14 +233,19 @@ def _split_tie(df: DataFrame, cut: Cut, key: Sequence[str] | None, seed: int) ->
 
 
 def _repeat(groups: DataFrame) -> DataFrame:
-    """Each row ``_n`` times, the copies of one row spread over many tasks."""
+    """Each row ``_n`` times, the copies of one row spread over many tasks.
+
+    Blocks of copies are dealt round robin to a stated number of tasks; without that number
+    adaptive execution would merge the blocks, which are small before they are multiplied.
+    """
     blocks = groups.where("_n > 0").withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPY_BLOCK)))
     )
     size = F.least(F.lit(COPY_BLOCK), F.col("_n") - F.col("_block") * COPY_BLOCK)
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         blocks.withColumn("_size", size.cast("int"))
-        .repartition("_block")
+        .repartition(tasks)
         .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_size"))))
         .drop("_n", "_block", "_size", "_copy")
     )
@@ -231,60 +254,39 @@ def _repeat(groups: DataFrame) -> DataFrame:
 def _sample_strata(
     df: DataFrame, fraction: float, key: Sequence[str] | None, seed: int, strata: list[str]
 ) -> DataFrame:
-    """Per-stratum sample: the cut is a table with one row per stratum.
-
-    The tables joined here hold one row per stratum, so a stratum with most of the data
-    meets a single row and adaptive execution may split it freely. Each level reads the
-    hashed columns once: three levels, six with a ``key``.
+    """Per-stratum sample by a table of cuts, one row per stratum.
+
+    Every counting level scans the hashed columns once and stores its table; with a key
+    whose hashes tie at a cut, three more levels tell the tied rows apart by the hash of the
+    whole row. The sample is one more scan that meets the stored cuts. Spark broadcasts them
+    while they are below its threshold; beyond it there are so many strata that the rows
+    spread over them, and a stratum with most of the rows meets a single cut, so adaptive
+    execution can split it. Only identical rows that tie at a cut are scanned once more.
     """
-    row = row_hash(key or df.columns, seed)
-    # With a key the whole-row hash follows, so only identical rows can tie.
-    h = F.concat(row, row_hash(df.columns, seed)) if key else row
-    steps = [STEP, 2 * STEP, HASH_DIGITS]
-    if key:
-        steps += [HASH_DIGITS + STEP, HASH_DIGITS + 2 * STEP, 2 * HASH_DIGITS]
     names = [f"_s{i}" for i in range(len(strata))]
-    hashed = df.select(*[F.col(s).alias(n) for s, n in zip(strata, names)], h.alias("h"))
-
-    position = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    stratum = Window.partitionBy(*names)
-
-    def located(counters: DataFrame) -> DataFrame:
-        upto = counters.withColumn("upto", F.sum("n").over(position))
-        here = (F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto"))
-        return upto.where(here).select(
-            *names, "part", "n", (F.col("k") - F.col("upto") + F.col("n")).alias("k")
-        )
-
-    counted = (
-        hashed.groupBy(*names, F.substring("h", 1, steps[0]).alias("part"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("k", _rows_wanted(fraction, F.sum("n").over(stratum)))
-    )
-    ends = located(counted)
-    for done, deeper in zip(steps, steps[1:]):
-        parents = ends.select(
-            *[F.col(n).alias(f"{n}_p") for n in names], F.col("part").alias("parent"), "k"
-        )
-        same = reduce(
-            lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_p")) for n in names]
-        ) & (F.substring("h", 1, done) == F.col("parent"))
-        ends = located(
-            hashed.join(parents, same)
-            .groupBy(*names, F.substring("h", 1, deeper).alias("part"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
-        )
-
-    ends = ends.select(
+    of_key = row_hash(key, seed) if key else None
+    of_row = row_hash(df.columns, seed)
+    places = [F.col(s).alias(n) for s, n in zip(strata, names)]
+    hashed = df.select(*places, (of_key if key else of_row).alias("h"))
+    ends = _strata_cuts(hashed, names, STEP, _rows_wanted(fraction, F.col("total")), None)
+    h = of_key if key else of_row
+    if key and not ends.where("k < n").isEmpty():
+        h = F.concat(of_key, of_row)
+        hashed = df.select(*places, h.alias("h"))
+        ends = _strata_cuts(hashed, names, HASH_DIGITS + STEP, None, ends)
+
+    cuts = ends.select(
         *names, F.col("part").alias("_cut"), F.col("k").alias("_take"), F.col("n").alias("_tied")
     )
     on = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(strata, names)])
-    joined = df.withColumn("_h", h).join(ends, on)
-    below = joined.where(
-        (F.col("_h") < F.col("_cut"))
-        | ((F.col("_h") == F.col("_cut")) & (F.col("_take") == F.col("_tied")))
-    ).select(*df.columns)
-    tied = joined.where((F.col("_h") == F.col("_cut")) & (F.col("_take") < F.col("_tied")))
+    joined = df.withColumn("_h", h).join(cuts, on)
+    split = F.col("_take") < F.col("_tied")
+    # Where the cut splits a tie, the tied rows are not below it.
+    inside = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & ~split)
+    below = joined.where(inside).select(*df.columns)
+    if cuts.where(split).isEmpty():
+        return below
+    tied = joined.where((F.col("_h") == F.col("_cut")) & split)
     before = (
         Window.partitionBy(*strata)
         .orderBy(*df.columns)
@@ -298,3 +300,47 @@ def _sample_strata(
         .drop("_take")
     )
     return below.unionByName(_repeat(groups))
+
+
+def _strata_cuts(
+    hashed: DataFrame,
+    names: list[str],
+    first: int,
+    wanted: Column | None,
+    ends: DataFrame | None,
+) -> DataFrame:
+    """Per stratum the hash where its sample ends, and ``k`` of ``n`` rows to take there.
+
+    Three counting levels of ``first``, ``first + STEP`` and all digits of one hash. With
+    ``ends``, the search goes on inside them.
+    """
+    position = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    whole = first - STEP + HASH_DIGITS
+    done = first - STEP
+    for deeper in (first, first + STEP, whole):
+        part = F.substring("h", 1, deeper).alias("part")
+        if ends is None:
+            counters = hashed.groupBy(*names, part).agg(F.count(F.lit(1)).alias("n"))
+            total = F.sum("n").over(Window.partitionBy(*names))
+            counters = counters.withColumn("total", total).withColumn("k", wanted).drop("total")
+        else:
+            parents = ends.select(
+                *[F.col(n).alias(f"{n}_p") for n in names],
+                F.col("part").alias("parent"),
+                "k",
+            )
+            same = reduce(
+                lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_p")) for n in names]
+            ) & (F.substring("h", 1, done) == F.col("parent"))
+            counters = (
+                hashed.join(parents, same)
+                .groupBy(*names, part)
+                .agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
+            )
+        upto = counters.withColumn("upto", F.sum("n").over(position))
+        here = (F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto"))
+        located = upto.where(here).select(
+            *names, "part", "n", (F.col("k") - F.col("upto") + F.col("n")).alias("k")
+        )
+        ends, done = stored(located, "cuts"), deeper
+    return ends

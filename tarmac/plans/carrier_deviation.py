@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions import mean_of, nan_to_null, percent, rounded
+from tarmac.functions import exact_percent, exact_sum, mean_of, nan_to_null, rounded
 from tarmac.schema import CARRIER_DEVIATION_HEADER, MEAN
 
 
@@ -20,9 +20,9 @@ def _partials(flights: DataFrame, origin: str, carrier: str, cancelled: str) ->
     ).agg(
         F.count(F.lit(1)).alias("numero_voli"),
         F.count_if(F.col(cancelled) == 1).alias("cancellati"),
-        F.sum(dep).alias("dep_sum"),
+        exact_sum(dep).alias("dep_sum"),
         F.count(dep).alias("dep_n"),
-        F.sum(arr).alias("arr_sum"),
+        exact_sum(arr).alias("arr_sum"),
         F.count(arr).alias("arr_n"),
     )
 
@@ -33,7 +33,7 @@ def airport_means(
     """Mean departure delay of every airport's flown flights."""
     dep = _flown("dep_delay", cancelled)
     return flights.groupBy(F.col(origin).alias("aeroporto_partenza")).agg(
-        rounded(mean_of(F.sum(dep), F.count(dep))).alias("ritardo_medio_complessivo")
+        rounded(mean_of(exact_sum(dep), F.count(dep))).alias("ritardo_medio_complessivo")
     )
 
 
@@ -46,15 +46,13 @@ def carrier_deviation(
     empty_mean: float | None = None,
     nulls: str = "first",
     keep_empty_airports: bool = True,
-    order: str = "rank",
 ) -> DataFrame:
     """Report 3.3: rank 1 is the lowest mean departure delay, carrier name breaks ties.
 
     ``precision`` says which means ``differenza`` subtracts: both ``rounded``, both
     ``exact``, or ``mixed`` (rounded carrier, exact airport). ``nulls`` places carriers
     without any flown departure ``first`` or ``last``. Without ``keep_empty_airports``
-    airports that have no flown departure at all are left out. ``order`` sorts each
-    airport by ``rank`` or by ``carrier``.
+    airports that have no flown departure at all are left out.
 
     The flights are aggregated once, to one row per airport and carrier; airport means
     come from those partial sums. Both windows share one shuffle of these few rows: an
@@ -69,7 +67,7 @@ def carrier_deviation(
     gap = {
         "rounded": lambda: shown - rounded(airport_mean),
         "exact": lambda: carrier_mean - airport_mean,
-        "mixed": lambda: shown.cast("double") - airport_mean,
+        "mixed": lambda: shown - airport_mean,
     }[precision]()
     place = F.asc_nulls_first if nulls == "first" else F.asc_nulls_last
     rank = F.row_number().over(airport.orderBy(place("ritardo_medio_partenza"), "compagnia"))
@@ -88,7 +86,7 @@ def carrier_deviation(
     )
     if not keep_empty_airports:
         stats = stats.where(F.col("airport_n") > 0)
-    report = stats.select(
+    return stats.select(
         "aeroporto_partenza",
         "compagnia",
         "numero_voli",
@@ -96,11 +94,9 @@ def carrier_deviation(
         rounded(mean_of(F.col("arr_sum"), F.col("arr_n"), empty_mean)).alias(
             "ritardo_medio_arrivo"
         ),
-        rounded(percent(F.col("cancellati"), F.col("numero_voli")), 1).alias(
+        rounded(exact_percent(F.col("cancellati"), F.col("numero_voli")), 1).alias(
             "tasso_cancellazione"
         ),
         (rounded(gap) if precision != "rounded" else gap.cast(MEAN)).alias("differenza"),
         "classifica",
     ).select(*CARRIER_DEVIATION_HEADER)
-    second = {"rank": "classifica", "carrier": "compagnia"}[order]
-    return report.orderBy("aeroporto_partenza", second)

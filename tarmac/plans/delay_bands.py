@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import (
     cause_label,
+    exact_sum,
     mean_of,
     named_counts,
     nan_to_null,
@@ -23,7 +24,6 @@ from tarmac.schema import (
     CANCELLATION_CODES,
     CAUSE_COLUMNS,
     DELAY_BAND_HEADER,
-    DELAY_BAND_KEY,
 )
 
 # Report column names of the low, middle and high band.
@@ -57,8 +57,8 @@ def _band_measures(
         in_dep, in_arr = F.when(inside, dep), F.when(inside, arr)
         measures += [
             F.count(in_dep).alias(number),
-            rounded(mean_of(F.sum(in_dep), F.count(in_dep), empty_mean)).alias(dep_name),
-            rounded(mean_of(F.sum(in_arr), F.count(in_arr), empty_mean)).alias(arr_name),
+            rounded(mean_of(exact_sum(in_dep), F.count(in_dep), empty_mean)).alias(dep_name),
+            rounded(mean_of(exact_sum(in_arr), F.count(in_arr), empty_mean)).alias(arr_name),
         ]
     return measures
 
@@ -150,8 +150,4 @@ def delay_band_report(
         *_band_measures(edges, empty_mean), *[n.alias(c) for c, n in causes.items()]
     )
     label = cause_label(named_counts({c: F.col(f"`{c}`") for c in causes}), k)
-    return (
-        stats.withColumn("cause_maggiori", label)
-        .select(*DELAY_BAND_HEADER)
-        .orderBy(*DELAY_BAND_KEY)
-    )
+    return stats.withColumn("cause_maggiori", label).select(*DELAY_BAND_HEADER)

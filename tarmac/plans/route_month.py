@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions import mean_of, nan_to_null, percent, rounded
-from tarmac.schema import ROUTE_MONTH_KEY
+from tarmac.functions import exact_percent, exact_sum, mean_of, nan_to_null, rounded
 
 
 def route_month_stats(
@@ -32,8 +31,8 @@ def route_month_stats(
         F.count(F.lit(1)).alias("numero_voli"),
         F.coalesce(F.min(flown), F.lit(0.0)).alias("ritardo_minimo"),
         F.coalesce(F.max(flown), F.lit(0.0)).alias("ritardo_massimo"),
-        rounded(mean_of(F.sum(flown), F.count(flown), empty_mean)).alias("ritardo_medio"),
-        rounded(percent(F.count_if(F.col(cancelled) == 1), F.count(F.lit(1))), 1).alias(
+        rounded(mean_of(exact_sum(flown), F.count(flown), empty_mean)).alias("ritardo_medio"),
+        rounded(exact_percent(F.count_if(F.col(cancelled) == 1), F.count(F.lit(1))), 1).alias(
             "tasso_cancellazione"
         ),
     )
@@ -46,4 +45,4 @@ def route_month_stats(
         "ritardo_medio",
         "tasso_cancellazione",
         "mese",
-    ).orderBy(*ROUTE_MONTH_KEY)
+    )

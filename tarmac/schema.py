@@ -69,6 +69,7 @@ CARRIER_DEVIATION_HEADER = [
     "differenza",
     "classifica",
 ]
+# End of fixed values.
 
 # Cleaning band in minutes, delay band edges, dataset scales and seed.
 DELAY_FLOOR, DELAY_CEILING = -30.0, 1440.0
@@ -144,5 +145,7 @@ RUN_LOG_FILE = struct_of(
         "Analisi": T.StringType(),
         "Tecnologia": T.StringType(),
         "Tempo_Secondi": T.DoubleType(),
+        # Start in microseconds; logs written elsewhere end before this column.
+        "Inizio": T.LongType(),
     }
 )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,16 +33,33 @@ def build_session(app_name: str = "tarmac", **settings: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach, deleted when the application ends.
 
-    It lies under ``spark.checkpoint.dir``. Only a local session without that setting
-    falls back to a temporary folder, because there driver and executors share a disk.
+    It lies under ``spark.checkpoint.dir``. Only a session on one machine without that
+    setting falls back to a temporary folder, because there driver and executors are one.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
-    if shared:
-        return f"{shared.rstrip('/')}/tarmac-{label}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix=f"tarmac-{label}-") + "/data"
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        shared = tempfile.gettempdir()
+    folder = f"{shared.rstrip('/')}/tarmac-{label}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder + "/data"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the scratch folder and read again.
+
+    Cuts the lineage with files that every executor reaches, so a lost executor costs its
+    running tasks only.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,9 +7,8 @@ from tarmac.sources.reports import (
     snapshot,
     write_report,
     write_scales,
-    write_single,
 )
-from tarmac.sources.runs import append_run, read_runs, timed
+from tarmac.sources.runs import append_run, read_runs, timed, write_runs
 
 __all__ = [
     "Loaded",
@@ -24,6 +23,6 @@ __all__ = [
     "split_flags",
     "timed",
     "write_report",
+    "write_runs",
     "write_scales",
-    "write_single",
 ]

@@ -23,6 +23,7 @@ CAUSES = tuple(CAUSE_COLUMNS.values())
 class Loaded(NamedTuple):
     good: DataFrame
     rejected: DataFrame
+    columns: list[str]
 
 
 def _flag_ok() -> Column:
@@ -81,8 +82,7 @@ def read_csv(
     good = rows.where(whole & flag_ok).select(
         *[_value(n, parsed[n].dataType).alias(n) for n in names if n in KNOWN]
     )
-    bad = rows.where(keep_unless(whole & flag_ok))
-    return Loaded(good, _rejected(bad, parsed, names, sep, null_text))
+    return Loaded(good, _rejected(spark.read.text(path), parsed, names, sep, null_text), names)
 
 
 def _value(name: str, parsed: T.DataType) -> Column:
@@ -97,39 +97,47 @@ def _value(name: str, parsed: T.DataType) -> Column:
 
 
 def _rejected(
-    rows: DataFrame, parsed: T.StructType, names: list[str], sep: str, null_text: str
+    lines: DataFrame, parsed: T.StructType, names: list[str], sep: str, null_text: str
 ) -> DataFrame:
-    """The refused lines with the reasons: ``width``, ``flag``, or an unreadable column.
+    """The refused lines as they stand in the file, with the reasons: ``width``, ``flag``, or
+    an unreadable column.
 
-    Only these few lines are taken apart a second time, as plain text.
+    The lines are parsed with the reader's own types to find those it refuses, and as plain
+    text to say why.
     """
-    cells = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
-    record = F.coalesce(F.col(CORRUPT), F.concat_ws(sep, *cells)).alias("record")
-    layout = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
     options = {"sep": sep, "columnNameOfCorruptRecord": CORRUPT, "nullValue": null_text}
     options |= {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    lines = rows.select(record).withColumn("_text", F.from_csv("record", layout, options))
-    reasons = [F.when(F.col("_text")[CORRUPT].isNotNull(), F.lit("width"))]
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed)
+    plain = ", ".join(f"`{n}` string" for n in names)
+    read = lines.where(F.trim("value") != "").select(
+        F.col("value").alias("record"),
+        F.from_csv("value", f"{typed}, `{CORRUPT}` string", options).alias("_row"),
+        F.from_csv("value", f"{plain}, `{CORRUPT}` string", options).alias("_text"),
+    )
+    row, text = F.col("_row"), F.col("_text")
+    refused = row[CORRUPT].isNotNull()
+    reasons = [F.when(text[CORRUPT].isNotNull(), F.lit("width"))]
     for name in names:
-        text, kind = F.col("_text")[name], parsed[name].dataType
+        kind = parsed[name].dataType
         if isinstance(kind, T.StringType):
             continue
-        unreadable = text.isNotNull() & text.try_cast(kind).isNull()
+        unreadable = text[name].isNotNull() & text[name].try_cast(kind).isNull()
         reasons.append(F.when(unreadable, F.lit(name)))
     if "cancelled" in names:
-        flag = F.col("_text")["cancelled"].try_cast("double")
-        present = F.col("_text")[CORRUPT].isNull() | F.col("_text")["cancelled"].isNotNull()
+        flag = text["cancelled"].try_cast("double")
+        present = text[CORRUPT].isNull() | text["cancelled"].isNotNull()
         odd = present & ~F.coalesce(flag.isin(0, 1), F.lit(False))
+        refused = refused | ~F.coalesce(row["cancelled"].isin(0, 1), F.lit(False))
         reasons.append(F.when(odd, F.lit("flag")))
-    header = F.col("_text")[names[0]].eqNullSafe(F.lit(names[0]))
-    return lines.where(~header).select(
+    header = text[names[0]].eqNullSafe(F.lit(names[0]))
+    return read.where(refused & ~header).select(
         "record", F.array_compact(F.array(*reasons)).alias("reasons")
     )
 
 
 def split_flags(df: DataFrame) -> Loaded:
     """Rows whose cancellation flag is 0 or 1, and the others."""
-    return Loaded(df.where(_flag_ok()), df.where(keep_unless(_flag_ok())))
+    return Loaded(df.where(_flag_ok()), df.where(keep_unless(_flag_ok())), df.columns)
 
 
 def read_parquet(spark: SparkSession, path: str) -> Loaded:
@@ -145,11 +153,15 @@ def declare_flights(
     """(Re)define a table over existing files, for use from SQL.
 
     ``table`` may carry a database, which is created if it does not exist. Dropping the
-    old definition leaves its files alone, as the table is external.
+    old definition leaves its files alone, as the table is external. Columns of text files
+    are taken in the order of their header, and a file with another header is refused.
     """
     if "." in table:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rsplit('.', 1)[0]}")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    options = {"header": "true"} if source == "csv" else {}
-    schema = T.StructType([T.StructField(n, k) for n, k in FLIGHT_COLUMNS.items()])
+    options, names = {}, list(FLIGHT_COLUMNS)
+    if source == "csv":
+        options = {"header": "true", "enforceSchema": "false"}
+        names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(n, KNOWN.get(n, T.StringType())) for n in names])
     return spark.catalog.createTable(table, path=path, source=source, schema=schema, **options)

@@ -17,8 +17,6 @@ from tarmac.operators.sample import scaled
 from tarmac.schema import SAMPLE_SEED, SCALES
 
 QUOTED = "cause_maggiori"
-# A report goes into one file only up to this many rows.
-SINGLE_FILE_ROWS = 1_000_000
 
 
 def _unquoted(df: DataFrame) -> DataFrame:
@@ -62,22 +60,6 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return df.withColumn(QUOTED, F.concat(F.lit('"'), F.col(QUOTED), F.lit('"')))
 
 
-def write_single(
-    spark: SparkSession,
-    path: str,
-    target: str,
-    schema: T.StructType,
-    order: Sequence[str],
-    max_rows: int = SINGLE_FILE_ROWS,
-) -> None:
-    """Rewrite a stored report as one text file, if it is small enough for one task."""
-    report = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    rows = report.count()
-    if rows > max_rows:
-        raise ValueError(f"{rows} rows are too many for one file (limit {max_rows})")
-    _save(report.coalesce(1).sortWithinPartitions(*order), target, "csv")
-
-
 def snapshot(
     spark: SparkSession,
     path: str,

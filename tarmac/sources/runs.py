@@ -14,7 +14,8 @@ from tarmac.schema import RUN_LOG_FILE
 def read_runs(spark: SparkSession, path: str, env: str) -> DataFrame:
     """A run log in the layout ``10%,3.1,Hive,8`` as ``analysis, tech, pct, env, seconds``.
 
-    Repeated runs are told apart by ``repeat``, their position in the log.
+    Repeated runs are told apart by ``repeat``, the start of the run; logs without a start
+    number their rows as they are read.
     """
     log = spark.read.schema(RUN_LOG_FILE).option("header", True).csv(path)
     return log.select(
@@ -23,7 +24,7 @@ def read_runs(spark: SparkSession, path: str, env: str) -> DataFrame:
         F.replace(F.col("Percentuale"), F.lit("%"), F.lit("")).cast("int").alias("pct"),
         F.lit(env).alias("env"),
         F.col("Tempo_Secondi").alias("seconds"),
-        F.monotonically_increasing_id().alias("repeat"),
+        F.coalesce("Inizio", F.monotonically_increasing_id()).alias("repeat"),
     )
 
 
@@ -31,10 +32,24 @@ def append_run(
     spark: SparkSession, path: str, pct: int, analysis: str, tech: str, seconds: float
 ) -> None:
     """Add one run to the log at ``path``."""
-    row = spark.createDataFrame([(f"{pct}%", analysis, tech, float(seconds))], RUN_LOG_FILE)
+    started = time.time_ns() // 1000
+    row = spark.createDataFrame(
+        [(f"{pct}%", analysis, tech, float(seconds), started)], RUN_LOG_FILE
+    )
     row.coalesce(1).write.mode("append").option("header", True).csv(path)
 
 
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Add many runs to the log at ``path``, in the order of ``repeat``."""
+    runs.select(
+        F.concat(F.col("pct").cast("string"), F.lit("%")).alias("Percentuale"),
+        F.col("analysis").alias("Analisi"),
+        F.col("tech").alias("Tecnologia"),
+        F.col("seconds").cast("double").alias("Tempo_Secondi"),
+        F.col("repeat").cast("bigint").alias("Inizio"),
+    ).write.mode("append").option("header", True).csv(path)
+
+
 def timed(
     spark: SparkSession, log: str, pct: int, analysis: str, tech: str, job: Callable[[], object]
 ) -> float:

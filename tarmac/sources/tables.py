@@ -20,39 +20,28 @@ TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
     "value double, props string",
 }
-# Orders up to this many bytes on disk (about a million rows) are joined by broadcast.
-BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _stored_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the nation of their customer.
 
     Orders meet customers and nations before the line items, so the largest table is
-    shuffled at most once. Spark overestimates the size of joined inputs; whether the
-    orders fit a broadcast is therefore decided by their own stored size, and beyond the
-    limit the join shuffles.
+    shuffled at most once. Which side is broadcast is left to Spark.
     """
-    stored = load(spark, sf_dir, "orders")
-    orders = stored.select("o_orderkey", "o_custkey")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = load(spark, sf_dir, "customer").selectExpr(
-        "c_custkey", "c_nationkey", "c_nationkey % 5 = 0 as strike"
+        "c_custkey", "c_nationkey", "c_nationkey % 5 = 0 as strike", "c_nationkey = 7 as closed"
     )
     nations = load(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name as origin")
     origins = (
         orders.join(customers, F.expr("o_custkey = c_custkey"))
         .join(nations, F.expr("c_nationkey = n_nationkey"))
-        .select("o_orderkey", "origin", "strike")
+        .select("o_orderkey", "origin", "strike", "closed")
     )
-    if _stored_bytes(stored) <= BROADCAST_BYTES:
-        origins = F.broadcast(origins)
     # Everything that needs no origin is computed below the join, so that a filter above
     # it is pushed down without repeating these expressions.
     late = "l_quantity * 3 - 30 > 15"
@@ -75,10 +64,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey % 15 = 0 as striking",
         "l_partkey % 97 = 0 as off_route",
         "l_partkey % 89 = 0 as unlogged",
+        "l_partkey % 101 = 0 as diverted_code",
+        "l_partkey % 13 = 0 as uncoded",
+        "case when l_partkey % 211 = 0 then 2L when l_partkey % 223 = 0 then -1L end as odd_flag",
         "case when l_partkey % 5 = 0 then '' when l_partkey % 7 = 0 then 'abc' end as scrawl",
     )
     return lines.join(origins, F.expr("l_orderkey = o_orderkey")).selectExpr(
-        "*", "not (returned or (striking and strike)) as flown"
+        "*", "not (returned or (striking and strike) or closed) as flown"
     )
 
 
@@ -88,7 +80,7 @@ def _flight_columns() -> dict[str, str]:
     columns["dep_delay"] = "if(flown, dep_minutes, null)"
     columns["arr_delay"] = "if(flown, arr_minutes, null)"
     columns["cancelled"] = "if(flown, 0L, 1L)"
-    columns["cancellation_code"] = "if(flown, null, code)"
+    columns["cancellation_code"] = "if(if(flown, diverted_code, not uncoded), code, null)"
     for c in CAUSE_COLUMNS.values():
         columns[c] = f"if(flown, {c}, 0d)"
     return columns
@@ -99,18 +91,24 @@ def _select(lines: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean flights, one per line item."""
+    """Clean flights, one per line item.
+
+    One airport never sees a departure, some cancelled flights have no code, and some flown
+    ones have one.
+    """
     return _select(_lines(spark, sf_dir), _flight_columns())
 
 
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights before cleaning.
 
-    Adds ``year`` and ``diverted``, blanks some departure delays, and gives part of the
-    cause minutes as text, missing or unreadable.
+    Adds ``year`` and ``diverted``, blanks some departure delays, gives the date as text and
+    part of the cause minutes as text, missing or unreadable, and has odd and missing flags.
     """
     columns = {"year": "2024L", "diverted": "if(flown and off_route, 1L, 0L)"}
     columns |= _flight_columns()
+    columns["fl_date"] = "date_format(fl_date, 'yyyy-MM-dd HH:mm:ss')"
+    columns["cancelled"] = "nullif(coalesce(odd_flag, if(flown, 0L, 1L)), -1L)"
     columns["dep_delay"] = "if(flown and (off_route or not unlogged), dep_minutes, null)"
     for c in ("carrier_delay", "weather_delay", "nas_delay"):
         text = f"cast(if(flown, {c}, 0d) as string)"
@@ -119,11 +117,9 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a run log: views ran in one environment, clicks in the other."""
+    """Events as a run log: views and errors ran in one environment, all others in the other."""
     events = load(spark, sf_dir, "events")
-    env = F.when(F.col("event_type") == "view", "Locale").when(
-        F.col("event_type") == "click", "Cluster"
-    )
+    env = F.when(F.col("event_type").isin("view", "error"), "Locale").otherwise("Cluster")
     techs = F.array(*[F.lit(t) for t in ("Hive", "Spark_SQL", "Spark_Core", "MapReduce")])
     percents = F.array(*[F.lit(p) for p in (10, 25, 50, 75, 100, 150)])
     return events.select(
@@ -133,4 +129,4 @@ def runs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         env.alias("env"),
         F.col("value").cast("decimal(12,2)").alias("seconds"),
         F.col("event_id").alias("repeat"),
-    ).where(F.col("env").isNotNull())
+    )

@@ -15,9 +15,17 @@ def test_raw_text_to_reports(spark, small, tmp_path, capsys):
     assert "drop_outliers" in capsys.readouterr().out
     flights = spark.read.parquet(f"{clean}/flights")
     assert dict(flights.dtypes)["nas_delay"] == "double" and "year" not in flights.columns
-    assert spark.read.parquet(f"{clean}/rejected").count() == 0
+    refused = spark.read.parquet(f"{clean}/rejected").count()
     audit = {r.name: r.row_count for r in spark.read.parquet(f"{clean}/audit").collect()}
     assert flights.count() == audit["drop_outliers"] < audit["initial"]
+    everything = raw_view(spark, small)
+    assert refused == everything.where("cancelled = 2 or cancelled is null").count() > 0
+    assert audit["read"] == audit["initial"] + refused == everything.count()
+    profile = spark.read.parquet(f"{clean}/profile")
+    assert {r.measure for r in profile.select("measure").distinct().collect()} == {
+        "nulls", "nulls_uncoded", "smallest", "largest", "rows", "outliers", "outlier_percent",
+        "flags",
+    }
 
     main(["scales", f"{clean}/flights", scaled, "--scale", "0.5", "--scale", "1.5"], spark)
     half = spark.read.parquet(f"{scaled}/parquet").where(F.col("scale") == 50)
@@ -27,6 +35,7 @@ def test_raw_text_to_reports(spark, small, tmp_path, capsys):
     for name in ("3.1", "3.2", "3.3"):
         out = str(tmp_path / name)
         main(["report", name, f"{clean}/flights", out, "--log", log], spark)
+        assert "refused rows: 0" in capsys.readouterr().out
         top = spark.read.option("header", True).csv(f"{out}/top")
         assert top.count() == 10
         main(["reconcile", name, f"{out}/full", f"{out}/full"], spark)

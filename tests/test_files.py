@@ -23,7 +23,6 @@ from tarmac.sources import (
     timed,
     write_report,
     write_scales,
-    write_single,
 )
 from tarmac.sources.tables import flights_view, load
 
@@ -120,6 +119,21 @@ def test_declared_table(spark, small, tmp_path):
     assert n == flights_view(spark, small).where("cancelled = 0").count()
 
 
+def test_declared_table_finds_columns_by_name(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.csv").write_text("arr_delay,note,dep_delay\n7,a,5\n")
+    table = declare_flights(spark, str(tmp_path / "t"), "by_name", source="csv")
+    row = table.first()
+    assert (row.dep_delay, row.arr_delay, row.note) == (5.0, 7.0, "a")
+
+
+def test_rejects_keep_the_line_and_the_true_reason(spark, tmp_path):
+    line = '1,"A,B",1,2,7'
+    (tmp_path / "x.csv").write_text(f"month,origin,dep_delay,arr_delay,cancelled\n{line}\n")
+    row = read_csv(spark, str(tmp_path / "x.csv")).rejected.first()
+    assert (row.record, row.reasons) == (line, ["flag"])
+
+
 def part_lines(path):
     return [
         line for f in sorted(Path(path).glob("part-*")) for line in f.read_text().splitlines()
@@ -149,16 +163,14 @@ def test_plain_numbers(spark, make_flights, tmp_path):
         assert part_lines(out)[-1].split(",")[5] == text
 
 
-def test_single_file_and_snapshot(spark, small, tmp_path):
+def test_snapshot(spark, small, tmp_path):
     order = ["aeroporto_partenza", "classifica"]
-    full, single, top = (str(tmp_path / n) for n in ("full", "single", "top"))
+    full, top = (str(tmp_path / n) for n in ("full", "top"))
     write_report(carrier_deviation(flights_view(spark, small)), full, order)
-    write_single(spark, full, single, S.CARRIER_DEVIATION_REPORT, order)
     snapshot(spark, full, top, S.CARRIER_DEVIATION_REPORT, order)
-    assert len(list(Path(single).glob("part-*"))) == 1
-    assert part_lines(top) == part_lines(single)[:11]
-    with pytest.raises(ValueError):
-        write_single(spark, full, single, S.CARRIER_DEVIATION_REPORT, order, max_rows=5)
+    header = ",".join(S.CARRIER_DEVIATION_HEADER)
+    rows = [line for line in part_lines(full) if line != header]
+    assert part_lines(top) == [header, *rows[:10]]
 
 
 def test_scales_on_disk(spark, small, tmp_path):
@@ -195,6 +207,24 @@ def test_run_log(spark, tmp_path):
     assert got == {("Hive", 10): 8.0, ("Spark_SQL", 100): seconds}
 
 
+def test_appended_runs_keep_their_order(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for i in range(8):
+        append_run(spark, log, 100, "3.1", "Hive", i)
+    rows = read_runs(spark, log, "Locale").orderBy("repeat").collect()
+    assert [r.seconds for r in rows] == list(range(8))
+    both = read_runs(spark, log, "Locale").unionByName(read_runs(spark, log, "Cluster"))
+    assert R.side_values(both).first().a == 0
+
+
+def test_run_log_without_a_start(spark, tmp_path):
+    (tmp_path / "log.csv").write_text(
+        "Percentuale,Analisi,Tecnologia,Tempo_Secondi\n10%,3.1,Hive,8\n10%,3.1,Hive,9\n"
+    )
+    rows = read_runs(spark, str(tmp_path / "log.csv"), "Locale").orderBy("repeat").collect()
+    assert [(r.pct, r.seconds) for r in rows] == [(10, 8.0), (10, 9.0)]
+
+
 def test_scratch_is_shared(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 

@@ -78,6 +78,19 @@ def test_differing_cells(pair):
     }
 
 
+def test_repeated_keys_are_listed(spark):
+    a = spark.createDataFrame([(1, 5), (1, 9), (2, 4), (2, 4), (3, 1)], "k int, x int")
+    b = spark.createDataFrame([(1, 9), (2, 4), (2, 4), (3, 1), (4, 2)], "k int, x int")
+    got = {tuple(r) for r in R.differing_cells(a, b, ["k"]).collect()}
+    assert got == {
+        (1, "(row)", "2", "1"),
+        (1, "x", "9", "9"),
+        (2, "(row)", "2", "2"),
+        (4, "(row)", "0", "1"),
+    }
+    assert R.reconcile(a, b, ["k"]).first().repeated_keys == 2
+
+
 def test_side_by_side(pair):
     rows = R.side_by_side(*pair, ["k", "m"], n=3)
     assert rows.columns[:4] == ["k", "m", "in_locale", "in_cluster"]

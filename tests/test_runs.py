@@ -68,6 +68,38 @@ def test_break_even(log):
     assert rows[("Hive", "3.3")].p100 == "-"
 
 
+def test_axes_come_from_the_log(spark, log):
+    more = spark.createDataFrame(
+        [
+            ("3.4", "Hive", 200, "Locale", 30.0, 1),
+            ("3.4", "Hive", 200, "Cluster", 10.0, 1),
+            ("3.4", "Hive", 100, "Locale", 8.0, 1),
+        ],
+        log.schema,
+    )
+    both = log.unionByName(more)
+    hive = {r.tech: r.asDict() for r in R.run_pivot(both).collect()}["Hive"]
+    assert (hive["A3.4_locale"], hive["A3.4_cluster"]) == (8.0, None)
+    assert {r.label: r.p200 for r in R.speedup_matrix(both).collect()}["3.4 / Hive"] == 3
+    assert {r.label: r.p200 for r in R.seconds_matrix(both, "Cluster").collect()}["3.4 / Hive"] == 10
+    rows = {(r.tech, r.analysis): r for r in R.break_even(both, overhead=15.0).collect()}
+    assert len(rows) == 3 * 4
+    assert (rows[("Hive", "3.4")].p200, rows[("Hive", "3.4")].p100) == ("yes", "-")
+    assert rows[("Spark_SQL", "3.4")].p200 == "-"
+
+
+def test_environments_come_from_the_log(spark, log):
+    renamed = log.replace({"Locale": "desk", "Cluster": "cloud"}, subset=["env"])
+    assert R.environments_of(renamed) == ("cloud", "desk")
+    assert "A3.1_desk" in R.run_pivot(renamed).columns
+    third = renamed.unionByName(log)
+    with pytest.raises(ValueError):
+        R.run_pivot(third)
+    with pytest.raises(ValueError):
+        R.environments_of(log.limit(0))
+    assert R.run_pivot(third, environments=("desk", "cloud")).count() == 3
+
+
 def test_summary_and_extremes(log):
     rows = R.run_summary(log).collect()
     assert [(r.analysis, r.tech) for r in rows][0] == ("3.3", "Spark_SQL")

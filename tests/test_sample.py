@@ -98,6 +98,44 @@ def test_oversample_holds_each_row_once_or_twice(numbers):
     assert got == {1: 5001 - round(0.5 * 5001), 2: round(0.5 * 5001)}
 
 
+def test_oversample_by_more_than_the_whole(numbers):
+    copies = sample.oversample(numbers, 1.5, key=["id"]).groupBy("id").count()
+    got = Counter(r["count"] for r in copies.collect())
+    assert got == {2: 5001 - round(0.5 * 5001), 3: round(0.5 * 5001)}
+    assert sample.oversample(numbers, 1.0, key=["id"]).count() == 2 * 5001
+    with pytest.raises(ValueError):
+        sample.oversample(numbers, -0.5)
+
+
+def test_labels_are_whole_and_different(numbers):
+    sizes = sample.scaled(numbers, (0.28, 0.29, 0.57), key=["id"]).groupBy("scale").count()
+    got = {r.scale: r["count"] for r in sizes.collect()}
+    assert got == {p: round(p / 100 * 5001) for p in (28, 29, 57)}
+    for wrong in ((0.5, 0.5), (0.125,), (0.0,)):
+        with pytest.raises(ValueError):
+            sample.scaled(numbers, wrong)
+
+
+def test_copies_of_a_hot_row_run_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sample, "COPY_BLOCK", 50)
+    hot = spark.range(4000).select(F.lit(1).alias("v"))
+    for strata in (None, ["v"]):
+        picked = sample.exact_sample(hot, 0.5, strata=strata)
+        tasks = picked.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in tasks) == 2000 and len(tasks) >= 4
+
+
+def test_strata_meet_stored_cuts_only(spark, small):
+    from tarmac.sources.tables import load
+
+    orders = load(spark, small, "orders")
+    picked = sample.exact_sample(
+        orders, 0.25, key=["o_orderkey"], strata=["o_orderpriority"]
+    )
+    text = picked._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 2 and "Exchange hashpartitioning" not in text
+
+
 def test_oversample_of_identical_rows(spark):
     df = spark.range(1001).select(F.lit("x").alias("v"))
     assert sample.oversample(df, 0.5).count() == 1001 + round(0.5 * 1001)

@@ -59,9 +59,25 @@ def test_top_k_is_limited_before_the_shuffle(stored):
 
 
 def test_comparison_pairs_rows_without_a_join(stored):
-    report = route_month_stats(stored)
-    text = plan(reconcile.reconcile(report, report, ROUTE_MONTH_KEY))
-    assert "Join" not in text and "SortAggregate" not in text
+    for report, key in (
+        (route_month_stats(stored), ROUTE_MONTH_KEY),
+        (delay_band_report(stored), DELAY_BAND_KEY),
+    ):
+        text = plan(reconcile.reconcile(report, report, key))
+        assert "Join" not in text and "SortAggregate" not in text
+
+
+def test_comparisons_do_not_sort_their_inputs(spark, small):
+    from tarmac.checks.registry import QUERIES
+
+    for name in (
+        "reconcile_reports",
+        "reconcile_precision",
+        "differing_cells",
+        "side_by_side",
+        "set_difference",
+    ):
+        assert exchanges(plan(QUERIES[name](spark, small)), "range") == 0
 
 
 def test_run_logs_are_reduced_by_hash_aggregation(spark, small):
