@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarmac.session import scratch_path
+from tarmac.session import stored
+
+__all__ = ["WORD", "ascii_lower", "let", "map_arrow", "map_pandas", "remainder", "stored", "table", "words"]
 
 # A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,17 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read again.
-
-    Cuts the lineage with files that every executor reaches, so a lost executor costs its
-    running tasks only.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _shipped(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per Spark context."""
     context = spark.sparkContext

@@ -82,10 +82,10 @@ def pending(paths: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule]) -
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
-        return blobs.withColumn("rules", F.transform(wanted, lambda r: r["rule"]))
+        return blobs.withColumn("rules", wanted)
     pairs = blobs.select("blob", "holder", F.inline(wanted))
     unseen = pairs.join(ledger, ["blob", "rule", "version"], "left_anti")
-    return unseen.groupBy("blob", "holder").agg(F.collect_list("rule").alias("rules"))
+    return unseen.groupBy("blob", "holder").agg(F.collect_list(F.struct("rule", "version")).alias("rules"))
 
 
 def scan(
@@ -98,17 +98,16 @@ def scan(
     texts = versions.alias("v").join(todo.alias("t"), same).select("v.blob", "text", "rules")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {r.kind: (r, re.compile(r.pattern)) for r in rules}
+        compiled = {(r.kind, r.version): (r, re.compile(r.pattern)) for r in rules}
         for frame in frames:
             rows = []
-            for blob, text, kinds in zip(frame["blob"], frame["text"], frame["rules"]):
+            for blob, text, unseen in zip(frame["blob"], frame["text"], frame["rules"]):
                 lower = text.lower()
-                for kind in kinds:
-                    rule, pattern = compiled[kind]
+                for pair in unseen:
+                    rule, pattern = compiled[pair["rule"], pair["version"]]
                     spans = find(rule, pattern, text, lower)
-                    rows.append(
-                        (blob, kind, rule.version, [s for s, _ in spans], [e for _, e in spans])
-                    )
+                    starts, ends = [s for s, _ in spans], [e for _, e in spans]
+                    rows.append((blob, rule.kind, rule.version, starts, ends))
             yield pd.DataFrame(rows, columns=["blob", "rule", "version", "starts", "ends"])
 
     scanned = map_pandas(texts, read, LEDGER)
