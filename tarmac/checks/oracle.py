@@ -518,8 +518,16 @@ firsts as (
 
 
 def _env_mean(env: str) -> str:
-    here = f"filter (where env = '{env}')"
-    return f"cast(sum(seconds) {here} as double) / nullif(count(*) {here}, 0)"
+    """Mean to sixteen places in whole numbers; seconds are never negative."""
+    here = f"filter (where env = '{env}' and seconds is not null)"
+    n = f"cast(count(*) {here} as hugeint)"
+    cents = f"cast(sum(cast(seconds * 100 as bigint)) {here} as hugeint)"
+    places = f"((2 * {cents} * 100000000000000 + {n}) // (2 * {n}))"
+    one = "cast(10000000000000000 as hugeint)"
+    return (
+        f"case when count(*) {here} > 0 then cast(cast({places} // {one} as varchar) || '.' "
+        f"|| lpad(cast({places} % {one} as varchar), 16, '0') as double) end"
+    )
 
 
 def _run_means(keys: str, where: str = "true") -> str:
