@@ -169,7 +169,8 @@ def learn(training: DataFrame) -> Filters | None:
         map_pandas(owned.select("lang", "gram"), hashed, "slot long, word long, bit long")
         .groupBy("slot", "word")
         .agg(F.bit_or("bit").alias("mask"))
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     masks = [np.zeros(ROWS, np.int64) for _ in range(-(-len(langs) // MASK))]
     for w, mask in enumerate(masks):

@@ -276,21 +276,24 @@ def frequent(rows: DataFrame, bound: int) -> DataFrame:
     return rows.where(F.col("seen") >= F.lit(float(2**least)))
 
 
-def _first_pass(docs: DataFrame, words: pd.DataFrame, grams: pd.DataFrame, depth: int) -> DataFrame:
+def _first_pass(docs: DataFrame, words: pa.Table, grams: pa.Table, depth: int) -> DataFrame:
     """Documents with the part of their scores the frequent tables give, and what they lack.
 
     Rows with ``n_tokens`` are documents; the others have a missing word or string. Stored, so
     that a row keeps its number.
     """
     context = docs.sparkSession.sparkContext
-    logs = context.broadcast(dict(zip(words["word"], np.log10(words["trained"] + 1.0))))
-    keys = context.broadcast(grams["string"].to_numpy(np.int64))
-    values = context.broadcast(np.append(grams["score"].to_numpy(np.float64), 0.0))
+    frequent_words = context.broadcast(words)
+    frequent_strings = context.broadcast(grams)
     names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score",
              "word", "string", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, index, scores = logs.value, pd.Index(keys.value), values.value
+        known, every = frequent_words.value, frequent_strings.value
+        logs = np.log10(known["trained"].to_numpy() + 1.0).tolist()
+        table = dict(zip(known["word"].to_pylist(), logs))
+        index = pd.Index(every["string"].to_numpy())
+        scores = np.append(every["score"].to_numpy(), 0.0)
         for batch in batches:
             for piece in _pieces(batch):
                 yield from score(piece, table, index, scores)
@@ -371,8 +374,8 @@ def lm_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFram
     scores = string_scores(grams, depth)
     first = _first_pass(
         texts,
-        frequent(words, FREQUENT_WORDS).select("word", "trained").toPandas(),
-        frequent(scores, FREQUENT_STRINGS).select("string", "score").toPandas(),
+        frequent(words, FREQUENT_WORDS).select("word", "trained").toArrow(),
+        frequent(scores, FREQUENT_STRINGS).select("string", "score").toArrow(),
         depth,
     )
     of_words = (

@@ -94,7 +94,8 @@ def word_vectors(docs: DataFrame, seed: int = 0) -> np.ndarray:
         map_arrow(docs.select("text"), count, schema)
         .groupBy("bucket")
         .agg(*[F.sum(p).alias(p) for p in parts])
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     contexts = np.zeros((BUCKETS + 1, DIM))
     contexts[rows["bucket"].to_numpy(np.int64)] = rows[parts].to_numpy(np.float64)
@@ -209,7 +210,7 @@ def labelled_sample(
     # The sample is bounded, so it is the side to broadcast.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     schema = found.select("doc_id", "label").schema.add("x", T.ArrayType(T.DoubleType()))
-    rows = map_arrow(found, pool, schema).dropDuplicates(["doc_id"]).toPandas()
+    rows = map_arrow(found, pool, schema).dropDuplicates(["doc_id"]).toArrow().to_pandas()
     rows = rows.sort_values("doc_id")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), INPUTS)
     return x, rows["label"].to_numpy(np.float64)
