@@ -36,7 +36,7 @@ DEPTH = 5
 # Bounds of the tables that every worker holds.
 FREQUENT_STRINGS, FREQUENT_WORDS = 1 << 20, 1 << 19
 # Bounds of what a task gathers before it sends rows on.
-GATHERED_BYTES, GATHERED_WORDS = 1 << 21, 300_000
+GATHERED_BYTES, GATHERED_STRINGS, GATHERED_WORDS = 1 << 21, 1 << 22, 300_000
 END = ""
 
 
@@ -72,8 +72,8 @@ def gathered(docs: DataFrame, depth: int) -> DataFrame:
         found: Counter = Counter()
         lines: list[bytes] = []
         flags: list[bool] = []
-        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        size = 0
+        pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        size = held = 0
         for batch in batches:
             texts, train = batch.column("text"), batch.column("train").to_pylist()
             for text, flag in zip(texts.cast(pa.binary()), train):
@@ -85,18 +85,23 @@ def gathered(docs: DataFrame, depth: int) -> DataFrame:
                 flags.append(flag)
                 size += len(line)
                 if size >= GATHERED_BYTES:
-                    kept = _merged(kept, *_counted(lines, flags, depth))
+                    pieces.append(_counted(lines, flags, depth))
+                    held += len(pieces[-1][0])
                     lines, flags, size = [], [], 0
                 if len(found) >= GATHERED_WORDS:
                     yield from _word_rows(found)
                     found = Counter()
-                if len(kept[0]) >= GATHERED_BYTES:
-                    yield from _string_rows(*kept)
-                    kept = [kept[0][:0], kept[1][:0]]
+                if held >= GATHERED_STRINGS:
+                    pieces = [_merged(pieces)]
+                    held = len(pieces[0][0])
+                    if held >= GATHERED_STRINGS // 2:
+                        yield from _string_rows(*pieces[0])
+                        pieces, held = [], 0
         if lines:
-            kept = _merged(kept, *_counted(lines, flags, depth))
+            pieces.append(_counted(lines, flags, depth))
         yield from _word_rows(found)
-        yield from _string_rows(*kept)
+        if pieces:
+            yield from _string_rows(*_merged(pieces))
 
     rows = map_arrow(docs, run, "word binary, string long, trained long, seen long")
     return stored(
@@ -113,10 +118,10 @@ def _counted(lines: list[bytes], flags: list[bool], depth: int) -> tuple[np.ndar
     return np.unique(found << 1 | np.array(flags, np.int64)[owner], return_counts=True)
 
 
-def _merged(kept: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    every, place = np.unique(np.concatenate([kept[0], keys]), return_inverse=True)
-    sums = np.bincount(place, np.concatenate([kept[1], counts]), len(every))
-    return [every, sums.astype(np.int64)]
+def _merged(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    every, place = np.unique(np.concatenate([keys for keys, _ in pieces]), return_inverse=True)
+    sums = np.bincount(place, np.concatenate([counts for _, counts in pieces]), len(every))
+    return every, sums.astype(np.int64)
 
 
 def _word_rows(found: Counter) -> Iterator[pa.RecordBatch]:
