@@ -144,6 +144,10 @@ def exact_sample(
 
     ``key`` names columns that identify a row; without it all columns are hashed. With
     ``strata`` the fraction is taken of every stratum separately.
+
+    The end of the sample is counted in two or three passes over the hashed columns before
+    the sample itself is read. Sample stored data, or name a narrow key, so that an expensive
+    input is not computed for each of them.
     """
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must lie in [0, 1]")
