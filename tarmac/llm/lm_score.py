@@ -12,7 +12,9 @@ task, summed by Spark, then summed upwards to shorter contexts and mixed downwar
 join per depth with at most 256 rows per key. Texts meet the model without leaving their task:
 the frequent strings, chosen by a count threshold so that at most ``FREQUENT_STRINGS`` reach
 it, go to every worker; the rest of the strings of a document are matched by a join. Words of
-the unigram baseline are handled in the same way.
+the unigram baseline are handled in the same way. Tables of strings, nodes and documents grow
+with the corpus, and their files are far smaller than their rows in memory, so joins with them
+are merge joins and never left to the broadcast threshold.
 
 Defined cases: null and empty texts are one line end, one token. A null id hashes as empty
 text. Without training texts every bit has probability one half and the baseline probability
@@ -240,7 +242,7 @@ def mixed_probabilities(levels: list[DataFrame]) -> DataFrame:
         )
         path = stored(
             level.withColumn("parent", parent)
-            .join(above, "parent")
+            .join(above.hint("merge"), "parent")
             .select(
                 "node",
                 (F.col("before") + F.col("open") * settled).alias("settled"),
@@ -257,7 +259,7 @@ def string_scores(grams: DataFrame, depth: int) -> DataFrame:
     chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
     scores = (
         _decisions(grams, "seen")
-        .join(one, "node")
+        .join(one.hint("merge"), "node")
         .groupBy("string", "seen")
         .agg(F.sum(F.log10(chance)).alias("score"))
     )
@@ -386,7 +388,7 @@ def lm_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFram
     of_words = (
         first.where("word is not null")
         .select("row", "word", "times")
-        .join(words.select("word", "trained"), "word")
+        .join(words.select("word", "trained").hint("merge"), "word")
         .groupBy("row")
         .agg(
             F.sum("times").alias("more_known"),
@@ -396,7 +398,7 @@ def lm_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFram
     of_strings = (
         first.where("string is not null")
         .select("row", "string", "times")
-        .join(scores.select("string", F.col("score").alias("each")), "string")
+        .join(scores.select("string", F.col("score").alias("each")).hint("merge"), "string")
         .groupBy("row")
         .agg(F.sum(F.col("times") * F.col("each")).alias("more_score"))
     )
@@ -407,8 +409,8 @@ def lm_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFram
     return (
         first.where("n_tokens is not null")
         .select("row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score")
-        .join(of_words, "row", "left")
-        .join(of_strings, "row", "left")
+        .join(of_words.hint("merge"), "row", "left")
+        .join(of_strings.hint("merge"), "row", "left")
         .select(
             "doc_id",
             "held_out",
