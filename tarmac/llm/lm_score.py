@@ -51,15 +51,17 @@ def line_of(text: bytes | None) -> tuple[list[bytes], bytes]:
 def strings(lines: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Every byte with the ``depth`` bytes before it, as a number, and its line."""
     pad = b"\n" * depth
-    data = np.frombuffer(pad.join([b"", *lines]), np.uint8).astype(np.int64)
-    lengths = np.array([len(x) for x in lines])
-    ends = np.cumsum(lengths + depth)
+    data = pad.join([b"", *lines]) + bytes(8)
+    lengths = np.array([len(x) for x in lines], np.int64)
     owner = np.repeat(np.arange(len(lines)), lengths)
-    at = np.arange(lengths.sum()) + (owner + 1) * depth
-    found = np.zeros(len(at), np.int64)
-    for back in range(depth, -1, -1):
-        found = found << 8 | data[at - back]
-    assert not len(ends) or ends[-1] == len(data)
+    # The eight bytes from every place on, as a number; a string is the first depth + 1.
+    # The first place of a line lies after the lines before it and the pads between them.
+    count = int(lengths.sum()) + depth * max(len(lines) - 1, 0)
+    eight = np.ndarray(count, ">u8", data, strides=(1,)).astype(np.uint64)
+    eight >>= np.uint64(56 - 8 * depth)
+    turns = np.column_stack([lengths, np.full_like(lengths, depth)]).ravel()
+    inside = np.repeat(np.arange(len(turns)) % 2 == 0, turns)[:count]
+    found = eight[inside].view(np.int64)
     return found, owner
 
 
@@ -121,9 +123,12 @@ def _counted(lines: list[bytes], flags: list[bool], depth: int) -> tuple[np.ndar
 
 
 def _merged(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    every, place = np.unique(np.concatenate([keys for keys, _ in pieces]), return_inverse=True)
-    sums = np.bincount(place, np.concatenate([counts for _, counts in pieces]), len(every))
-    return every, sums.astype(np.int64)
+    """Sums by string; the pieces are sorted, which a stable sort makes use of."""
+    keys = np.concatenate([keys for keys, _ in pieces])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(np.concatenate([n for _, n in pieces])[order], first)
 
 
 def _word_rows(found: Counter) -> Iterator[pa.RecordBatch]:
@@ -312,15 +317,16 @@ def _first_pass(docs: DataFrame, words: pa.Table, grams: pa.Table, depth: int) -
         for row, text in zip(rows, piece.column("text").cast(pa.binary())):
             parts, line = line_of(text.as_py())
             parts.append(b"")
-            got = [table.get(w) for w in parts]
-            here = [x for x in got if x is not None]
-            if len(here) < len(parts):
+            got = list(map(table.get, parts))
+            missed = got.count(None)
+            if missed:
                 lost = Counter(w for w, x in zip(parts, got) if x is None)
                 lost_words += [(row, w, n) for w, n in lost.items()]
             lines.append(line)
             tokens.append(len(parts))
-            known.append(len(here))
-            base.append(sum(here))
+            known.append(len(parts) - missed)
+            # Logarithms of counts above one are never zero.
+            base.append(sum(filter(None, got)))
         found, owner = strings(lines, depth)
         place = index.get_indexer(found)
         sums = np.bincount(owner, scores[place], len(lines))
