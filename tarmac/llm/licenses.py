@@ -1,18 +1,23 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised, and known sentences are replaced by their
-identifiers. A licence rule is an ordered sequence of identifiers; it matches where the known
+A text is cut into pieces at line ends and sentence signs, each is normalised, and known
+sentences are replaced by their identifiers. A known sentence is one piece or a run of adjacent
+pieces of a paragraph, so wrapped lines, comment marks and sentence signs within it do not
+hide it. A licence rule is an ordered sequence of identifiers; it matches where the known
 sentences of a document hold that sequence without another known sentence in between, whatever
-unknown text separates them. Sentences are looked up in a hash set inside the expression, so a
+unknown text separates them. Sentences are found by one pattern inside the expression, so a
 document never leaves its task.
 
-Defined cases: null and empty texts have no sentences. Rules may overlap; each is listed once,
-in the order of the rules. Repeated rows and null ids keep their rows. Other columns are not
-read.
+Defined cases: null and empty texts have no sentences. Lines without a letter or digit end a
+paragraph. Known sentences do not overlap: the first wins, of those that start together the
+longest. Comment marks made of letters, such as ``rem``, are text. Rules may overlap; each is
+listed once, in the order of the rules. Repeated rows and null ids keep their rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +28,7 @@ from tarmac.llm.common import ascii_lower
 # Well-known licence sentences in normalised form, by identifier.
 SENTENCES: dict[str, str] = {
     "apache-notice": "licensed under the apache license version 2 0",
+    "apache-header": "licensed under the apache license version 2 0 the license",
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "mit-notice": "released under the mit license",
@@ -48,6 +54,9 @@ SENTENCES: dict[str, str] = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under "
     "the terms of the gnu general public license as published by the free software foundation "
     "either version 3 of the license or at your option any later version",
+    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general "
+    "public license as published by the free software foundation either version 3 of the "
+    "license or at your option any later version",
     "ccbync-notice": "licensed under cc by nc 4 0",
     "ccby-notice": "this work is licensed under a creative commons attribution 4 0 "
     "international license",
@@ -55,10 +64,14 @@ SENTENCES: dict[str, str] = {
 }
 # Ordered rules by licence.
 LICENCES: dict[str, tuple[tuple[str, ...], ...]] = {
-    "Apache-2.0": (("apache-notice",), ("apache-notice", "apache-comply", "apache-copy")),
+    "Apache-2.0": (
+        ("apache-notice",),
+        ("apache-header",),
+        ("apache-notice", "apache-comply", "apache-copy"),
+    ),
     "MIT": (("mit-notice",), ("mit-title",), ("mit-grant", "mit-condition", "mit-warranty")),
     "BSD-2-Clause": (("bsd-grant", "bsd-source", "bsd-binary"),),
-    "GPL-3.0": (("gpl3-notice",), ("gpl-free",)),
+    "GPL-3.0": (("gpl3-notice",), ("gpl-free",), ("gpl3-terms",)),
     "CC-BY-NC-4.0": (("ccbync-notice",),),
     "CC-BY-4.0": (("ccby-notice",),),
     "All-Rights-Reserved": (("reserved",),),
@@ -66,15 +79,23 @@ LICENCES: dict[str, tuple[tuple[str, ...], ...]] = {
 # End of fixed values.
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order, those without a letter or digit left out.
+def normalised(text: Column) -> Column:
+    """The pieces of a text, one a line; an empty line ends a paragraph.
 
-    A sentence ends at a line end or after one of ``. ; : ! ?`` before white space. Signs
-    become spaces and A-Z lower case.
+    A piece ends at a line end or after one of ``. ; : ! ?`` before white space. Signs become
+    spaces and A-Z lower case.
     """
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.;:!?])[ \t]+", "$1\n")
-    plain = F.regexp_replace(ascii_lower(lines), r"[^\p{L}\p{N}\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    # A sign at the end of a line makes no second line end.
+    cut = r"([.;:!?])[ \t]++(?!\r?\n)"
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), cut, "$1\n")
+    return F.regexp_replace(ascii_lower(lines), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _pattern(known: Sequence[str]) -> str:
+    """Any of the sentences, the longest first, over whole lines of a paragraph."""
+    gap = r"(?: ?\n ?| )"
+    texts = [gap.join(map(re.escape, s.split())) for s in sorted(known, key=len, reverse=True)]
+    return rf"(?m)^ ?({'|'.join(texts)}) ?$"
 
 
 def with_licences(
@@ -91,12 +112,14 @@ def with_licences(
     while spare in keep:
         spare += "_"
     ids = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    cut = docs.select(*keep, sentences(F.col("text")).alias(spare))
+    pieces = F.filter(F.split(spare, "\n"), lambda s: F.trim(s) != "")
+    runs = F.regexp_extract_all(spare, F.lit(_pattern(list(known.values()))), F.lit(1))
+    cut = docs.select(*keep, normalised(F.col("text")).alias(spare))
     found = cut.withColumns(
         {
-            "n_sentences": F.size(spare).cast("bigint"),
+            "n_sentences": F.size(pieces).cast("bigint"),
             "sentence_ids": F.transform(
-                F.filter(spare, lambda s: s.isin(list(known.values()))), lambda s: ids[s]
+                runs, lambda s: ids[F.regexp_replace(s, " ?\n ?", " ")]
             ),
         }
     ).drop(spare)

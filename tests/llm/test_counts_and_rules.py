@@ -159,3 +159,80 @@ def test_sequences_are_matched_in_order(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: r.licences for r in licenses.licence_digest(docs).collect()}
     assert got == {0: "BSD-2-Clause", 1: "", 2: "All-Rights-Reserved", 3: "Apache-2.0,MIT"}
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: \t
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def commented(text, mark):
+    return "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+
+
+@pytest.mark.parametrize("form", ["plain", "#", " *", "//", "crlf", "one line", "narrow"])
+def test_wrapped_texts_give_their_licence(spark, form):
+    def put(text):
+        if form == "one line":
+            return "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        if form == "narrow":
+            return "\n\n".join("; \n".join("\n".join(p.split()).split(";\n")) for p in text.split("\n\n"))
+        if form == "crlf":
+            return text.replace("\n", "\r\n")
+        return text if form == "plain" else f"/*\n{commented(text, form)} */\nint x;\n"
+
+    other = GPL.replace("This program", "Foo Bar").replace("software:", "software;")
+    texts = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD, "GPL-3.0": GPL, "GPL-3.0 ": other}
+    docs = spark.createDataFrame([(k, put(t)) for k, t in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.licence_digest(docs).collect()}
+    assert {k: r.licences for k, r in got.items()} == {k: k.strip() for k in texts}
+    assert got["Apache-2.0"].sentence_ids == "apache-header,apache-comply,apache-copy"
+    assert got["GPL-3.0"].sentence_ids == "gpl-free" and got["MIT"].n_known == 3
+
+
+def test_runs_are_whole_pieces_of_one_paragraph(spark):
+    texts = [
+        "released under\n\nthe MIT license",
+        "not released under\nthe MIT license",
+        "released under\nthe MIT licenses",
+        "Released under the\n# MIT license\nall rights\nreserved",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.n_sentences, r.licences) for r in licenses.licence_digest(docs).collect()}
+    assert got == {0: (2, ""), 1: (2, ""), 2: (2, ""), 3: (4, "MIT,All-Rights-Reserved")}
