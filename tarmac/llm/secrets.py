@@ -41,6 +41,18 @@ class Rule:
 
 # Letters of the key words match in either case; re.ASCII keeps that to ASCII letters.
 KEYWORDS = r"(password|passwd|secret|token|api_?key)"
+# A private key goes from its BEGIN line through the next END line of a private key. Without
+# one before another BEGIN or END line it goes over the lines of base64 that follow, and over
+# the head of an encrypted key before them. Line ends may be written as escapes, in quotes or
+# behind comment marks; a long run of base64 needs none.
+_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_CLOSED = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+_MARKS = r"[ \t\"'>#*,]*+"
+_BREAK = rf"(?:{_MARKS}(?:\\[rn]|[\r\n]))"
+_GAP = rf"(?:{_BREAK}++{_MARKS}(?:\+ ?[\"'])?|[ \t]++(?=[A-Za-z0-9+/=]{{32}}))"
+_HEAD = rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+_LINE = rf"{_GAP}(?:[A-Za-z0-9+/=]{{32,}}+|[A-Za-z0-9+/=]++(?={_BREAK}|{_MARKS}\Z))"
+PEM = rf"{_BEGIN}(?:{_CLOSED}|{_HEAD}(?:{_LINE})++|)"
 RULES = (
     Rule(
         "assign",
@@ -53,7 +65,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16, 0, ("akia",)),
     # A run of 32 or more is found from its first character on, as with "+" and a length.
     Rule("hex", 1, r"[0-9a-f]{32,}", 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0, ("private key",)),
+    Rule("pem", 2, PEM, 1, 0, ("private key",)),
     Rule("provider", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{10,})", 1, 0,
          ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "xox")),
 )

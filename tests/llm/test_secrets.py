@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from tarmac.llm import secrets
 
 TEXTS = [
@@ -74,3 +76,55 @@ def test_redaction(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(docs, secrets.scan(docs)).collect()}
     assert got == {1: ("é [SECRET] x", 12), 2: ("clean", 5), 3: (None, None), 4: ("[SECRET]", 8)}
+
+
+BODY = ["MIIEpAIBAAKCAQEA" + "aB3+/x7Z" * 6, "q9Rt" * 16, "AQAB=="]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    "key",
+    [
+        "\n".join([BEGIN, *BODY, END]),
+        "\r\n".join([BEGIN, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0F", "", *BODY, END]),
+        "\\n".join([BEGIN, *BODY, END]),
+        " ".join([BEGIN, *BODY, END]),
+        "\n".join([BEGIN, "# not base64, - and --", *BODY, END]),
+        "\n".join([BEGIN, *BODY]),
+        "\r\n".join([BEGIN, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0F", "", *BODY]),
+        "\\n".join([BEGIN, *BODY]),
+        "\n> ".join([BEGIN, *BODY]),
+        "\\n\" +\n  \"".join([BEGIN, *BODY]),
+        "\n".join([BEGIN, *BODY[:2]]) + "\n" + BEGIN + "\n" + "\n".join(BODY),
+    ],
+)
+def test_redaction_leaves_no_part_of_a_key(spark, key):
+    text = f"é before\n{key}\nSome words, and password reset.\n"
+    docs = spark.createDataFrame([(1, text), (2, key)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs, secrets.scan(docs)).collect()}
+    for line in [*BODY, "PRIVATE KEY"]:
+        assert line not in got[1] and line not in got[2]
+    assert got[1].startswith("é before\n[SECRET]") and "[SECRET]\nSome words, and password reset.\n" in got[1]
+    spans = {r.doc_id: r.spans for r in secrets.secret_digest(docs).collect()}
+    if key.count("BEGIN") == 1:
+        assert f"pem:0:{len(key)}" in spans[2].split(",")
+
+
+def test_a_key_ends_before_text_and_other_blocks():
+    rule = next(r for r in secrets.RULES if r.kind == "pem")
+
+    def spans(text):
+        return secrets.find(rule, re.compile(rule.pattern), text, text.lower())
+
+    n = len(BEGIN)
+    assert spans(f"{BEGIN} is a header\nand no key follows") == [(0, n)]
+    assert spans(f"{BEGIN}\n-----BEGIN CERTIFICATE-----\nAAAA\n{END}") == [(0, n)]
+    two = "\n".join([BEGIN, *BODY, END])
+    assert spans(two + "\nx\n" + two) == [(0, len(two)), (len(two) + 3, 2 * len(two) + 3)]
+
+
+def test_many_open_keys_take_time_in_proportion():
+    rule = next(r for r in secrets.RULES if r.kind == "pem")
+    pattern = re.compile(rule.pattern)
+    for text in (BEGIN * 50_000, (BEGIN + "\n") * 50_000, BEGIN + " \n" * 500_000, BEGIN + "\nab -" * 500_000):
+        assert secrets.find(rule, pattern, text, text.lower())
