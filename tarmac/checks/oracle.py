@@ -659,6 +659,8 @@ placed as (select *, row_number() over (order by h1, h2) as rn, count(*) over ()
            from hashed)
 select op_carrier_fl_num, {FEW} from placed where rn <= round_even(0.25::double * total, 0)""",
     "shuffled_first": f"select * from orders order by {ORDER_HASH} limit 100",
+    "shuffled_orders": f"select *, row_number() over (order by {ORDER_HASH}) - 1 as place "
+    "from orders",
     "scaled_rows": f"with {_orders_ranked()} "
     + " union all ".join(
         f"select {ORDER_COLUMNS}, {p} as scale from ranked "

@@ -336,6 +336,9 @@ QUERIES: dict[str, Query] = {
     "shuffled_first": _on_orders(
         lambda df: sample.shuffled(df, key=["o_orderkey"]).limit(100)
     ),
+    "shuffled_orders": _on_orders(
+        lambda df: sample.numbered(sample.shuffled(df, key=["o_orderkey"]))
+    ),
     "scaled_rows": _on_orders(lambda df: sample.scaled(df, (0.28, 0.29, 0.57, 1.5), key=["o_orderkey"])),
     "scaled_counts": _on_orders(
         lambda df: sample.scaled(df, key=["o_orderkey"])

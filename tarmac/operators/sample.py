@@ -164,6 +164,29 @@ def shuffled(df: DataFrame, key: Sequence[str] | None = None, seed: int = SAMPLE
     return df.orderBy(row_hash(key or df.columns, seed))
 
 
+def numbered(df: DataFrame, column: str = "place") -> DataFrame:
+    """The rows of a sorted ``df``, stored, with their places from 0 in ``column``.
+
+    Every task numbers its own rows; a task's first place is the count of rows before it. A
+    column of that name is replaced.
+    """
+    spark, at = df.sparkSession, "_at"
+    while at in df.columns:
+        at += "_"
+    # The upper bits of this id are the task, the lower 33 the row's place in it.
+    rows = stored(df.withColumn(at, F.monotonically_increasing_id()), "order")
+    task = F.shiftright(at, 33).alias("task")
+    starts, total = [], 0
+    for r in sorted(rows.groupBy(task).agg(F.count("*").alias("n")).collect()):
+        starts.append((r.task, total))
+        total += r.n
+    first = spark.createDataFrame(starts, "task bigint, first bigint").alias("s")
+    place = F.col("s.first") + F.col(at).bitwiseAND(2**33 - 1)
+    kept = [F.col(f"r.`{c}`") for c in df.columns if c != column]
+    joined = rows.alias("r").join(F.broadcast(first), F.shiftright(F.col(f"r.{at}"), 33) == F.col("s.task"))
+    return joined.select(*kept, place.alias(column))
+
+
 def oversample(
     df: DataFrame, extra: float = 0.5, key: Sequence[str] | None = None, seed: int = SAMPLE_SEED
 ) -> DataFrame:

@@ -183,6 +183,30 @@ def test_shuffled_order_is_reproducible(numbers):
     assert got == md5_order(range(5001))[:50]
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_all_rows_have_their_place_in_the_shuffled_order(spark, numbers, coalesce):
+    """Sorted by one task, and by several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)
+    try:
+        mixed = sample.shuffled(numbers.withColumn("place", F.lit(-1)), key=["id"])
+        rows = sample.numbered(mixed).collect()
+    finally:
+        spark.conf.set(name, before)
+    rows.sort(key=lambda r: r.place)
+    assert [r.place for r in rows] == list(range(5001))
+    assert [r.id for r in rows] == md5_order(range(5001))
+    assert sample.numbered(sample.shuffled(numbers.limit(0))).collect() == []
+
+
+def test_the_whole_shuffle_is_registered(spark, small):
+    from tarmac.checks.registry import QUERIES
+
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    assert QUERIES["shuffled_orders"](spark, small).count() == orders.count() > 100
+
+
 def test_fraction_is_checked(numbers):
     with pytest.raises(ValueError):
         sample.exact_sample(numbers, 1.2)
