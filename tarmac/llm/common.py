@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tarmac.session import stored
 
@@ -36,16 +36,27 @@ def _shipped(spark: SparkSession) -> None:
     context._tarmac_shipped = True
 
 
+def _mapped(df: DataFrame, how: str, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df`` through a function on batches, which see plain names in place of dotted ones."""
+    _shipped(df.sparkSession)
+    plain = {c: f"_dotted{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    if not plain:
+        return getattr(df, how)(run, schema)
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    fields = [StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in schema]
+    renamed = df.toDF(*[plain.get(c, c) for c in df.columns])
+    return getattr(renamed, how)(run, StructType(fields)).toDF(*schema.names)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with this package at hand on every worker."""
-    _shipped(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return _mapped(df, "mapInArrow", run, schema)
 
 
 def map_pandas(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
     """``mapInPandas`` with this package at hand on every worker."""
-    _shipped(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return _mapped(df, "mapInPandas", run, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

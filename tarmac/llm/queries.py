@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.llm import (
+    byte_bpe,
     decontaminate,
     language_id,
     licenses,
@@ -25,6 +26,7 @@ from tarmac.llm.oracle import ORACLE_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _on_documents(digest: Callable[[DataFrame], DataFrame]) -> Query:
@@ -48,6 +50,11 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": _on_documents(quality_rules.quality_digest),
     "op9_license_scan": _on_documents(licenses.licence_digest),
     "op10_language_id": _on_documents(language_id.language_digest),
+    "op13_byte_bpe": _on_documents(
+        lambda docs: byte_bpe.byte_bpe_digest(
+            docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+        )
+    ),
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
