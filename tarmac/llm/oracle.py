@@ -19,6 +19,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _crc32(text: str) -> str:
+    """The checksum of the UTF-8 bytes of ``text``."""
+    every = f"range(strlen({text}))"
+    byte = f"('0x' || substr(hex({text}), 2 * i + 1, 2))::bigint"
+    bits = "[xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]"
+    step = f"list_reduce({bits}, lambda x, y: xor(x >> 1, (x & 1) * {0xEDB88320}))"
+    taken = f"list_prepend({0xFFFFFFFF}::bigint, list_transform({every}, lambda i: {byte}))"
+    return f"xor(list_reduce({taken}, lambda crc, byte: {step}), {0xFFFFFFFF})"
+
+
 MIXING = rf"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size,
@@ -229,10 +239,102 @@ select doc_id, n_sentences, len(ids)::bigint as n_known,
 from lines
 """
 
+SPELLING = rf"""
+with recursive runs as (
+  select coalesce(cast(doc_id as varchar), '') as key, {_lower(
+      "unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))"
+  )} as run from documents
+), summed as (
+  select run, count(*) as copies, {_crc32("key || ':' || run")} as h from runs
+  where length(run) >= 7 group by key, run
+), spelt as (
+  select copies, case when h % 31 = 0
+    then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+  from summed
+), words as (
+  select word, sum(copies)::bigint as n from spelt where length(word) >= 7
+  group by word having sum(copies) >= 2
+), places as (
+  select word, unnest(range(length(word))) as cut from words
+), shorter as (
+  select word, cut, left(word, cut) || substr(word, cut + 2) as less from places
+), pairs as (
+  select a.word, b.word as near from shorter a join shorter b
+    on a.less = b.less and a.cut = b.cut and a.word <> b.word
+  union select word, less from shorter where less in (select word from words)
+  union select less, word from shorter where less in (select word from words)
+), best as (
+  select p.word, count(*) as n_near, arg_min(p.near, (-w.n, p.near)) as near, max(w.n) as near_n
+  from pairs p join words w on w.word = p.near group by p.word
+), forms as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near,
+    case when near_n >= 10 * n then near end as form,
+    case when near_n >= 10 * n then near_n end as form_n
+  from words left join best using (word)
+), followed as (
+  select word, word as root, 0 as links from forms
+  union all
+  select r.word, f.form, links + 1 from followed r join forms f on f.word = r.root
+  where f.form is not null
+), ends as (
+  select word, arg_max(root, links) as root from followed group by word
+)
+select word, form, root, n, n_near, form_n from forms join ends using (word)
+"""
+
+PREFIX_TRIE = rf"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as place
+  from conversations where conv_id is not null
+), ids as (
+  select distinct conv_id, conv_id - conv_id % 5 as start,
+    {_crc32("cast(conv_id as varchar)")} % 9 as taken
+  from turns
+), rebuilt as (
+  select i.conv_id, 1 as part, place, role, text
+  from ids i join turns t on t.conv_id = i.start and place <= taken
+  union all
+  select t.conv_id, 2, place, role, text from ids i join turns t using (conv_id)
+  where place > taken
+), prefixes as (
+  select conv_id, row_number() over by_turn as depth, strlen(text) as n_bytes,
+    sha256(string_agg(concat(length(role), ':', role, length(text), ':', text)) over by_turn) as node
+  from rebuilt window by_turn as (partition by conv_id order by part, place)
+  union all select conv_id, 0, 0, '' from ids
+), nodes as (
+  select node, depth, count(*) as n_convs, min(conv_id) as conv_id, max(n_bytes) as n_bytes
+  from prefixes group by node, depth
+), parents as (
+  select distinct c.node, p.node as parent
+  from prefixes c join prefixes p on p.conv_id = c.conv_id and p.depth = c.depth - 1
+), children as (
+  select parent as node, count(*) as n_children from parents group by parent
+), below as (
+  select distinct u.node, d.node as other
+  from prefixes u join prefixes d on u.conv_id = d.conv_id and u.depth <= d.depth
+), totals as (
+  select b.node, count(*) filter (where n_children is null) as n_leaves,
+    sum((n_convs - 1) * n_bytes) as saved_tokens
+  from below b join nodes n on n.node = b.other left join children c on c.node = b.other
+  group by b.node
+), ends as (
+  select node, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+  from (from prefixes qualify depth = max(depth) over (partition by conv_id)) group by node
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs,
+  coalesce(n_children, 0)::bigint as n_children, n_leaves, saved_tokens::bigint as saved_tokens,
+  sha256(coalesce(ids, '')) as ends_sha256
+from nodes n join totals using (node) left join children using (node) left join ends using (node)
+  left join parents using (node) left join nodes p on p.node = parent
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": MIXING,
     "op2_secret_scan": SECRETS,
     "op6_decontamination": DECONTAMINATION,
     "op8_quality_rules": QUALITY_RULES,
     "op9_license_scan": LICENSE_SCAN,
+    "op11_spelling": SPELLING,
+    "op12_prefix_trie": PREFIX_TRIE,
 }

@@ -14,10 +14,12 @@ from tarmac.llm import (
     licenses,
     lm_score,
     mixing,
+    prefix_trie,
     quality_model,
     quality_rules,
     secrets,
     simhash,
+    spelling,
     token_counts,
 )
 from tarmac.llm.common import table
@@ -50,6 +52,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": _on_documents(quality_rules.quality_digest),
     "op9_license_scan": _on_documents(licenses.licence_digest),
     "op10_language_id": _on_documents(language_id.language_digest),
+    "op11_spelling": _on_documents(spelling.spelling_digest),
+    "op12_prefix_trie": lambda spark, sf: prefix_trie.trie(table(spark, sf, "conversations")),
     "op13_byte_bpe": _on_documents(
         lambda docs: byte_bpe.byte_bpe_digest(
             docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN
