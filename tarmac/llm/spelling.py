@@ -8,18 +8,21 @@ Two words one edit apart share all that lies before the edit, or all that lies b
 at least half their length. So there are two tries, one of words and one of words read
 backwards, and a word enters each only from the half on: its states without an edit are the
 nodes of its own path, known without a step, and the short beginnings that many words share
-never become states. An edit is made where the two words part, at a node of several edges, by
-taking another edge than the word's own: its character replaces the word's, or is inserted
-before it. From there on the rest has to match, so a state lives only as long as another word
-goes on with the same characters. A deletion is the insertion seen from the other word, and
-only one of two characters replaces the other, so each pair is found from one side and then
-turned round. Chains without a branch are one edge, whatever their length: the number of steps
-is that of branches, not of characters.
-
-A node is the 128-bit hash of its beginning, and the rows of a word name it by such a hash, so
-long words are not repeated for each of their positions. A node has at most one edge per
-character; a node or a form that very many words share joins rows of one key on one side only,
-which adaptive execution splits.
+never become states. An edit is made where the two words part, by taking another edge than the
+word's own: its character replaces the word's, or is inserted before it. From there on the rest
+has to match, so a state lives only as long as another word goes on with the same characters;
+an edge also knows, as two masks of 64 bits, which rests occur below it, and a state whose rest
+surely does not is not made. A deletion is the insertion seen from the other word, and only one
+of two characters replaces the other, so each pair is found from one side and then turned round.
+
+An edge is one character. Where 16 or more characters are left, an edge of a power of two of
+them leads on from each place that this power divides, so a word of any length is walked in a
+number of steps that grows with the logarithm of its length.
+
+The edge table is written once, in buckets by node, so a step shuffles the frontier only. A
+node has at most one edge per character, so the first join has rows of one key on one side only,
+the words with a common half; adaptive execution splits them. Nodes are 64-bit hashes, kept
+apart by way and place; a pair is kept only if both its words are in the vocabulary.
 
 Defined cases: a null text has no words. A null document id counts as empty text. Repeated
 rows count as often as they occur. Equal counts go by code point. Texts and words of any length
@@ -29,16 +32,22 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import ascii_lower, map_arrow, stored
+from tarmac.session import scratch_path
 
-# Rows of one output batch of the workers.
-BATCH = 1 << 15
+# Rows of one output batch of the workers; the shortest edge of several characters; the
+# longest word that its rows repeat, a longer one is named by a hash and joined when needed.
+BATCH, JUMP, SHORT = 1 << 15, 16, 64
+# Rests are hashed as numbers in this base, modulo a prime.
+BASE, PRIME = 1_000_003, (1 << 61) - 1
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 # One run in so many loses a character.
@@ -70,16 +79,48 @@ def word_counts(
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_n)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word's nodes from its half on, in both tries.
+def _rests(read: str, start: int) -> list[int]:
+    """Hashes of what is left of ``read`` from every place from ``start`` on."""
+    hashed = [1]
+    for character in reversed(read[start:]):
+        hashed.append((hashed[-1] * BASE + ord(character)) % PRIME)
+    hashed.reverse()
+    return hashed
 
-    ``id`` is the word, ``way`` 0 or 1 for backwards, ``pos`` the characters before the node,
-    ``next`` the character after it (-1 at the end), ``word`` the word as read, at the end only.
+
+def _bits(rest: int) -> tuple[int, int]:
+    """Two bits of a rest, out of 64 each."""
+    return rest & 63, rest >> 20 & 63
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _jump(place: int, left: int) -> int:
+    """Characters of the edge from ``place`` when ``left`` are to come."""
+    step = min(place & -place, 1 << (left.bit_length() - 1)) if left else 0
+    return step if step >= JUMP else 1
+
+
+EDGE = "node long, next long, child long, ends boolean, mask long, other_mask long"
+START = "word string, way int, pos int, n_chars int, node long, next long, bit int, other_bit int, "
+START += "next_bit int, next_other_bit int"
+
+
+def _rows(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+    """The edges of every word from its half on, in both tries, or its states without an edit.
+
+    ``next`` is the edge's character, or the hash of its characters; -1 at the end of the word.
     """
-    from xxhash import xxh3_128
+    from xxhash import xxh3_64, xxh64_intdigest
 
-    names = ["id", "way", "pos", "node", "next", "word"]
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.string()]
+    i, l = pa.int32(), pa.int64()  # noqa: E741
+    if edges:
+        names, kinds = EDGE, [l, l, l, pa.bool_(), l, l]
+    else:
+        names, kinds = START, [pa.string(), i, i, i, l, l, i, i, i, i]
+    names = [n.split()[0] for n in names.split(", ")]
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -87,67 +128,73 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in batches:
         for word in batch.column(0).to_pylist():
-            key, last = xxh3_128(word.encode()).digest(), len(word)
+            last = len(word)
+            start = (last - 1) // 2 if edges else last // 2
             for way in (0, 1):
                 read = word[::-1] if way else word
-                start = (last - 1) // 2
+                first = start if edges or not way else last - start
+                rests = _rests(read, first)
                 # The way is part of what is hashed: with seeds, short beginnings collide.
-                running = xxh3_128(b"<>"[way : way + 1] + read[:start].encode())
-                for pos in range(start, last):
-                    character = read[pos]
-                    rows.append((key, way, pos, running.digest(), ord(character), None))
+                running = xxh3_64(b"<>"[way : way + 1] + read[:first].encode())
+                nodes = [_signed(running.intdigest())]
+                for character in read[first:]:
                     running.update(character.encode())
+                    nodes.append(_signed(running.intdigest()))
+                name = read if last <= SHORT else long_name(word)
+                for pos in range(first, last + (not edges)):
+                    at = pos - first
+                    a, b = _bits(rests[at])
+                    if edges:
+                        steps = {1, _jump(pos, last - pos)} if last - pos >= JUMP else (1,)
+                        for step in steps:
+                            key = ord(read[pos])
+                            if step > 1:
+                                # As Spark hashes a string, and below zero, apart from characters.
+                                key = _signed(xxh64_intdigest(read[pos : pos + step].encode(), 42) | 1 << 63)
+                            a, b = _bits(rests[at + step])
+                            masks = _signed(1 << a), _signed(1 << b)
+                            rows.append((nodes[at], key, nodes[at + step], pos + step == last, *masks))
+                    elif pos < last:
+                        own = ord(read[pos])
+                        rows.append((name, way, pos, last, nodes[at], own, a, b, *_bits(rests[at + 1])))
+                    else:
+                        rows.append((name, way, pos, last, nodes[at], -1, a, b, 0, 0))
                     if len(rows) >= BATCH:
                         yield result(rows)
                         rows = []
-                rows.append((key, way, last, running.digest(), -1, read))
         if rows:
             yield result(rows)
             rows = []
 
 
-def _tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes of the words' own paths, and the edges between nodes.
+def long_name(word: str) -> str:
+    """What stands for a long word, which no word of letters can be."""
+    from xxhash import xxh3_128_hexdigest
 
-    A node is kept where the trie branches or a word ends.
-    """
-    schema = "id binary, way int, pos int, node binary, next int, word string"
-    places = stored(map_arrow(words.select("word"), _places, schema), "spelling-places")
-    nodes = (
-        places.groupBy("node")
-        .agg(F.min("next").alias("least"), F.max("next").alias("most"))
-        .where("least < most or least = -1")
-        .select("node", F.expr("least = -1").alias("ends"), F.expr("least < most").alias("branches"))
-    )
-    path = Window.partitionBy("id", "way")
-    onward = path.orderBy("pos")
-    kept = places.join(nodes, "node").withColumns(
-        {
-            "word": F.max("word").over(path),
-            "to": F.lead("pos").over(onward),
-            "child": F.lead("node").over(onward),
-            "child_ends": F.lead("ends").over(onward),
-        }
-    )
-    kept = stored(kept, "spelling-paths")
-    edges = (
-        kept.where("child is not null")
-        .select(
-            "node",
-            "next",
-            F.expr("substr(word, pos + 1, to - pos)").alias("label"),
-            "child",
-            "child_ends",
-        )
-        .dropDuplicates(["node", "next"])
-    )
-    return kept, stored(edges, "spelling-edges")
+    return "\0" + xxh3_128_hexdigest(word.encode())
 
 
-def _advance(states: DataFrame, edges: DataFrame, on: Column, rest: str, label: str) -> DataFrame:
-    """States that may go along an edge: what is left of the word starts with its label."""
-    joined = states.alias("s").join(edges.alias("e"), on)
-    return joined.where(F.expr(f"startswith({rest}, {label})"))
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = batch.column(0).to_pylist()
+        named = pa.array([long_name(w) for w in found], pa.string())
+        yield pa.RecordBatch.from_arrays([named, batch.column(0)], ["name", "whole"])
+
+
+# Characters of the edge to take, as ``_jump`` has them; ``pos`` of the word are behind, and in
+# the trie one more after an insertion.
+_LEFT = "n_chars - pos"
+_PLACE = "(pos + 1 - replaced)"
+_STEP = f"least({_PLACE} & -{_PLACE}, shiftleft(1, char_length(bin({_LEFT})) - 1))"
+_STEP = f"if({_STEP} >= {JUMP}, {_STEP}, 1)"
+_TAKEN = "substr(read, pos + 1, step)"
+_KEY = f"if(step = 1, cast(ascii({_TAKEN}) as bigint), xxhash64({_TAKEN}) | shiftleft(1L, 63))"
+# The rest of the word, after an insertion or a replacement, may occur below the edge.
+_INSERTS = "(mask & shiftleft(1L, bit)) <> 0 and (other_mask & shiftleft(1L, other_bit)) <> 0"
+_REPLACES = (
+    "s.next >= 0 and s.next < e.next and (mask & shiftleft(1L, next_bit)) <> 0 "
+    "and (other_mask & shiftleft(1L, next_other_bit)) <> 0"
+)
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -156,50 +203,82 @@ def near_words(words: DataFrame) -> DataFrame:
 
     ``words`` has distinct, non-empty words in ``word``.
     """
-    paths, edges = _tries(words)
-    half = "case when way = 0 then char_length(word) div 2 else (char_length(word) + 1) div 2 end"
-    start = paths.where(f"branches and pos >= {half}").select("word", "way", "pos", "node", "next")
+    spark, words = words.sparkSession, words.select("word")
+    edges = (
+        map_arrow(words, partial(_rows, edges=True), EDGE)
+        .groupBy("node", "next")
+        .agg(
+            F.min("child").alias("child"),
+            F.max("ends").alias("ends"),
+            F.bit_or("mask").alias("mask"),
+            F.bit_or("other_mask").alias("other_mask"),
+        )
+    )
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, path = f"spelling_edges_{uuid.uuid4().hex}", scratch_path(spark, "spelling-edges")
+    edges.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(table)
+    try:
+        found = _frontier(words, spark.read.schema(edges.schema).parquet(path), spark.table(table))
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+    near = F.expr("concat(left(read, at), character, substr(read, at + 1 + replaced))")
+    turned = [F.when(F.col("way") == 1, F.reverse(c)).otherwise(c) for c in (F.col("read"), near)]
+    pairs = found.select(turned[0].alias("word"), turned[1].alias("near")).distinct()
+    both = F.array(
+        F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"))
+    )
+    return pairs.join(words, "word", "left_semi").join(
+        words.withColumnRenamed("word", "near"), "near", "left_semi"
+    ).select(F.inline(both))
+
+
+def _frontier(words: DataFrame, edges: DataFrame, bucketed: DataFrame) -> DataFrame:
+    """States with one edit that end where a word ends."""
+    start = map_arrow(words, partial(_rows, edges=False), START)
     other = (F.col("s.node") == F.col("e.node")) & (F.col("s.next") != F.col("e.next"))
-    # Behind the edge's first character, the word goes on as its label does.
-    tail = "substr(label, 2)"
-    common = ["word", "way", F.col("pos").alias("at"), F.expr("left(label, 1)").alias("character")]
-    reached = ["child as node", "child_ends as ends"]
-    inserted = _advance(start, edges, other, "substr(word, pos + 1)", tail).select(
-        *common, F.lit(0).alias("replaced"), F.expr(f"pos + char_length({tail}) as pos"),
-        *map(F.expr, reached),
+    # Edges of several characters have keys below zero; a state without an edit takes none.
+    met = start.alias("s").join(edges.where("next >= 0").alias("e"), other)
+    kinds = F.expr(f"array_compact(array(if({_INSERTS}, 0, null), if({_REPLACES}, 1, null)))")
+    kept = ["way", "at", "replaced", "character", "n_chars", "node", "ends"]
+    states = met.select(
+        "word",
+        "way",
+        F.col("pos").alias("at"),
+        F.explode(kinds).alias("replaced"),
+        F.decode(F.unhex(F.lpad(F.hex("e.next"), 8, "0")), "UTF-32").alias("character"),
+        "n_chars",
+        F.col("child").alias("node"),
+        "ends",
     )
-    smaller = other & (F.col("s.next") >= 0) & (F.col("s.next") < F.col("e.next"))
-    replaced = _advance(start, edges, smaller, "substr(word, pos + 2)", tail).select(
-        *common, F.lit(1).alias("replaced"), F.expr(f"pos + char_length(label) as pos"),
-        *map(F.expr, reached),
+    states = states.select("word", F.expr("at + replaced as pos"), *kept)
+    states = stored(states, "spelling-frontier")
+    # Long words are named in their rows; what is left of them is looked up once.
+    whole = words.where(F.char_length("word") > SHORT)
+    whole = map_arrow(whole, _named, "name string, whole string")
+    named = F.startswith("word", F.lit("\0"))
+    read = F.when(F.col("way") == 1, F.reverse("whole")).otherwise(F.col("whole"))
+    states = states.where(~named).withColumnRenamed("word", "read").unionByName(
+        states.where(named).join(whole, F.col("word") == F.col("name")).select(read.alias("read"), "pos", *kept)
     )
-    states = stored(inserted.unionByName(replaced), "spelling-frontier")
     rounds = []
-    open_ = "pos < char_length(word)"
     while True:
-        rounds.append(states.where("ends and pos = char_length(word)"))
-        if states.where(open_).isEmpty():
+        rounds.append(states.where("ends and pos = n_chars"))
+        ahead = states.where("pos < n_chars")
+        if ahead.isEmpty():
             break
-        ahead = states.where(open_).withColumn("next", F.expr("ascii(substr(word, pos + 1, 1))"))
-        same = (F.col("s.node") == F.col("e.node")) & (F.col("s.next") == F.col("e.next"))
-        further = _advance(ahead, edges, same, "substr(word, pos + 1)", "label").select(
-            "word", "way", "at", "character", "replaced",
-            F.expr("pos + char_length(label) as pos"), *map(F.expr, reached),
+        ahead = ahead.withColumn("step", F.expr(_STEP)).withColumn("next", F.expr(_KEY)).drop("ends")
+        # An equality that is no key of the join, so that the buckets by node serve it.
+        same = (F.col("s.node") == F.col("e.node")) & (F.col("s.next").bitwiseXOR(F.col("e.next")) == 0)
+        further = ahead.alias("s").join(bucketed.alias("e"), same)
+        moved = [c for c in kept if c not in ("node", "ends")]
+        states = stored(
+            further.select("read", F.expr("cast(pos + step as int) as pos"), *moved, F.col("child").alias("node"), "ends"),
+            "spelling-frontier",
         )
-        states = stored(further, "spelling-frontier")
     found = rounds[0]
     for more in rounds[1:]:
         found = found.unionByName(more)
-    near = F.expr("concat(left(word, at), character, substr(word, at + 1 + replaced))")
-    read = [F.when(F.col("way") == 1, F.reverse(c)).otherwise(c) for c in (F.col("word"), near)]
-    pairs = found.select(read[0].alias("word"), read[1].alias("near"))
-    both = F.inline(
-        F.array(
-            F.struct("word", "near"),
-            F.struct(F.col("near").alias("word"), F.col("word").alias("near")),
-        )
-    )
-    return pairs.distinct().select(both)
+    return found
 
 
 def variant_groups(words: DataFrame, ratio: int = 10) -> DataFrame:
