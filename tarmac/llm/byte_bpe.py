@@ -27,14 +27,15 @@ import re
 import sys
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import islice, product
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
@@ -42,7 +43,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from tarmac.llm.common import map_arrow
 
 # Pre-tokens of one slice, characters of pre-tokens a worker keeps, bytes of an output batch.
-SLICE, HELD, BATCH = 1 << 16, 1 << 22, 1 << 24
+SLICE, HELD, BATCH = 1 << 16, 1 << 23, 1 << 24
 # Bits of a bitmap word, as a power of two; pre-tokens from so many bytes are held in arrays.
 WORD_BITS, LONG = 9, 1 << 12
 
@@ -99,7 +100,10 @@ def spelled_out(pattern: str, last: int) -> str:
 
 
 class Places:
-    """A bucket of a very long pre-token: places in rising order, and late ones in a heap."""
+    """A bucket of a very long pre-token: places in rising order, and late ones in a heap.
+
+    Any other bucket is a heap.
+    """
 
     def __init__(self, place: int):
         self.run, self.used, self.late = array("i", (place,)), 0, []
@@ -120,11 +124,6 @@ class Places:
         return len(self.run) - self.used + len(self.late)
 
 
-def _heap(place: int) -> list[int]:
-    """A bucket of any other pre-token, a heap."""
-    return [place]
-
-
 class Vocabulary:
     """Ranks of a file with one base64 token and its rank a line, and the pre-token pattern."""
 
@@ -138,6 +137,8 @@ class Vocabulary:
         self.stock = pa.array(tokens, pa.binary())
         self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.bytes = [self.ranks.get(bytes([b])) for b in range(256)]
+        # Rank of what two bytes form, -1 for none.
+        self.pairs = [self.ranks.get(bytes(p), -1) for p in product(range(256), repeat=2)]
         self.words = [0] * (1 + (len(tokens) >> WORD_BITS))
         # Classes without characters beyond the first plane are tested faster.
         self.narrow = re.compile(spelled_out(pattern, 0xFFFF))
@@ -177,12 +178,14 @@ class Vocabulary:
         parts = [self.bytes[b] for b in piece]
         right, left = range(1, last + 1), range(-1, last - 1)
         # The rank of the merge that is due at a place; -1 for none.
-        due = [rank_of(piece[i : i + 2], -1) for i in range(last - 1)] + [-1]
-        if last < LONG:
-            bucket_of, add, take = _heap, heappush, heappop
+        pairs = self.pairs
+        due = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        due.append(-1)
+        if short := last < LONG:
+            add, take = heappush, heappop
             right, left = list(right), list(left)
         else:
-            bucket_of, add, take = Places, Places.add, Places.take
+            add, take = Places.add, Places.take
             right, left = array("i", right), array("i", left)
             parts, due = array("i", parts), array("i", due)
         buckets: dict[int, list | Places] = {}
@@ -191,7 +194,7 @@ class Vocabulary:
             if rank in buckets:
                 add(buckets[rank], i)
             elif rank >= 0:
-                buckets[rank] = bucket_of(i)
+                buckets[rank] = [i] if short else Places(i)
                 words[rank >> WORD_BITS] |= 1 << (rank & mask)
                 filled |= 1 << (rank >> WORD_BITS)
         while filled:
@@ -218,7 +221,7 @@ class Vocabulary:
                 if new in buckets:
                     add(buckets[new], i)
                 elif new >= 0:
-                    buckets[new] = bucket_of(i)
+                    buckets[new] = [i] if short else Places(i)
                     words[new >> WORD_BITS] |= 1 << (new & mask)
                     filled |= 1 << (new >> WORD_BITS)
             else:
@@ -228,7 +231,7 @@ class Vocabulary:
                 if new in buckets:
                     add(buckets[new], before)
                 elif new >= 0:
-                    buckets[new] = bucket_of(before)
+                    buckets[new] = [before] if short else Places(before)
                     words[new >> WORD_BITS] |= 1 << (new & mask)
                     filled |= 1 << (new >> WORD_BITS)
         return [p for p in parts if p >= 0]
@@ -265,19 +268,12 @@ def vocabulary(data: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(data, pattern)
 
 
-def _with_column(df: DataFrame, name: str, kind) -> StructType:
-    """Schema of ``df`` with ``name`` last, in place of a column of that name."""
-    kept = [f for f in df.schema.fields if f.name.lower() != name.lower()]
-    return StructType([*kept, StructField(name, kind)])
-
-
-def _extended(batch: pa.RecordBatch, kept: list[int], column: pa.Array, name: str) -> pa.RecordBatch:
-    arrays = [*[batch.column(i) for i in kept], column]
-    return pa.RecordBatch.from_arrays(arrays, [*[batch.schema.names[i] for i in kept], name])
-
-
-def _places(df: DataFrame, name: str) -> list[int]:
-    return [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
+def _with_columns(df: DataFrame, added: dict) -> tuple[StructType, list[int]]:
+    """Schema of ``df`` with the added columns last, and the places of the columns that stay."""
+    lowered = {name.lower() for name in added}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in lowered]
+    fields = [df.schema.fields[i] for i in kept]
+    return StructType(fields + [StructField(n, k) for n, k in added.items()]), kept
 
 
 def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -291,55 +287,86 @@ def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def _text_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _encode(known: Vocabulary, texts: pa.Array) -> pa.Array:
+    found = [known.encode(t.as_py()) for t in texts]
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+
+
+def _decode(known: Vocabulary, lists: pa.Array) -> pa.Array:
+    counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    joined, sizes = known.decode(lists.flatten())
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    ends = upto[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), joined])
+
+
+def _coded(
+    df: DataFrame, path: str, pattern: str, source: str, sizes: Callable, added: dict, make: Callable
+) -> DataFrame:
+    """``df`` with the columns that ``make`` gets from ``source``, batch by batch."""
+    data, at = Path(path).read_bytes(), df.columns.index(source)
+    schema, kept = _with_columns(df, added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(data, pattern)
+        for batch in batches:
+            names = [batch.schema.names[i] for i in kept] + list(added)
+            for start, end in _cuts(sizes(batch.column(at))):
+                part = batch.slice(start, end - start)
+                columns = [part.column(i) for i in kept] + make(known, part.column(at))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return map_arrow(df, run, schema)
+
+
+IDS, BYTES = ArrayType(IntegerType()), BinaryType()
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with the token identifiers of every whole text in ``ids``.
 
     ``path`` is read where this is called, so it may be a file of the driver alone.
     """
-    data, kept, at = Path(path).read_bytes(), _places(docs, "ids"), docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(data, pattern)
-        for batch in batches:
-            texts = batch.column(at)
-            sizes = texts.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
-            sizes = np.diff(np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset :][: len(texts) + 1])
-            for start, end in _cuts(sizes):
-                found = [known.encode(t.as_py()) for t in texts.slice(start, end - start)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield _extended(batch.slice(start, end - start), kept, ids, "ids")
+    def make(known: Vocabulary, texts: pa.Array) -> list[pa.Array]:
+        return [_encode(known, texts)]
 
-    return map_arrow(docs, run, _with_column(docs, "ids", ArrayType(IntegerType())))
+    return _coded(docs, path, pattern, text, _text_sizes, {"ids": IDS}, make)
 
 
 def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``df`` with the bytes that the identifiers stand for in ``decoded``."""
-    data, kept, at = Path(path).read_bytes(), _places(df, "decoded"), df.columns.index(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(data, pattern)
-        for batch in batches:
-            lists = batch.column(at)
-            counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-            for start, end in _cuts(counts * 4):
-                part = lists.slice(start, end - start)
-                joined, sizes = known.decode(part.flatten())
-                bytes_upto = np.concatenate([[0], np.cumsum(sizes)])
-                ends = bytes_upto[np.concatenate([[0], np.cumsum(counts[start:end])])]
-                offsets = pa.py_buffer(ends.astype(np.int32))
-                column = pa.Array.from_buffers(pa.binary(), end - start, [None, offsets, joined])
-                yield _extended(batch.slice(start, end - start), kept, column, "decoded")
+    def sizes(lists: pa.Array) -> np.ndarray:
+        return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False) * 4
+
+    def make(known: Vocabulary, lists: pa.Array) -> list[pa.Array]:
+        return [_decode(known, lists)]
+
+    return _coded(df, path, pattern, ids, sizes, {"decoded": BYTES}, make)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and what these ``decoded`` to, in one pass."""
+
+    def make(known: Vocabulary, texts: pa.Array) -> list[pa.Array]:
+        ids = _encode(known, texts)
+        return [ids, _decode(known, ids)]
 
-    return map_arrow(df, run, _with_column(df, "decoded", BinaryType()))
+    return _coded(docs, path, pattern, text, _text_sizes, {"ids": IDS, "decoded": BYTES}, make)
 
 
 def byte_bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text.
 
-    The digests are taken of what ``encoded`` and ``decoded`` return.
+    The digests are taken of the identifiers and bytes that ``round_trip`` returns.
     """
-    coded = decoded(encoded(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), path, pattern)
     numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
