@@ -104,8 +104,16 @@ def _jump(place: int, left: int) -> int:
 
 
 EDGE = "node long, next long, child long, ends boolean, mask long, other_mask long"
-START = "word string, way int, pos int, n_chars int, node long, next long, bit int, other_bit int, "
-START += "next_bit int, next_other_bit int"
+# ``bits`` holds the way and, in six bits each, the two bits of what is left and those of what is
+# left behind the next character.
+START = "word string, pos int, n_chars int, node long, next int, bits int"
+_UNPACKED = {
+    "way": "bits & 1",
+    "bit": "shiftright(bits, 1) & 63",
+    "other_bit": "shiftright(bits, 7) & 63",
+    "next_bit": "shiftright(bits, 13) & 63",
+    "next_other_bit": "shiftright(bits, 19) & 63",
+}
 
 
 def _rows(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
@@ -119,7 +127,7 @@ def _rows(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordB
     if edges:
         names, kinds = EDGE, [l, l, l, pa.bool_(), l, l]
     else:
-        names, kinds = START, [pa.string(), i, i, i, l, l, i, i, i, i]
+        names, kinds = START, [pa.string(), i, i, l, i, i]
     names = [n.split()[0] for n in names.split(", ")]
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,11 +162,11 @@ def _rows(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordB
                             a, b = _bits(rests[at + step])
                             masks = _signed(1 << a), _signed(1 << b)
                             rows.append((nodes[at], key, nodes[at + step], pos + step == last, *masks))
-                    elif pos < last:
-                        own = ord(read[pos])
-                        rows.append((name, way, pos, last, nodes[at], own, a, b, *_bits(rests[at + 1])))
                     else:
-                        rows.append((name, way, pos, last, nodes[at], -1, a, b, 0, 0))
+                        c, d = _bits(rests[at + 1]) if pos < last else (0, 0)
+                        own = ord(read[pos]) if pos < last else -1
+                        packed = way | a << 1 | b << 7 | c << 13 | d << 19
+                        rows.append((name, pos, last, nodes[at], own, packed))
                     if len(rows) >= BATCH:
                         yield result(rows)
                         rows = []
@@ -190,10 +198,10 @@ _STEP = f"if({_STEP} >= {JUMP}, {_STEP}, 1)"
 _TAKEN = "substr(read, pos + 1, step)"
 _KEY = f"if(step = 1, cast(ascii({_TAKEN}) as bigint), xxhash64({_TAKEN}) | shiftleft(1L, 63))"
 # The rest of the word, after an insertion or a replacement, may occur below the edge.
-_INSERTS = "(mask & shiftleft(1L, bit)) <> 0 and (other_mask & shiftleft(1L, other_bit)) <> 0"
-_REPLACES = (
-    "s.next >= 0 and s.next < e.next and (mask & shiftleft(1L, next_bit)) <> 0 "
-    "and (other_mask & shiftleft(1L, next_other_bit)) <> 0"
+_MAY_REST = "(mask & shiftleft(1L, {bit})) <> 0 and (other_mask & shiftleft(1L, {other_bit})) <> 0"
+_INSERTS = _MAY_REST.format(**_UNPACKED)
+_REPLACES = "s.next >= 0 and s.next < e.next and " + _MAY_REST.format(
+    bit=_UNPACKED["next_bit"], other_bit=_UNPACKED["next_other_bit"]
 )
 
 
@@ -204,8 +212,11 @@ def near_words(words: DataFrame) -> DataFrame:
     ``words`` has distinct, non-empty words in ``word``.
     """
     spark, words = words.sparkSession, words.select("word")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = (
         map_arrow(words, partial(_rows, edges=True), EDGE)
+        # Dealt as the buckets are, so each of them is one file, in order.
+        .repartition(buckets, "node")
         .groupBy("node", "next")
         .agg(
             F.min("child").alias("child"),
@@ -214,7 +225,6 @@ def near_words(words: DataFrame) -> DataFrame:
             F.bit_or("other_mask").alias("other_mask"),
         )
     )
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table, path = f"spelling_edges_{uuid.uuid4().hex}", scratch_path(spark, "spelling-edges")
     edges.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(table)
     try:
@@ -242,7 +252,7 @@ def _frontier(words: DataFrame, edges: DataFrame, bucketed: DataFrame) -> DataFr
     kept = ["way", "at", "replaced", "character", "n_chars", "node", "ends"]
     states = met.select(
         "word",
-        "way",
+        F.expr(_UNPACKED["way"]).alias("way"),
         F.col("pos").alias("at"),
         F.explode(kinds).alias("replaced"),
         F.decode(F.unhex(F.lpad(F.hex("e.next"), 8, "0")), "UTF-32").alias("character"),

@@ -74,7 +74,7 @@ def test_long_words_and_long_common_parts(spark):
     assert rows_of(spark, counts) == brute_force(counts)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.text("ab", min_size=1, max_size=6), st.integers(2, 400), min_size=1, max_size=60))
 def test_any_vocabulary(spark, counts):
     assert rows_of(spark, counts) == brute_force(counts)
