@@ -498,6 +498,35 @@ def _repeated_cells() -> str:
     return f"{REPEATED} " + " union all ".join(rows)
 
 
+def _paired_cells() -> str:
+    pair, rest = ", ".join(ROUTE_PAIR), ", ".join(f"{m} nulls first" for m in ROUTE_REST)
+    sides = [
+        f"numbered_{x} as (select *, row_number() over (partition by {pair} order by {rest}) "
+        f"as occurrence from version_{x})"
+        for x in "ab"
+    ]
+    keys = ", ".join(
+        f"coalesce(a.{k}, b.{k}) as {k}" for k in [*ROUTE_PAIR, "occurrence"]
+    )
+    both = ", ".join(f"a.{m} as {m}_a, b.{m} as {m}_b" for m in ROUTE_REST)
+    joined = (
+        f"places as (select {keys}, {both}, a.occurrence is not null as in_a, "
+        "b.occurrence is not null as in_b from numbered_a a full outer join numbered_b b "
+        f"using ({pair}, occurrence))"
+    )
+    rows = [
+        f"select {pair}, occurrence, '(row)' as column_name, cast(in_a::int as varchar) as value_a, "
+        "cast(in_b::int as varchar) as value_b from places where not (in_a and in_b)"
+    ]
+    for m in ROUTE_REST:
+        rows.append(
+            f"select {pair}, occurrence, '{m}', cast({m}_a as varchar), cast({m}_b as varchar) "
+            f"from places where in_a and in_b and {_cell_differs(m, 0.01)}"
+        )
+    head = REPEATED[: REPEATED.index("pairs as (")]
+    return f"{head}{', '.join(sides)}, {joined} " + " union all ".join(rows)
+
+
 # --- runs -----------------------------------------------------------------------------
 
 RUNS = """
@@ -658,7 +687,12 @@ hashed as (
 placed as (select *, row_number() over (order by h1, h2) as rn, count(*) over () as total
            from hashed)
 select op_carrier_fl_num, {FEW} from placed where rn <= round_even(0.25::double * total, 0)""",
-    "shuffled_first": f"select * from orders order by {ORDER_HASH} limit 100",
+    "shuffled_tied": f"""with {FLIGHTS}
+select op_carrier_fl_num, {FEW}, row_number() over (
+  order by {_few_hash("origin")}, {_few_hash("op_carrier_fl_num, " + FEW)}) - 1 as place
+from flights""",
+    "shuffled_identical": f"with {FLIGHTS} select {FEW}, "
+    f"row_number() over (order by {_few_hash(FEW)}) - 1 as place from flights",
     "shuffled_orders": f"select *, row_number() over (order by {ORDER_HASH}) - 1 as place "
     "from orders",
     "scaled_rows": f"with {_orders_ranked()} "
@@ -766,6 +800,9 @@ from marked group by 1""",
     "event_id as repeat from runs",
     "carrier_deviation_by_carrier": f"with {FLIGHTS},{_carriers()} select * from report "
     "order by aeroporto_partenza, compagnia limit 10",
+    "carrier_order": f"with {FLIGHTS},{_carriers()} select *, row_number() over ("
+    "order by aeroporto_partenza, compagnia) as place from report",
+    "differing_paired": _paired_cells(),
     "preparation_profile": f"with {RAW} "
     + " union all ".join(
         f"select '{name}' as measure, '{c}' as column_name, "

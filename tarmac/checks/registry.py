@@ -23,6 +23,7 @@ from tarmac.session import scratch_path
 from tarmac.sources import (
     declare_flights,
     read_csv,
+    read_ordered,
     read_parquet,
     read_report,
     read_runs,
@@ -184,6 +185,14 @@ def reconcile_stored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def carrier_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report by airport and carrier, written and read back in its order."""
+    path = scratch_path(spark, "order")
+    write_report(carrier_deviation(flights_view(spark, sf)), path, S.CARRIER_DEVIATION_KEY)
+    report = read_ordered(spark, path, S.CARRIER_DEVIATION_REPORT, S.CARRIER_DEVIATION_KEY)
+    return as_doubles(report)
+
+
 # --- comparisons of results ------------------------------------------------------------
 
 
@@ -224,6 +233,11 @@ def differing_repeated(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.differing_cells(a, b, S.ROUTE_MONTH_KEY[:2])
 
 
+def differing_paired(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _keys_that_repeat(spark, sf)
+    return reconcile.paired_cells(a, b, S.ROUTE_MONTH_KEY[:2])
+
+
 def reconcile_reports(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _full_and_half(spark, sf)
     return reconcile.reconcile(a, b, S.ROUTE_MONTH_KEY, job="3.1")
@@ -290,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "carrier_deviation_by_carrier": _on_flights(
         lambda df: ranking.top_n(carrier_deviation(df), S.CARRIER_DEVIATION_KEY)
     ),
+    "carrier_order": carrier_order,
     "carrier_deviation_exact": _on_flights(lambda df: carrier_deviation(df, precision="exact")),
     "carrier_deviation_nulls_last": _on_flights(lambda df: carrier_deviation(df, nulls="last")),
     "carrier_deviation_zero_mean": _on_flights(
@@ -333,8 +348,13 @@ QUERIES: dict[str, Query] = {
             df.select("op_carrier_fl_num", *FEW), 0.25, key=["op_carrier_fl_num"]
         )
     ),
-    "shuffled_first": _on_orders(
-        lambda df: sample.shuffled(df, key=["o_orderkey"]).limit(100)
+    "shuffled_tied": _on_flights(
+        lambda df: sample.numbered(
+            sample.shuffled(df.select("op_carrier_fl_num", *FEW), key=["origin"])
+        )
+    ),
+    "shuffled_identical": _on_flights(
+        lambda df: sample.numbered(sample.shuffled(df.select(*FEW)))
     ),
     "shuffled_orders": _on_orders(
         lambda df: sample.numbered(sample.shuffled(df, key=["o_orderkey"]))
@@ -352,6 +372,7 @@ QUERIES: dict[str, Query] = {
     "differing_cells": differing_cells,
     "reconcile_repeated": reconcile_repeated,
     "differing_repeated": differing_repeated,
+    "differing_paired": differing_paired,
     "side_by_side": side_by_side,
     "set_difference": set_difference,
     "multiset_difference": multiset_difference,

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions import nan_to_null
+from tarmac.session import stored
 
 TOLERANCE = 0.01
 
@@ -197,6 +198,53 @@ def differing_cells(
     )
 
 
+def occurrences(df: DataFrame, groups: Sequence[str], name: str = "occurrence") -> DataFrame:
+    """Numbers the rows of every group from 1 in the order of their other columns.
+
+    The rows are sorted by range, so a group with most of the rows lies in several tasks, and
+    numbered inside each task; groups that reach over tasks then go on from the counts of the
+    tasks before, of which a group has at most one each.
+    """
+    others = [c for c in df.columns if c not in groups]
+    keys, values = ([F.col(f"`{c}`") for c in part] for part in (groups, others))
+    ordered = df.repartitionByRange(*keys, *values).withColumn("_task", F.spark_partition_id())
+    ordered = stored(ordered, "occurrences")
+    inside = Window.partitionBy("_task", *keys).orderBy(*values)
+    counts = ordered.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null")
+    named = {c: f"_group{i}" for i, c in enumerate(groups)}
+    carried = carried.select(
+        F.col("_task").alias("_of"), "_before", *[F.col(f"`{c}`").alias(n) for c, n in named.items()]
+    )
+    same = reduce(
+        lambda x, y: x & y,
+        [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in named.items()],
+        F.col("_task") == F.col("_of"),
+    )
+    numbered = ordered.withColumn("_inside", F.row_number().over(inside)).join(carried, same, "left")
+    place = F.col("_inside") + F.coalesce("_before", F.lit(0))
+    return numbered.select(*keys, *values, place.alias(name))
+
+
+def paired_cells(
+    a: DataFrame,
+    b: DataFrame,
+    keys: Sequence[str],
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """The differing cells of rows with one key paired one by one.
+
+    The rows of a key are numbered on each side in the order of their other columns, and the
+    nth rows of both sides are compared. One row per differing cell: key, ``occurrence``,
+    column and both values as text; a row without a partner gets an entry ``(row)``.
+    """
+    stacked = _stacked(a, b).select(*[F.col(f"`{c}`") for c in a.columns], "_side")
+    numbered = occurrences(stacked, [*keys, "_side"])
+    sides = [numbered.where(F.col("_side") == side).drop("_side") for side in (0, 1)]
+    return differing_cells(*sides, [*keys, "occurrence"], tolerance)
+
+
 def side_by_side(
     a: DataFrame,
     b: DataFrame,

@@ -160,8 +160,44 @@ def exact_sample(
 
 
 def shuffled(df: DataFrame, key: Sequence[str] | None = None, seed: int = SAMPLE_SEED) -> DataFrame:
-    """All rows in a reproducible random order."""
-    return df.orderBy(row_hash(key or df.columns, seed))
+    """All rows in a reproducible random order: by the hash of their key, then of the row.
+
+    What still ties are identical rows, so the order is total. Rows of one key are split among
+    the tasks of the sort by their own hash. Identical rows that would fill half a task are
+    counted and numbered, and split by number; they are found by counting hash prefixes.
+    """
+    of_row = row_hash(df.columns, seed)
+    order = [row_hash(key, seed), of_row] if key else [of_row]
+    copy = _free_name(df, "_copy")
+    heavy = _heavy_hashes(df.select(of_row.alias("h")))
+    rows = df.withColumn(copy, F.lit(0).cast("bigint"))
+    if heavy:
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        counted = df.where(of_row.isin(heavy)).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.where(~of_row.isin(heavy)).unionByName(_repeat(counted, copy))
+    return rows.orderBy(*order, copy).drop(copy)
+
+
+def _free_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _heavy_hashes(hashed: DataFrame) -> list[str]:
+    """Hashes ``h`` of so many rows that they would fill half a task; there are at most two
+    per task."""
+    prefix = F.substring("h", 1, STEP)
+    counters = hashed.groupBy(prefix.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r.n for r in counters)
+    tasks = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(COPY_BLOCK, total // (2 * tasks), 2 * total // 16**STEP)
+    parts = [r.part for r in counters if r.n > least]
+    if not parts:
+        return []
+    each = hashed.where(prefix.isin(parts)).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.h for r in each.where(F.col("n") > least).collect())
 
 
 def numbered(df: DataFrame, column: str = "place") -> DataFrame:
@@ -170,9 +206,7 @@ def numbered(df: DataFrame, column: str = "place") -> DataFrame:
     Every task numbers its own rows; a task's first place is the count of rows before it. A
     column of that name is replaced.
     """
-    spark, at = df.sparkSession, "_at"
-    while at in df.columns:
-        at += "_"
+    spark, at = df.sparkSession, _free_name(df, "_at")
     # The upper bits of this id are the task, the lower 33 the row's place in it.
     rows = stored(df.withColumn(at, F.monotonically_increasing_id()), "order")
     task = F.shiftright(at, 33).alias("task")
@@ -259,23 +293,26 @@ def _split_tie(df: DataFrame, cut: Cut, key: Sequence[str] | None, seed: int) ->
     return _repeat(groups.withColumn("_n", F.greatest(F.lit(0), F.least(F.col("_n"), left))))
 
 
-def _repeat(groups: DataFrame) -> DataFrame:
+def _repeat(groups: DataFrame, number: str | None = None) -> DataFrame:
     """Each row ``_n`` times, the copies of one row spread over many tasks.
 
     Blocks of copies are dealt round robin to a stated number of tasks; without that number
     adaptive execution would merge the blocks, which are small before they are multiplied.
+    With ``number``, a column of that name counts the copies of a row from 0.
     """
     blocks = groups.where("_n > 0").withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPY_BLOCK)))
     )
     size = F.least(F.lit(COPY_BLOCK), F.col("_n") - F.col("_block") * COPY_BLOCK)
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
+    copies = (
         blocks.withColumn("_size", size.cast("int"))
         .repartition(tasks)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_size"))))
-        .drop("_n", "_block", "_size", "_copy")
+        .select("*", F.posexplode(F.array_repeat(F.lit(1), F.col("_size"))).alias("_at", "_one"))
     )
+    if number:
+        copies = copies.withColumn(number, F.col("_block") * COPY_BLOCK + F.col("_at"))
+    return copies.drop("_n", "_block", "_size", "_at", "_one")
 
 
 def _sample_strata(

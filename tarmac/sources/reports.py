@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,39 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return df.withColumn(QUOTED, F.concat(F.lit('"'), F.col(QUOTED), F.lit('"')))
 
 
+def read_ordered(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    order: Sequence[str],
+    place: str = "place",
+) -> DataFrame:
+    """A report written before, with the place of every row in its files' order from 1.
+
+    The files hold ranges of the order, so only their first keys and row counts are compared;
+    rows are numbered inside their own file. A file whose keys reach into those of the next
+    one is refused, as the report was not written in this order.
+    """
+    rows = read_report(spark, path, schema).withColumn("_file", F.col("_metadata.file_path"))
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    parts = (
+        rows.groupBy("_file")
+        .agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("n"))
+        .orderBy("first")
+        .collect()
+    )
+    before, starts, last = 0, [], None
+    for part in parts:
+        if last is not None and [(v is not None, v) for v in part["first"]] < [(v is not None, v) for v in last]:
+            raise ValueError(f"the files of {path} do not follow each other by {list(order)}")
+        starts.append((part["_file"], before))
+        before, last = before + part.n, part["last"]
+    starts = spark.createDataFrame(starts, "_file string, _before bigint")
+    inside = F.row_number().over(Window.partitionBy("_file").orderBy(*[F.col(f"`{c}`") for c in order]))
+    joined = rows.join(starts, "_file").withColumn(place, F.col("_before") + inside)
+    return joined.drop("_file", "_before")
+
+
 def snapshot(
     spark: SparkSession,
     path: str,

@@ -1,6 +1,7 @@
 """Reading and writing."""
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -13,8 +14,10 @@ from tarmac.plans import carrier_deviation, delay_band_report, route_month_stats
 from tarmac.session import scratch_path
 from tarmac.sources import (
     append_run,
+    compact_runs,
     declare_flights,
     read_csv,
+    read_ordered,
     read_parquet,
     read_report,
     read_runs,
@@ -236,3 +239,46 @@ def test_flag_check_reaches_the_parquet_scan(spark, make_flights, tmp_path):
     assert (loaded.good.count(), loaded.rejected.count()) == (2, 2)
     plan = loaded.good._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(cancelled" in plan or "Or(EqualTo(cancelled" in plan
+
+
+def test_runs_added_at_once_are_all_kept(spark, tmp_path):
+    log = str(tmp_path / "log")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: append_run(spark, log, 10, "3.1", f"T{i:02d}", i), range(20)))
+    before = sorted(tuple(r) for r in read_runs(spark, log, "x").collect())
+    assert [r[1] for r in before] == [f"T{i:02d}" for i in range(20)]
+    compact_runs(spark, log, rows_per_file=8)
+    after = read_runs(spark, log, "x")
+    assert sorted(tuple(r) for r in after.collect()) == before
+    kept = sorted(p.name for p in Path(log).iterdir() if p.name[0] not in "._")
+    assert 1 <= len(kept) <= 3
+    starts = [int(row["Inizio"]) for n in kept for row in csv.DictReader(open(f"{log}/{n}"))]
+    assert starts == sorted(starts) and len(starts) == 20
+
+
+def test_an_interrupted_compaction_is_undone(spark, tmp_path):
+    log = tmp_path / "log"
+    for i in range(3):
+        append_run(spark, str(log), 10, "3.1", f"T{i}", i)
+    before = sorted(tuple(r) for r in read_runs(spark, str(log), "x").collect())
+    (log / "_old-abc").mkdir()
+    (log / "_new-abc").mkdir()
+    for f in sorted(log.glob("run-*.csv"))[:2]:
+        f.rename(log / "_old-abc" / f.name)
+    (log / "all-abc-00000.csv").write_text("partly moved\n")
+    compact_runs(spark, str(log))
+    assert sorted(tuple(r) for r in read_runs(spark, str(log), "x").collect()) == before
+    assert not list(log.glob("_*"))
+
+
+def test_a_report_is_read_back_in_its_order(spark, small, tmp_path):
+    report = carrier_deviation(flights_view(spark, small))
+    path = str(tmp_path / "r")
+    write_report(report.repartition(5), path, S.CARRIER_DEVIATION_KEY)
+    rows = read_ordered(spark, path, S.CARRIER_DEVIATION_REPORT, S.CARRIER_DEVIATION_KEY).collect()
+    rows.sort(key=lambda r: r.place)
+    keys = [(r.aeroporto_partenza, r.compagnia) for r in rows]
+    assert [r.place for r in rows] == list(range(1, report.count() + 1)) and keys == sorted(keys)
+    report.repartition(4).write.option("header", True).csv(str(tmp_path / "u"))
+    with pytest.raises(ValueError, match="do not follow"):
+        read_ordered(spark, str(tmp_path / "u"), S.CARRIER_DEVIATION_REPORT, S.CARRIER_DEVIATION_KEY)

@@ -91,6 +91,31 @@ def test_repeated_keys_are_listed(spark):
     assert R.reconcile(a, b, ["k"]).first().repeated_keys == 2
 
 
+def test_rows_of_a_repeated_key_are_paired(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (1, 9, "y"), (2, 4, None), (None, 1, "n"), (None, 2, "n")], "k int, x int, t string")
+    b = spark.createDataFrame([(1, 9, "z"), (1, 5, "x"), (1, 9, "z"), (None, 1, "n")], "k int, x int, t string")
+    got = {tuple(r) for r in R.paired_cells(a, b, ["k"]).collect()}
+    assert got == {
+        (1, 2, "t", "y", "z"),
+        (1, 3, "(row)", "0", "1"),
+        (2, 1, "(row)", "1", "0"),
+        (None, 2, "(row)", "1", "0"),
+    }
+
+
+def test_a_hot_key_is_numbered_over_several_tasks(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        hot = spark.range(5000).selectExpr("if(id < 4000, 0, id) as k", "id as v").repartition(6)
+        rows = R.occurrences(hot, ["k"]).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.v for r in rows if r.k == 0 and r.occurrence == r.v + 1) == list(range(4000))
+    assert {r.occurrence for r in rows if r.k != 0} == {1}
+
+
 def test_side_by_side(pair):
     rows = R.side_by_side(*pair, ["k", "m"], n=3)
     assert rows.columns[:4] == ["k", "m", "in_locale", "in_cluster"]

@@ -200,6 +200,35 @@ def test_all_rows_have_their_place_in_the_shuffled_order(spark, numbers, coalesc
     assert sample.numbered(sample.shuffled(numbers.limit(0))).collect() == []
 
 
+@pytest.fixture
+def split(spark, monkeypatch):
+    """Sorts keep their tasks, and few copies of a row are many."""
+    monkeypatch.setattr(sample, "COPY_BLOCK", 50)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_tied_keys_have_one_order_however_the_rows_are_dealt(spark, split):
+    rows = [(i % 3, i // 2 % 500) for i in range(3000)]
+    orders = []
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "k int, v int").repartition(n)
+        placed = sample.numbered(sample.shuffled(df, key=["k"])).collect()
+        orders.append([(r.k, r.v) for r in sorted(placed, key=lambda r: r.place)])
+    assert orders[0] == orders[1] and sorted(orders[0]) == sorted(rows)
+
+
+@pytest.mark.parametrize("key", [["k"], None])
+def test_a_hot_hash_lies_in_several_tasks(spark, split, key):
+    same = spark.range(4000).selectExpr("1 as k", "if(id < 2500, 0, id) as v")
+    out = sample.shuffled(same, key=key).withColumn("task", F.spark_partition_id())
+    tasks = {r.task: r.n for r in out.where("v = 0").groupBy("task").agg(F.count("*").alias("n")).collect()}
+    assert sum(tasks.values()) == 2500 and len(tasks) >= 3 and max(tasks.values()) < 1500
+
+
 def test_the_whole_shuffle_is_registered(spark, small):
     from tarmac.checks.registry import QUERIES
 
