@@ -12,15 +12,16 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from tarmac import schema as S
 from tarmac.operators import runs
 from tarmac.operators.clean import write_clean
 from tarmac.operators.profile import preparation_profile
 from tarmac.plans import carrier_deviation, delay_band_report, route_month_stats
-from tarmac.session import build_session
+from tarmac.session import build_session, stored
 from tarmac.sources import (
+    Loaded,
     read_csv,
     read_parquet,
     read_runs,
@@ -43,15 +44,17 @@ REPORTS = {
 }
 
 
-def _flights(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """The good rows; says how many others the input has."""
-    loaded = (read_csv if fmt == "csv" else read_parquet)(spark, path)
-    print(f"refused rows: {loaded.rejected.count()}")
-    return loaded.good
+def _flights(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame, Observation]:
+    """The good rows, and the count of the others once a job has read them."""
+    seen = Observation()
+    loaded = (read_csv if fmt == "csv" else read_parquet)(spark, path, seen=seen)
+    return loaded.good, seen
 
 
 def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The text is read and parsed once, into a table of good and rejected lines."""
     loaded = read_csv(spark, args.raw, strict_dates=args.strict_dates)
+    loaded = Loaded.of_lines(stored(loaded.lines, "lines"), loaded.columns)
     loaded.rejected.write.mode("overwrite").parquet(f"{args.out}/rejected")
     refused = spark.read.parquet(f"{args.out}/rejected").count()
     audit = write_clean(
@@ -64,14 +67,15 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def scales(spark: SparkSession, args: argparse.Namespace) -> None:
-    flights = _flights(spark, args.flights, args.input)
+    flights, seen = _flights(spark, args.flights, args.input)
     write_scales(flights, args.out, args.scale or S.SCALES, args.key, args.seed)
+    print(f"refused rows: {seen.get['refused']}")
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
     make, schema, keys, order = REPORTS[args.name]
     order = keys if args.order == "key" else order
-    flights = _flights(spark, args.flights, args.input)
+    flights, seen = _flights(spark, args.flights, args.input)
 
     def job() -> None:
         write_report(make(flights), f"{args.out}/full", order)
@@ -80,6 +84,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
         timed(spark, args.log, args.pct, args.name, args.tech, job)
     else:
         job()
+    print(f"refused rows: {seen.get['refused']}")
     snapshot(spark, f"{args.out}/full", f"{args.out}/top", schema, order, args.top)
 
 

@@ -287,6 +287,12 @@ RAW_COLUMNS = (
     ["year", "diverted"] + FLIGHT_COLUMNS.split(", ") + list(TEXT_CAUSES) + list(NUMBER_CAUSES)
 )
 
+def _raw_text(column: str) -> str:
+    text = f"coalesce(cast({column} as varchar), '')"
+    damage = {"dep_delay": "when late then 'late'", "cancelled": "when two then '2'"}.get(column)
+    return f"case {damage} else {text} end" if damage else text
+
+
 # --- samples --------------------------------------------------------------------------
 
 ORDER_HASH = "md5('42|' || cast(o_orderkey as varchar))"
@@ -768,17 +774,26 @@ select max(speedup) as best_speedup,
 from known""",
     "csv_roundtrip": f"with {FLIGHTS} select * from flights",
     "parquet_roundtrip": f"with {FLIGHTS} select * from flights",
-    "csv_rejects": f"""with {LINES},
+    "csv_rejects": f"""with {RAW},
 marked as (
-  select l_orderkey % 71 = 3 as short, l_orderkey % 73 = 1 as late,
-         l_orderkey % 79 = 2 or l_partkey % 211 = 0 as odd,
-         l_orderkey % 79 <> 2 and l_partkey % 211 <> 0 and l_partkey % 223 = 0 as missing
-  from lines
+  select *, cast(op_carrier_fl_num as bigint) % 71 = 3 as short,
+         cast(op_carrier_fl_num as bigint) % 73 = 1 as late,
+         cast(op_carrier_fl_num as bigint) % 79 = 2 as two
+  from raw
+),
+told as (
+  select *, concat_ws('+', case when short then 'width' end, case when late then 'dep_delay' end,
+                      case when two or cancelled = 2 or (cancelled is null and not short)
+                           then 'flag' end) as reasons
+  from marked
 )
-select concat_ws('+', case when short then 'width' end, case when late then 'dep_delay' end,
-                 case when odd or (missing and not short) then 'flag' end) as reasons,
-       count(*) as row_count
-from marked group by 1""",
+select {', '.join(f"case when reasons = '' then {c} end as {c}" for c in
+                  ("op_carrier_fl_num", "origin", "dep_delay", "arr_delay", "cancelled"))},
+       case when reasons = '' then cast(fl_date as timestamp) end as fl_date, reasons,
+       case when reasons <> '' then concat_ws(',', {', '.join(map(_raw_text, RAW_COLUMNS[:-3]))})
+         || case when short then '' else ',' || concat_ws(',', {', '.join(map(_raw_text, RAW_COLUMNS[-3:]))}) end
+       end as record
+from told""",
     "declared_table": f"with {FLIGHTS} select origin, cancelled, count(*) as row_count, "
     "sum(dep_delay) as dep_sum from flights group by origin, cancelled",
     "report_roundtrip": _delay_bands(),

@@ -104,14 +104,18 @@ def damaged_text(spark: SparkSession, sf: str, path: str) -> None:
 
 
 def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every accepted row by its cells, and every refused line with its reasons."""
     path = scratch_path(spark, "damaged")
     damaged_text(spark, sf, path)
-    loaded = read_csv(spark, path)
-    accepted = loaded.good.agg(F.lit("").alias("reasons"), F.count("*").alias("row_count"))
-    refused = loaded.rejected.groupBy(F.array_join("reasons", "+").alias("reasons")).agg(
-        F.count("*").alias("row_count")
+    lines = read_csv(spark, path).lines
+    cells = ["op_carrier_fl_num", "origin", "dep_delay", "arr_delay", "cancelled", "fl_date"]
+    accepted = F.size("_reasons") == 0
+    return lines.select(
+        *[F.when(accepted, F.col(c)).alias(c) for c in cells[:-1]],
+        F.when(accepted, F.col("fl_date")).cast("timestamp_ntz").alias("fl_date"),
+        F.array_join("_reasons", "+").alias("reasons"),
+        F.when(~accepted, F.col("_record")).alias("record"),
     )
-    return accepted.unionByName(refused)
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:

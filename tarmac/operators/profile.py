@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,39 +97,43 @@ def preparation_profile(
     """What preparation reports of the raw flights: ``measure, column_name, value``.
 
     Missing values per column, limits of the delays, outliers and their percentage, missing
-    values of the cancelled flights without a code, and how often each flag occurs. One scan
-    for the measures and one for the flags.
+    values of the cancelled flights without a code, and how often each flag occurs. One scan:
+    everything is counted per flag, and the few rows of that are summed.
     """
     uncoded = F.col("cancellation_code").isNull() & (F.col("cancelled") == 1)
-    bad = F.count_if(outlier(low, high))
-    measures: list[tuple[str, str, Column]] = []
+    measures: list[tuple[str, str, Column, Callable[[Column], Column]]] = []
     for c in df.columns:
-        measures.append(("nulls", c, F.count_if(_missing(df, c))))
-        measures.append(("nulls_uncoded", c, F.count_if(uncoded & _missing(df, c))))
+        measures.append(("nulls", c, F.count_if(_missing(df, c)), F.sum))
+        measures.append(("nulls_uncoded", c, F.count_if(uncoded & _missing(df, c)), F.sum))
     for c in DELAY_COLUMNS:
         value = nan_to_null(F.col(f"`{c}`").cast("double"))
-        measures += [("smallest", c, F.min(value)), ("largest", c, F.max(value))]
+        measures += [("smallest", c, F.min(value), F.min), ("largest", c, F.max(value), F.max)]
     measures += [
-        ("rows", "", F.count(F.lit(1))),
-        ("outliers", "", bad),
-        ("outlier_percent", "", percent(bad, F.count(F.lit(1)))),
+        ("rows", "", F.count(F.lit(1)), F.sum),
+        ("outliers", "", F.count_if(outlier(low, high)), F.sum),
     ]
-    counted = df.agg(*[m.cast("double").alias(f"_{i}") for i, (_, _, m) in enumerate(measures)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("measure"),
-                F.lit(column).alias("column_name"),
-                F.col(f"_{i}").alias("value"),
-            )
-            for i, (name, column, _) in enumerate(measures)
-        ]
+    per_flag = df.groupBy(F.col("cancelled").alias("_flag")).agg(
+        *[m.alias(f"_{i}") for i, (_, _, m, _) in enumerate(measures)]
     )
-    flags = df.groupBy("cancelled").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return counted.select(F.inline(rows)).unionByName(
-        flags.select(
-            F.lit("flags").alias("measure"),
-            F.coalesce(F.col("cancelled").cast("string"), F.lit("missing")).alias("column_name"),
-            "value",
-        )
+    rows_at, bad_at = (F.col(f"_{len(measures) - back}") for back in (2, 1))
+    flag = F.coalesce(F.col("_flag").cast("string"), F.lit("missing"))
+    flags = F.collect_list(F.struct(flag.alias("name"), rows_at.alias("n")))
+    merged = per_flag.agg(
+        *[merge(F.col(f"_{i}")).alias(f"_{i}") for i, (*_, merge) in enumerate(measures)],
+        flags.alias("_flags"),
     )
+
+    def entry(name: Column, column: Column, value: Column) -> Column:
+        return F.struct(
+            name.alias("measure"), column.alias("column_name"), value.cast("double").alias("value")
+        )
+
+    # Without rows every count is 0.
+    values = [
+        F.coalesce(F.col(f"_{i}"), F.lit(0)) if merge is F.sum else F.col(f"_{i}")
+        for i, (*_, merge) in enumerate(measures)
+    ]
+    rows = [entry(F.lit(n), F.lit(c), v) for (n, c, *_), v in zip(measures, values)]
+    rows.append(entry(F.lit("outlier_percent"), F.lit(""), percent(bad_at, rows_at)))
+    each = F.transform("_flags", lambda f: entry(F.lit("flags"), f["name"], f["n"]))
+    return merged.select(F.inline(F.concat(F.array(*rows), each)))

@@ -6,133 +6,131 @@ rejected rows with the reasons, so nothing disappears silently.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.functions import keep_unless, nan_to_null, text_to_number
+from tarmac.functions import keep_unless, nan_to_null
 from tarmac.schema import CAUSE_COLUMNS, FLIGHT_COLUMNS, RAW_EXTRA_COLUMNS
 
-CORRUPT = "_corrupt_record"
 KNOWN = {**RAW_EXTRA_COLUMNS, **FLIGHT_COLUMNS}
 CAUSES = tuple(CAUSE_COLUMNS.values())
+RECORD, REASONS = "_record", "_reasons"
 
 
 class Loaded(NamedTuple):
+    """Good rows, rejected ones and the columns found.
+
+    ``lines`` is what both come from, if it was text: every line with its typed cells, the
+    ``_record`` as it stands in the file and the ``_reasons`` to reject it.
+    """
+
     good: DataFrame
     rejected: DataFrame
     columns: list[str]
+    lines: DataFrame | None = None
+
+    @classmethod
+    def of_lines(cls, lines: DataFrame, columns: list[str]) -> Loaded:
+        accepted = F.size(REASONS) == 0
+        return cls(
+            lines.where(accepted).drop(RECORD, REASONS),
+            lines.where(~accepted).select(F.col(RECORD).alias("record"), F.col(REASONS).alias("reasons")),
+            columns,
+            lines,
+        )
 
 
 def _flag_ok() -> Column:
     return F.col("cancelled").isin(0, 1)
 
 
-def _parsed_as(name: str, strict_dates: bool) -> T.DataType:
-    """Type the text parser has to read a column as.
-
-    Whole numbers may be written ``12.0``, so they are read as doubles. Cause minutes stay
-    text, as unreadable ones must not reject the row.
-    """
-    kind = KNOWN.get(name, T.StringType())
-    if name in CAUSES or (isinstance(kind, T.TimestampType) and strict_dates):
-        return T.StringType()
-    return T.DoubleType() if isinstance(kind, T.LongType) else kind
-
-
 def read_csv(
     spark: SparkSession,
     path: str,
     sep: str = ",",
     null_text: str = "",
     strict_dates: bool = False,
+    seen: Observation | None = None,
 ) -> Loaded:
     """Delimited text with a header line, columns matched by name.
 
-    Only the header is read to learn the names; types are declared, never inferred.
+    Only the header is read to learn the names; types are declared, never inferred. Every line
+    is parsed once into text cells, and every cell converted once; a cell that has text but no
+    value is the reason to reject its line.
     A row is rejected when it has the wrong number of fields, holds text in a number or
     date, or has a cancellation flag other than 0 and 1. Unreadable cause minutes become
-    NULL and are left for cleaning. Blank lines and repeated headers are skipped. Empty
+    NULL and are left for cleaning. Blank lines and repeated headers are skipped; a line that
+    begins like a header and is another one stops the job. Empty
     cells, ``NaN`` and ``null_text`` are missing values. With ``strict_dates`` an
-    unreadable date stops the job instead.
+    unreadable date stops the job instead. ``seen`` counts the ``refused`` lines of the first
+    job that reads them.
     """
-    reader = spark.read.option("header", True).option("sep", sep)
-    names = reader.csv(path).columns
-    parsed = T.StructType([T.StructField(n, _parsed_as(n, strict_dates)) for n in names])
-    rows = (
-        reader.schema(T.StructType([*parsed.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("nullValue", null_text)
-        .option("enforceSchema", False)
-        # With pruning a line's field count would be checked against the used columns only.
-        .option("columnPruning", False)
-        .csv(path)
-    )
-    flag_ok = _flag_ok() if "cancelled" in names else F.lit(True)
-    # Spark parses only the columns a query uses. All numbers and dates take part here, with
-    # a test that always holds, or a bad cell would go unnoticed in an unused column.
-    checked = [f.name for f in parsed if f.dataType != T.StringType()]
-    every_cell_parsed = F.xxhash64(*(checked or names)) >= F.lit(-(2**63))
-    whole = F.col(CORRUPT).isNull() & every_cell_parsed
-    good = rows.where(whole & flag_ok).select(
-        *[_value(n, parsed[n].dataType).alias(n) for n in names if n in KNOWN]
-    )
-    return Loaded(good, _rejected(spark.read.text(path), parsed, names, sep, null_text), names)
-
-
-def _value(name: str, parsed: T.DataType) -> Column:
-    value, kind = F.col(name), KNOWN[name]
-    if name in CAUSES:
-        return text_to_number(value)
-    if isinstance(kind, T.LongType):
-        return nan_to_null(value).try_cast(kind)
-    if isinstance(kind, T.DoubleType):
-        return nan_to_null(value)
-    return F.to_timestamp(value) if parsed != kind else value
+    names = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    lines = _typed_lines(spark.read.text(path), names, sep, null_text, strict_dates)
+    if seen:
+        lines = lines.observe(seen, F.count_if(F.size(REASONS) > 0).alias("refused"))
+    return Loaded.of_lines(lines, names)
 
 
-def _rejected(
-    lines: DataFrame, parsed: T.StructType, names: list[str], sep: str, null_text: str
+def _typed_lines(
+    lines: DataFrame, names: list[str], sep: str, null_text: str, strict_dates: bool
 ) -> DataFrame:
-    """The refused lines as they stand in the file, with the reasons: ``width``, ``flag``, or
-    an unreadable column.
+    """The known columns with their values, the line, and the reasons to reject it.
 
-    The lines are parsed with the reader's own types to find those it refuses, and as plain
-    text to say why.
+    Cells and reasons come from generators of one row each, so that the optimizer moves no
+    filter below them, which would parse lines and convert cells once more.
     """
-    options = {"sep": sep, "columnNameOfCorruptRecord": CORRUPT, "nullValue": null_text}
+    cells, wrong = [f"_c{i}" for i in range(len(names))], "_wrong"
+    options = {"sep": sep, "columnNameOfCorruptRecord": wrong, "nullValue": null_text}
     options |= {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed)
-    plain = ", ".join(f"`{n}` string" for n in names)
-    read = lines.where(F.trim("value") != "").select(
-        F.col("value").alias("record"),
-        F.from_csv("value", f"{typed}, `{CORRUPT}` string", options).alias("_row"),
-        F.from_csv("value", f"{plain}, `{CORRUPT}` string", options).alias("_text"),
+    layout = ", ".join(f"{c} string" for c in [*cells, wrong])
+    parsed = lines.where(F.trim("value") != "").select(
+        F.col("value").alias(RECORD), F.inline(F.array(F.from_csv("value", layout, options)))
     )
-    row, text = F.col("_row"), F.col("_text")
-    refused = row[CORRUPT].isNotNull()
-    reasons = [F.when(text[CORRUPT].isNotNull(), F.lit("width"))]
-    for name in names:
-        kind = parsed[name].dataType
-        if isinstance(kind, T.StringType):
+    first = F.col(cells[0])
+    header = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(n) for c, n in zip(cells, names)])
+    other = F.raise_error(F.concat(F.lit("a file has another header: "), F.col(RECORD)))
+    data = F.when(first.isin(names) & ~header, other.cast("boolean")).otherwise(~header)
+
+    values, unreadable = {}, {}
+    for cell, name in zip(cells, names):
+        if name not in KNOWN:
             continue
-        unreadable = text[name].isNotNull() & text[name].try_cast(kind).isNull()
-        reasons.append(F.when(unreadable, F.lit(name)))
-    if "cancelled" in names:
-        flag = text["cancelled"].try_cast("double")
-        present = text[CORRUPT].isNull() | text["cancelled"].isNotNull()
-        odd = present & ~F.coalesce(flag.isin(0, 1), F.lit(False))
-        refused = refused | ~F.coalesce(row["cancelled"].isin(0, 1), F.lit(False))
+        kind = KNOWN[name]
+        if isinstance(kind, T.TimestampType):
+            convert = F.to_timestamp if strict_dates else F.try_to_timestamp
+            values[name] = convert(cell)
+        elif name in CAUSES or isinstance(kind, (T.DoubleType, T.LongType)):
+            # Whole numbers may be written ``12.0``.
+            values[name] = F.col(cell).try_cast("double")
+        else:
+            values[name] = F.col(cell)
+        if not isinstance(kind, T.StringType) and name not in CAUSES and not (
+            strict_dates and isinstance(kind, T.TimestampType)
+        ):
+            unreadable[name] = F.col(cell).isNotNull() & F.col(name).isNull()
+    kept = [F.col(RECORD), F.col(wrong), *[v.alias(n) for n, v in values.items()], *map(F.col, cells)]
+    converted = parsed.where(data).select(*kept)
+
+    short = F.col(wrong).isNotNull()
+    reasons = [F.when(short, F.lit("width"))]
+    reasons += [F.when(bad, F.lit(name)) for name, bad in unreadable.items()]
+    if "cancelled" in values:
+        present = ~short | F.col(cells[names.index("cancelled")]).isNotNull()
+        odd = present & ~F.coalesce(_flag_ok(), F.lit(False))
         reasons.append(F.when(odd, F.lit("flag")))
-    header = text[names[0]].eqNullSafe(F.lit(names[0]))
-    return read.where(refused & ~header).select(
-        "record", F.array_compact(F.array(*reasons)).alias("reasons")
-    )
+    found = F.struct(F.array_compact(F.array(*reasons)).alias(REASONS))
+    numbers = (T.DoubleType, T.LongType)
+    final = [
+        (nan_to_null(F.col(n)).try_cast(KNOWN[n]) if isinstance(KNOWN[n], numbers) else F.col(n)).alias(n)
+        for n in values
+    ]
+    judged = converted.select(RECORD, *values, F.inline(F.array(found)))
+    return judged.select(*final, RECORD, REASONS)
 
 
 def split_flags(df: DataFrame) -> Loaded:
@@ -140,11 +138,17 @@ def split_flags(df: DataFrame) -> Loaded:
     return Loaded(df.where(_flag_ok()), df.where(keep_unless(_flag_ok())), df.columns)
 
 
-def read_parquet(spark: SparkSession, path: str) -> Loaded:
-    """Flights kept as Parquet: the preferred input, only the used columns are read."""
+def read_parquet(spark: SparkSession, path: str, seen: Observation | None = None) -> Loaded:
+    """Flights kept as Parquet: the preferred input, only the used columns are read.
+
+    ``seen`` counts the ``refused`` rows of the first job that reads them.
+    """
     df = spark.read.parquet(path)
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return split_flags(df.withColumns({c: nan_to_null(F.col(c)) for c in floats}))
+    df = df.withColumns({c: nan_to_null(F.col(c)) for c in floats})
+    if seen:
+        df = df.observe(seen, F.count_if(keep_unless(_flag_ok())).alias("refused"))
+    return split_flags(df)
 
 
 def declare_flights(

@@ -91,6 +91,28 @@ def test_strict_dates_stop(spark, folder):
         read_csv(spark, folder, strict_dates=True).good.collect()
 
 
+def test_another_header_stops(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("month,origin,cancelled\n1,ABE,0\n")
+    (tmp_path / "d" / "b.csv").write_text("origin,month,cancelled\nABE,1,0\n")
+    with pytest.raises(PySparkException, match="another header"):
+        read_csv(spark, str(tmp_path / "d")).good.collect()
+
+
+def test_lines_are_parsed_once_and_cells_converted_once(spark, folder):
+    loaded = read_csv(spark, folder)
+    for df in (loaded.good, loaded.rejected, loaded.lines):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv(") == 1 and plan.count("Relation [") == 1
+        # Two numbers, the flag, year, month, diverted and a cause; the date.
+        assert plan.count("as double)") <= 7
+
+
+def test_lines_hold_what_both_frames_do(spark, folder):
+    loaded = read_csv(spark, folder)
+    assert loaded.lines.count() == loaded.good.count() + loaded.rejected.count() == 10
+
+
 def test_csv_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "x.csv").write_text("origin;cancelled;month\nABE;0;3\n")
     row = read_csv(spark, str(tmp_path / "x.csv"), sep=";").good.first()
