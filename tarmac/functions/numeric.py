@@ -1,6 +1,6 @@
 """Rounding and ratios.
 
-Rounding is half-up on decimals. Sums are decimals and so are their quotients, which keep at
+Rounding is half-up on decimals. Sums are exact, and so are their quotients, which keep at
 least sixteen places, so neither the order of the rows nor the size of a group moves a mean
 onto or off a half.
 """
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Minutes with up to six places; sums of it hold 22 digits before the point.
-EXACT = T.DecimalType(18, 6)
+EXACT, EXACT_SUM = T.DecimalType(18, 6), T.DecimalType(28, 6)
+# A number of millionths is added in two parts, of which the lower one has so many bits.
+LOW_BITS = 20
 WIDE = T.DecimalType(38, 16)
 
 
@@ -21,8 +23,17 @@ def rounded(value: Column, digits: int = 2) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum that does not depend on the order rows arrive in."""
-    return F.sum(value.cast(EXACT))
+    """Sum that does not depend on the order rows arrive in.
+
+    Each value is a whole number of millionths, and its upper and lower bits are added
+    apart, so rows add whole numbers and only the sums become decimals. The lower part holds 2^43
+    rows, the upper one as many of a million minutes each; beyond that Spark stops.
+    """
+    millionths = F.rint(value.cast("double") * 1e6).cast("bigint")
+    high = F.sum(F.shiftright(millionths, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(millionths.bitwiseAND((1 << LOW_BITS) - 1)).cast("decimal(20,0)")
+    whole = high * F.lit(1 << LOW_BITS).cast("decimal(8,0)") + low
+    return (whole * F.lit("0.000001").cast("decimal(6,6)")).cast(EXACT_SUM)
 
 
 def mean_of(total: Column, count: Column, empty: float | None = None) -> Column:
