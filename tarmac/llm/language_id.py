@@ -11,12 +11,15 @@ summed rates, so that texts with a wrong label do not spread grams to every lang
 taken over all training texts.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0, as is
-everything without training texts. Ties go to the first language by code point. Repeated rows
-and null ids keep their rows. Only the text is read for a prediction.
+everything without training texts. A letter is what Unicode calls one, in any plane. A text
+with letters but no known gram gets the language with most of the training grams, and its part
+of them as score. Ties go to the first language by code point. Repeated rows and null ids keep
+their rows. An empty table gives an empty table. Only the text is read for a prediction.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,34 +39,35 @@ MASK = 63
 # Characters that a task works on at once, and distinct grams it holds.
 CHUNK, GATHERED = 1 << 20, 1 << 20
 UNKNOWN = "und"
+# Code points of a gram are the digits of a number in this base, modulo 2^64.
+GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Is the code point a letter? Beyond the first plane every character counts as one."""
-    known = [chr(c).isalpha() for c in range(0x10000)]
-    return np.array([*known, True])
+    """Is the code point a letter?"""
+    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Character 4-grams of lower-cased letters and single gaps, their text, and which texts
-    have a letter. Every text begins and ends with a gap."""
+    """Character 4-grams of lower-cased letters and single gaps as 64-bit numbers, their text,
+    and which texts have a letter. Every text begins and ends with a gap."""
     lines = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
     owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    letter = _letters()[np.minimum(codes, 0x10000)]
+    letter = _letters()[codes]
     before = np.concatenate([[False], letter[:-1]])
     first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else letter
     keep = letter | before | first
-    line = np.where(letter, codes, 32)[keep].astype(np.uint64) & np.uint64(0xFFFF)
+    line = np.where(letter, codes, 32)[keep].astype(np.uint64)
     of = owner[keep]
     has = np.bincount(owner, letter, len(lines)) > 0
     if len(line) < 4:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), has
     found = np.zeros(len(line) - 3, np.uint64)
     for k in range(4):
-        found = found << np.uint64(16) | line[k : len(line) - 3 + k]
+        found = found * GRAM_BASE + line[k : len(line) - 3 + k]
     whole = of[:-3] == of[3:]
     return found[whole], of[:-3][whole], has
 
@@ -132,11 +136,13 @@ def _summed(kept, keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """``masks[w][row]`` has a bit per language of word w; ``false`` the rates of chance hits."""
+    """``masks[w][row]`` has a bit per language of word w; ``false`` the rates of chance hits;
+    ``shares`` the parts of the training grams."""
 
     langs: list[str]
     masks: list[np.ndarray]
     false: np.ndarray
+    shares: np.ndarray
 
 
 def learn(training: DataFrame) -> Filters | None:
@@ -146,8 +152,8 @@ def learn(training: DataFrame) -> Filters | None:
     """
     counts = gram_counts(training)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = [r["lang"] for r in totals.select("lang").collect()]
-    langs.sort(key=lambda x: x.encode("utf-8", "surrogatepass"))
+    of_lang = {r["lang"]: r["total"] for r in totals.collect()}
+    langs = sorted(of_lang, key=lambda x: x.encode("utf-8", "surrogatepass"))
     if not langs:
         return None
     rates = counts.join(F.broadcast(totals), "lang").select(
@@ -177,7 +183,8 @@ def learn(training: DataFrame) -> Filters | None:
         own = bits[bits["word"] == w]
         mask[own["slot"].to_numpy(np.int64)] = own["mask"].to_numpy(np.int64)
     fill = [(masks[i // MASK] >> i % MASK & 1).mean() for i in range(len(langs))]
-    return Filters(langs, masks, np.array(fill) ** HASHES)
+    shares = np.array([of_lang[x] for x in langs], float)
+    return Filters(langs, masks, np.array(fill) ** HASHES, shares / shares.sum())
 
 
 def predict(texts: list[str], filters: Filters | None) -> tuple[list[str], np.ndarray]:
@@ -200,7 +207,10 @@ def predict(texts: list[str], filters: Filters | None) -> tuple[list[str], np.nd
     top = true.max(axis=0)
     # Share of the grams that only the winner's lead over the next language explains.
     rest = np.sort(true, axis=0)[-2] if len(true) > 1 else np.zeros(len(texts))
-    score = np.where(has, np.clip(0.5 + 0.5 * (top - rest) / np.maximum(top, 1e-9), 0, 1), 0.0)
+    score = np.clip(0.5 + 0.5 * (top - rest) / np.maximum(top, 1e-9), 0, 1)
+    # Without any hit, the language with most of the training text is the likeliest.
+    best = np.where(top > 0, best, filters.shares.argmax())
+    score = np.where(has, np.where(top > 0, score, filters.shares.max()), 0.0)
     return [filters.langs[b] if h else UNKNOWN for b, h in zip(best, has)], score
 
 

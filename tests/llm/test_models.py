@@ -203,3 +203,56 @@ def test_the_model_beats_the_unigram_baseline_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
     row = lm_score.lm_digest(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
+
+
+def brute_force_language(text, training):
+    """Grams looked up in plain sets, with the same rates; no filter, so no chance hits."""
+
+    def grams_of(value):
+        kept = " " + "".join(c if c.isalpha() else " " for c in value.lower()) + " "
+        kept = " " + " ".join(kept.split()) + (" " if kept.split() else "")
+        return [kept[i : i + 4] for i in range(len(kept) - 3)]
+
+    counts = {lang: Counter(g for t in texts for g in grams_of(t)) for lang, texts in training.items()}
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    rate = {lang: {g: n / totals[lang] for g, n in c.items()} for lang, c in counts.items()}
+    every = Counter()
+    for r in rate.values():
+        every.update(r)
+    owned = {
+        lang: {g for g, x in r.items() if x >= language_id.MIN_RATE and x >= language_id.MIN_SHARE * every[g]}
+        for lang, r in rate.items()
+    }
+    if not any(c.isalpha() for c in text):
+        return "und"
+    hits = {lang: sum(g in own for g in grams_of(text)) for lang, own in owned.items()}
+    if not any(hits.values()):
+        return max(sorted(totals), key=totals.get)
+    return max(sorted(hits), key=hits.get)
+
+
+def test_language_equals_brute_force(spark):
+    training = {
+        "aa": ["the cat sat on the mat and the dog ran", "a house with the garden"],
+        "bb": ["der hund lief und die katze schlief im haus", "ein garten mit dem haus" * 5],
+        "cc": ["\U00010400\U00010401\U00010402\U00010403 \U00010404\U00010400\U00010401"],
+    }
+    rows = [(lang, t) for lang, texts in training.items() for t in texts]
+    filters = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    texts = [
+        "the mat",
+        "im Haus!",
+        "\U00010400\U00010401\U00010402\U00010403",
+        "\U0001f600\U0001f601 ☃",
+        "漢字漢字漢字",
+        "123",
+        "",
+        None,
+        "the haus",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identified(docs, filters).collect()}
+    for i, text in enumerate(texts):
+        assert got[i][0] == brute_force_language(text or "", training), text
+        assert 0 <= got[i][1] <= 1
+    assert got[3] == ("und", 0.0) and got[2][0] == "cc" and got[4][0] == "bb"
