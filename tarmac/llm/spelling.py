@@ -22,7 +22,7 @@ number of steps that grows with the logarithm of its length.
 The edge table is written once, in buckets by node, so a step shuffles the frontier only. A
 node has at most one edge per character, so the first join has rows of one key on one side only,
 the words with a common half; adaptive execution splits them. Nodes are 64-bit hashes, kept
-apart by way and place; a pair is kept only if both its words are in the vocabulary.
+apart by way; a pair is kept only if the word that was reached is in the vocabulary.
 
 Defined cases: a null text has no words. A null document id counts as empty text. Repeated
 rows count as often as they occur. Equal counts go by code point. Texts and words of any length
@@ -237,9 +237,9 @@ def near_words(words: DataFrame) -> DataFrame:
     both = F.array(
         F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"))
     )
-    return pairs.join(words, "word", "left_semi").join(
-        words.withColumnRenamed("word", "near"), "near", "left_semi"
-    ).select(F.inline(both))
+    # The word is one of the vocabulary; what its hash led to has to be one, too.
+    known = words.withColumnRenamed("word", "near")
+    return pairs.join(known, "near", "left_semi").select(F.inline(both))
 
 
 def _frontier(words: DataFrame, edges: DataFrame, bucketed: DataFrame) -> DataFrame:
