@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import string
 
-from tarmac.llm.licenses import LICENCES, SENTENCES
+from tarmac.llm.licenses import (
+    DEMANDING,
+    LEADING,
+    LONGER,
+    REDUCED,
+    known_sentences,
+    licence_rules,
+)
 from tarmac.llm.secrets import RULES
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -210,32 +217,87 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from judged
 """
 
-_KNOWN = "[" + ", ".join(_quoted(s) for s in SENTENCES.values()) + "]"
-_IDS = "[" + ", ".join(_quoted(s) for s in SENTENCES) + "]"
+
+def _licence(name: str, rules: list[tuple[str, ...]]) -> str:
+    found = []
+    for rule in rules:
+        wanted = "".join(f"<{i}>" for i in rule if not i.startswith("!"))
+        line = "line"
+        # Where a barred sentence follows, the sequence is taken out first.
+        for i in rule:
+            if i.startswith("!"):
+                line = f"replace({line}, '{wanted}<{i[1:]}>', '<{i[1:]}>')"
+        found.append(f"contains({line}, '{wanted}')")
+    return f"case when {' or '.join(found)} then '{name}' end"
 
 
-def _licence(name: str) -> str:
-    found = " or ".join(f"contains(line, ',{','.join(rule)},')" for rule in LICENCES[name])
-    return f"case when {found} then '{name}' end"
+def _reduced(text: str) -> str:
+    for pattern, to in REDUCED:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(to)})"
+    return text
 
 
+_KNOWN = known_sentences()
+_NAMED = ", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in _KNOWN.items())
+_FIRST = ", ".join(_quoted(w) for w in sorted({s.split()[0] for s in _KNOWN} | set(LEADING)))
+_SHORT = "'SPDX-License-Identifier:|[ \\t](?:OR|AND)[ \\t]'"
 LICENSE_SCAN = rf"""
-with cut as (
-  select doc_id, list_filter(list_transform(string_split(regexp_replace({_lower(
-      "regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t]+', '\\1' || chr(10), 'g')"
-  )}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') as found
+with known(sentence, id) as (values {_NAMED}), numbered as (
+  select doc_id, row_number() over () as row,
+    list_transform(string_split(coalesce(text, ''), chr(10)), lambda l:
+      case when contains(l, 'SPDX-License-Identifier:') then regexp_replace(l, {_SHORT},
+        chr(10) || chr(10) || 'SPDX-License-Identifier ', 'g') || chr(10) else l end) as raw
   from documents
+), clauses as (
+  select doc_id, row, regexp_replace(regexp_replace(
+    regexp_replace(array_to_string(raw, chr(10)), '([Vv])\.[ \t\r\n]+([0-9])', '\1 \2', 'g'),
+    '[.;:!?][ \t]+|[.;:!?][ \t\r"'')*/]*\n', chr(10) || chr(10), 'g'),
+    '\n[^\p{{L}}\p{{N}}\n]*\n', chr(10) || chr(10), 'g') as text
+  from numbered
+), joined as (
+  select doc_id, row, regexp_replace({_lower(
+      "regexp_replace(text, '([^\\n])\\n[^\\p{L}\\p{N}\\n]*([a-z])', '\\1 \\2', 'g')"
+  )}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') as text
+  from clauses
+), cut as (
+  select doc_id, row, list_transform(string_split(regexp_replace(text,
+    '(^|[ \n])({'|'.join(DEMANDING)}) ?\n ?([^ \n])', '\1\2 \3', 'g'), chr(10)),
+    lambda l: trim(l, ' ')) as lines
+  from joined
+), places as (
+  select row, lines, unnest(range(1, len(lines) + 1)) as start from cut
+), starts as (
+  select row, start, lines[start:len(lines)] as lines,
+    coalesce(nullif(list_position(lines[start:len(lines)], ''), 0) - 1, len(lines) - start + 1) as most
+  from places where split_part(lines[start], ' ', 1) in ({_FIRST})
+), runs as (
+  select row, start, lines, unnest(range(1, most + 1)) as n from starts
+), sentences as (
+  select row, start, n, array_to_string(lines[1:n], ' ') as sentence from runs
 ), named as (
-  select doc_id, len(found)::bigint as n_sentences,
-    list_filter(list_transform(found, lambda s: {_IDS}[list_position({_KNOWN}, s)]),
-                lambda i: i is not null) as ids
-  from cut
+  select row, start, n, coalesce(k.id, r.id) as id from sentences s
+  left join known k on k.sentence = s.sentence
+  left join known r on r.sentence = {_reduced('s.sentence')}
+  where coalesce(k.id, r.id) is not null
+    and length(s.sentence) <= {max(map(len, _KNOWN)) + LONGER} + (n > 1)::int
+), hits as (
+  select row, start, max(n) as n, arg_max(id, n) as id from named group by row, start
+), ordered as (
+  select row, list([{{'start': start, 'n': n, 'id': id}}] order by start) as hits from hits group by row
+), kept as (
+  select row, list_transform(list_reduce(hits, lambda had, hit:
+    case when had[-1].start + had[-1].n <= hit[1].start then list_concat(had, hit) else had end),
+    lambda h: h.id) as ids
+  from ordered
 ), lines as (
-  select *, ',' || coalesce(array_to_string(ids, ','), '') || ',' as line from named
+  select doc_id, len(list_filter(lines, lambda l: l <> ''))::bigint as n_sentences,
+    coalesce(ids, []) as ids,
+    coalesce(array_to_string(list_transform(ids, lambda i: '<' || i || '>'), ''), '') as line
+  from cut left join kept using (row)
 )
 select doc_id, n_sentences, len(ids)::bigint as n_known,
-  coalesce(array_to_string(ids, ','), '') as sentence_ids,
-  concat_ws(',', {', '.join(_licence(x) for x in LICENCES)}) as licences
+  array_to_string(ids, ',') as sentence_ids,
+  concat_ws(',', {', '.join(_licence(*x) for x in licence_rules().items())}) as licences
 from lines
 """
 

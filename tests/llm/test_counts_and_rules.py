@@ -3,11 +3,14 @@
 import random
 import re
 
+import compare
+import duckdb
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
 from tarmac.llm import decontaminate, licenses, quality_rules, token_counts
+from tarmac.llm.oracle import ORACLE_SQL
 from tarmac.llm.queries import VOCABULARY
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -148,6 +151,11 @@ def test_policies_and_ablations_come_from_the_bits(spark, small):
 # --- licences ----------------------------------------------------------------------------
 
 
+def licences_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r.doc_id: r.licences for r in licenses.licence_digest(docs).collect()}
+
+
 def test_sequences_are_matched_in_order(spark):
     grant, source, binary = (licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
     texts = [
@@ -155,10 +163,10 @@ def test_sequences_are_matched_in_order(spark):
         f"{source}.\n{grant}.\n{binary}.",
         f"{grant}.\nAll rights reserved. {source}.\n{binary}.",
         "Licensed under the Apache License, Version 2.0!  released under THE MIT license",
+        f"All rights reserved.\n{grant}.\n{source}.\n{binary}.",
     ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {r.doc_id: r.licences for r in licenses.licence_digest(docs).collect()}
-    assert got == {0: "BSD-2-Clause", 1: "", 2: "All-Rights-Reserved", 3: "Apache-2.0,MIT"}
+    got = licences_of(spark, texts)
+    assert got == {0: "BSD-2-Clause", 1: "", 2: "All-Rights-Reserved", 3: "Apache-2.0,MIT", 4: "BSD-2-Clause"}
 
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
@@ -202,6 +210,26 @@ the Free Software Foundation, either version 3 of the License, or
 """
 
 
+BSD3 = BSD + """3. Neither the name of Example Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+""".replace("Inc. ", "Company ")
+ISC = """ISC License
+
+Copyright (c) 2020, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL2 = GPL.replace("version 3", "version 2")
+LGPL = GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
 def commented(text, mark):
     return "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
 
@@ -219,20 +247,52 @@ def test_wrapped_texts_give_their_licence(spark, form):
 
     other = GPL.replace("This program", "Foo Bar").replace("software:", "software;")
     texts = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD, "GPL-3.0": GPL, "GPL-3.0 ": other}
+    texts |= {"BSD-3-Clause": BSD3, "ISC": ISC, "GPL-2.0": GPL2, "LGPL-2.1": LGPL, "MPL-2.0": MPL}
     docs = spark.createDataFrame([(k, put(t)) for k, t in texts.items()], "doc_id string, text string")
     got = {r.doc_id: r for r in licenses.licence_digest(docs).collect()}
     assert {k: r.licences for k, r in got.items()} == {k: k.strip() for k in texts}
-    assert got["Apache-2.0"].sentence_ids == "apache-header,apache-comply,apache-copy"
-    assert got["GPL-3.0"].sentence_ids == "gpl-free" and got["MIT"].n_known == 3
+    assert got["Apache-2.0"].sentence_ids == "notice-Apache-2.0,apache-comply,apache-copy"
+    assert got["GPL-3.0"].sentence_ids == "gpl3-terms"
+
+
+@pytest.mark.parametrize(
+    "text, licences",
+    [
+        ("released under\n\nthe MIT license", ""),
+        ("not released under\nthe MIT license", ""),
+        ("This code is not\nreleased under the MIT license.", ""),
+        ("This code is not\nMIT License", ""),
+        ("released under\nthe MIT licenses", ""),
+        ("Released under the\n# MIT license\nAll rights\nreserved", "MIT,All-Rights-Reserved"),
+        ("This file is released under the MIT license.", "MIT"),
+        ("MIT License\nCopyright 2020 Someone All rights reserved\nfoo", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x;", "Apache-2.0,MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0"),
+        ("# SPDX-License-Identifier: (MPL-2.0 AND BSD-3-Clause)", "BSD-3-Clause,MPL-2.0"),
+        ("Apache License\nVersion 2.0, January 2004\nApache", "Apache-2.0"),
+        ("Mozilla Public License Version 2.0\n=====", "MPL-2.0"),
+        ("MIT\nLICENSE", "MIT"),
+        ("été\nà MIT License", ""),
+    ],
+)
+def test_notices_titles_and_identifiers(spark, text, licences):
+    assert licences_of(spark, [text]) == {0: licences}
+
+
+def test_columns_of_any_name_stay_or_are_replaced(spark):
+    docs = spark.createDataFrame([("MIT License", 1, 2)], "text string, `a.b` int, LICENCES int")
+    out = licenses.with_licences(docs)
+    assert out.columns == ["text", "a.b", "n_sentences", "sentence_ids", "licences"]
+    assert out.first().asDict() == {
+        "text": "MIT License", "a.b": 1, "n_sentences": 1, "sentence_ids": ["mit-title"], "licences": ["MIT"]
+    }
 
 
-def test_runs_are_whole_pieces_of_one_paragraph(spark):
-    texts = [
-        "released under\n\nthe MIT license",
-        "not released under\nthe MIT license",
-        "released under\nthe MIT licenses",
-        "Released under the\n# MIT license\nall rights\nreserved",
-    ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {r.doc_id: (r.n_sentences, r.licences) for r in licenses.licence_digest(docs).collect()}
-    assert got == {0: (2, ""), 1: (2, ""), 2: (2, ""), 3: (4, "MIT,All-Rights-Reserved")}
+def test_sql_agrees_on_licence_texts(spark, tmp_path):
+    whole = [APACHE, MIT, BSD, BSD3, GPL, GPL2, LGPL, ISC, MPL, None, ""]
+    texts = whole + ["\n".join(map(str, whole)), "MIT License\nMIT License\nNot\nMIT License\n" * 3]
+    texts += [commented(t, "#") for t in whole if t] + ["x SPDX-License-Identifier: MIT AND ISC\n_\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert compare.spark_rows(licenses.licence_digest(docs)) == compare.oracle_rows(con, ORACLE_SQL["op9_license_scan"])
