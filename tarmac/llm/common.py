@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tarmac.session import stored
 
-__all__ = ["WORD", "ascii_lower", "let", "map_arrow", "map_pandas", "remainder", "stored", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "let", "map_arrow", "map_pandas", "quoted", "remainder", "stored", "table", "words"]
 
 # A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +64,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever signs it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     every = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tarmac.llm.common import map_arrow
+from tarmac.llm.common import map_arrow, quoted
 
 # Well-known licence sentences in normalised form, by identifier.
 SENTENCES: dict[str, str] = {
@@ -352,7 +352,7 @@ def with_licences(
                 names=[*batch.schema.names, "n_sentences", "sentence_ids"],
             )
 
-    columns = [F.col(f"`{f.name.replace('`', '``')}`") for f in kept]
+    columns = [F.col(quoted(f.name)) for f in kept]
     found = map_arrow(docs.select(*columns), run, StructType([*kept, *new]))
     line = F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
     matches = [

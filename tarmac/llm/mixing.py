@@ -3,12 +3,15 @@
 Every source gets a share of the budget in proportion to its weight, but no more than
 ``max_epochs`` times its own size. What capped sources cannot take is dealt to the others by
 weight until none is above its cap. A source then repeats whole as often as its target
-allows, and documents in seeded order fill the fractional rest.
+allows, and documents in seeded order of id and text fill the fractional rest.
 
 Defined cases: a null or empty text has size 0 and takes nothing. A null source is a source
-of its own. Rows of one source with equal ids are one unit of the seeded order. Without any
-documents there are no targets. If every source is capped, the budget is not reached. Other
-columns are never read, whatever their names; ``mixed`` replaces columns of the names it adds.
+of its own. Rows of one source with equal ids go by their texts. Where the rest ends among rows
+of equal id and text, as many of them as it needs are taken; these are interchangeable, and which
+they are may follow the layout of the files. Without any documents there are no targets. If every
+source is capped, the budget is not reached. A very long text is one row of its task. Other columns
+are never read, whatever their names; ``mixed`` replaces columns of the names it adds, whatever
+their case.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarmac.llm.common import stored, words
+from tarmac.llm.common import quoted, stored, words
 
 # The seeded order is a number of 60 bits, searched in four digits of 15 bits.
 DIGITS, DIGIT_BITS = 4, 15
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """Seeded place of a document, 0 to 2^60 - 1."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def order_key(docs: DataFrame, seed: int) -> Column:
+    """Seeded place of a document by id and text, 0 to 2^60 - 1."""
+    content = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    key = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
+    text = F.concat(F.lit(f"{seed}:"), content, F.lit(":"), key)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
@@ -38,7 +43,7 @@ def measured(docs: DataFrame, seed: int) -> DataFrame:
             "doc_id",
             F.col("source").cast("string").alias("source"),
             F.size(words(F.col("text"))).cast("bigint").alias("size"),
-            order_key(F.col("doc_id"), seed).alias("place"),
+            order_key(docs, seed).alias("place"),
         ),
         "sized",
     )
@@ -103,11 +108,12 @@ def water_fill(sources: DataFrame, budget: Column, max_epochs: int) -> DataFrame
 
 
 def fractional_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with whole repetitions and the last place that repeats once more.
+    """``targets`` with whole repetitions and the last place ``cut`` that repeats once more.
 
     The words before the cut come as near to the rest as whole documents allow: the document
-    in which the rest ends is in if its middle lies before that point. The cut is found digit
-    by digit from sums per (source, digit); nothing is sorted but these sums.
+    in which the rest ends is in if its middle lies before that point. If equal rows share that
+    place and only some are in, the cut lies before it and ``edge`` is their number. The cut is
+    found digit by digit from sums per (source, digit); nothing is sorted but these sums.
     """
     whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
     states = stored(
@@ -120,6 +126,7 @@ def fractional_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
             F.lit(0).cast("bigint").alias("prefix"),
             F.lit(0).cast("bigint").alias("before"),
             F.lit(0).cast("bigint").alias("inside"),
+            F.lit(0).cast("bigint").alias("rows"),
         ),
         "targets",
     )
@@ -130,7 +137,7 @@ def fractional_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
         counters = (
             _with_source(sized, states.where("rest > 0").select("source", "prefix"), known)
             .groupBy("source", F.shiftright("place", shift).alias("next"))
-            .agg(F.sum("size").alias("inside"))
+            .agg(F.sum("size").alias("inside"), F.count("*").alias("rows"))
         )
         upto = Window.partitionBy("source").orderBy("next")
         running = counters.withColumn("upto", F.sum("inside").over(upto))
@@ -138,7 +145,7 @@ def fractional_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
             _with_source(running, states.select("source", "rest", "before"), F.lit(True))
             .where(F.col("before") + F.col("upto") >= rest)
             .groupBy("source")
-            .agg(F.min(F.struct("next", "inside", "upto")).alias("hit"))
+            .agg(F.min(F.struct("next", "inside", "upto", "rows")).alias("hit"))
         )
         states = stored(
             states.alias("s")
@@ -152,17 +159,24 @@ def fractional_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
                 F.coalesce("hit.next", F.shiftleft("prefix", DIGIT_BITS)).alias("prefix"),
                 F.expr("before + coalesce(hit.upto - hit.inside, 0L)").alias("before"),
                 F.expr("coalesce(hit.inside, 0L)").alias("inside"),
+                F.expr("coalesce(hit.rows, 0L)").alias("rows"),
             ),
             "cuts",
         )
-    middle = F.col("before") + F.col("inside") / 2
-    cut = F.when(rest <= 0, F.lit(-1)).when(middle < rest, F.col("prefix"))
+    needed = F.ceil((rest - F.col("before")) * F.col("rows") / F.col("inside") - 0.5)
+    taken = F.when(F.col("inside") > 0, F.greatest(F.lit(0), F.least("rows", needed))).otherwise(0)
+    all_in = taken == F.col("rows")
     return states.select(
         "source",
         "source_size",
         "target",
         "whole",
-        F.coalesce(cut, F.col("prefix") - 1).cast("bigint").alias("cut"),
+        F.when(rest <= 0, -1)
+        .when(all_in, F.col("prefix"))
+        .otherwise(F.col("prefix") - 1)
+        .cast("bigint")
+        .alias("cut"),
+        F.when((rest <= 0) | all_in, 0).otherwise(taken).cast("bigint").alias("edge"),
     )
 
 
@@ -178,7 +192,7 @@ def plan_mix(
     budget_percent: int = 150,
     max_epochs: int = 2,
 ) -> DataFrame:
-    """Per source ``source, source_size, target, whole, cut`` for ``measured`` documents."""
+    """Per source ``source, source_size, target, whole, cut, edge`` for ``measured`` documents."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("size"))
     dealt = repeating_weights(sizes, weights).withColumnRenamed("source", "_source")
     sources = stored(
@@ -186,13 +200,50 @@ def plan_mix(
         "sources",
     )
     budget = F.sum("size") * budget_percent / F.lit(100.0)
-    return fractional_cuts(sized, water_fill(sources, budget, max_epochs))
+    return stored(fractional_cuts(sized, water_fill(sources, budget, max_epochs)), "plan")
 
 
-def with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """``sized`` rows with their source's plan and ``copies``, the times each is taken."""
-    copies = F.col("whole") + (F.col("place") <= F.col("cut")).cast("int")
-    return _with_source(sized, plan, F.lit(True)).withColumn("copies", copies)
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan and ``copies``, the times each is taken."""
+    planned = _with_source(rows, plan, F.lit(True))
+    known = planned.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("cut")).cast("int"))
+    if plan.where("edge > 0").isEmpty():
+        return known
+    on_edge = (F.col("edge") > 0) & (F.col("place") == F.col("cut") + 1)
+    return known.where(~on_edge).unionByName(_numbered_edge(planned.where(on_edge)))
+
+
+def _numbered_edge(rows: DataFrame) -> DataFrame:
+    """Rows at the place where their source's rest ends: the first ``edge`` repeat once more.
+
+    Each task's rows are numbered on their own and go on from the counts of the tasks before, so
+    a large group of equal rows never meets in one task.
+    """
+    kept = stored(
+        rows.withColumn("task", F.spark_partition_id()).withColumn(
+            "row_id", F.monotonically_increasing_id()
+        ),
+        "edge",
+    )
+    before = Window.partitionBy("source").orderBy("task")
+    starts = (
+        kept.groupBy("source", "task")
+        .count()
+        .select(
+            F.col("source").alias("_source"),
+            F.col("task").alias("_task"),
+            (F.sum("count").over(before) - F.col("count")).alias("start"),
+        )
+    )
+    number = F.row_number().over(Window.partitionBy("source", "task").orderBy("row_id"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("task") == F.col("_task"))
+    chosen = (F.col("start") + F.col("number") <= F.col("edge")).cast("int")
+    return (
+        kept.withColumn("number", number)
+        .join(starts, same)
+        .withColumn("copies", F.col("whole") + chosen)
+        .select(*rows.columns, "copies")
+    )
 
 
 def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
@@ -203,14 +254,15 @@ def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """
     plan = plan_mix(measured(docs, seed), **options)
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*[docs[quoted(c)].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
         F.col("source").cast("string").alias("source"),
-        order_key(F.col("doc_id"), seed).alias("place"),
+        order_key(docs, seed).alias("place"),
     )
     taken = with_copies(rows, plan).where("copies > 0")
-    kept = [c for c in docs.columns if c not in ("source_size", "target", "repetition")]
+    added = ("source_size", "target", "repetition")
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c.lower() not in added]
     return taken.select(
-        *[F.col("row").getField(c).alias(c) for c in kept],
+        *[F.col("row").getField(field).alias(name) for field, name in kept],
         "source_size",
         "target",
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("repetition"),

@@ -39,7 +39,8 @@ def _crc32(text: str) -> str:
 MIXING = rf"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size,
-    ('0x' || left(md5('0:' || coalesce(cast(doc_id as varchar), '')), 15))::bigint as place
+    row_number() over () as row, ('0x' || left(md5('0:' || md5(coalesce(text, '')) || ':' ||
+      coalesce(cast(doc_id as varchar), '')), 15))::bigint as place
   from documents
 ), sources as (
   select source, sum(size)::bigint as source_size,
@@ -65,22 +66,18 @@ with sized as (
 ), parts as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole,
   from targets
-), units as (
-  select source, place, sum(size)::bigint as unit from sized group by source, place
 ), running as (
-  select u.source, u.place, u.unit, p.target - p.whole * p.source_size as rest,
-    sum(u.unit) over (partition by u.source order by u.place) - u.unit as before
-  from units u join parts p on u.source is not distinct from p.source
-), cuts as (
-  select source, max(place) as cut from running where rest > 0 and before + unit / 2 < rest
-  group by source
+  select s.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size as rest,
+    sum(s.size) over (partition by s.source order by s.place, s.row
+                      rows between unbounded preceding and current row) - s.size as before
+  from sized s join parts p on s.source is not distinct from p.source
+), chosen_rows as (
+  select *, whole + case when rest > 0 and before + size / 2 < rest then 1 else 0 end as copies
+  from running
 )
-select s.doc_id, s.size::bigint as size, p.source_size, p.target,
-  (s.size * (p.whole + case when s.place <= coalesce(c.cut, -1) then 1 else 0 end))::bigint as taken,
-  (p.whole + case when s.place <= coalesce(c.cut, -1) then 1 else 0 end)::int as copies
-from sized s
-join parts p on s.source is not distinct from p.source
-left join cuts c on s.source is not distinct from c.source
+select doc_id, size::bigint as size, source_size, target, (size * copies)::bigint as taken,
+  copies::int as copies
+from chosen_rows
 """
 
 _KINDS = {

@@ -66,7 +66,26 @@ def test_reruns_agree_and_rows_repeat(spark):
     assert {r.doc_id: r["count"] for r in mixed} == {d: n for d, n in copies.items() if n}
 
 
-def test_equal_ids_are_one_unit(spark):
-    docs = spark.createDataFrame([(1, "a b", "s")] * 50 + [(2, "c", "s")], "doc_id int, text string, source string")
-    rows = mixing.mix_digest(docs).collect()
-    assert len({(r.doc_id, r.copies) for r in rows}) == 2
+EQUAL = ["w " * 10] * 100
+
+
+@pytest.mark.parametrize("ids, texts", [([None, 7] * 50, EQUAL), ([7] * 100, [f"{i % 9} " * 10 for i in range(100)])])
+def test_null_and_equal_ids_meet_the_target(spark, ids, texts):
+    rows = [(i, t, "a") for i, t in zip(ids, texts)] + [(1000 + i, "w " * 10, "b") for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(5)
+    got = mixing.mix_digest(docs).collect()
+    assert len(got) == 111
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5.001
+        assert all(r.taken <= 2 * r.size for r in mine)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_digest(docs.repartition(3)).collect()))
+    assert mixing.mixed(docs).count() == sum(r.copies for r in got)
+
+
+def test_columns_of_any_name_stay_or_are_replaced(spark):
+    rows = [(1, "a b", "s", 5, 6), (None, "a b", "s", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, `a.b` int, Target int")
+    out = mixing.mixed(docs)
+    assert out.columns == ["doc_id", "text", "source", "a.b", "source_size", "target", "repetition"]
+    assert {r["a.b"] for r in out.collect()} == {5}
