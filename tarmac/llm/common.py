@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tarmac.session import stored
 
-__all__ = ["WORD", "ascii_lower", "let", "map_arrow", "map_pandas", "quoted", "remainder", "stored", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "every", "let", "map_arrow", "map_pandas", "quoted", "remainder", "stored", "table", "words"]
 
 # A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,6 +69,11 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def every(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, whatever signs their names hold."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     every = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

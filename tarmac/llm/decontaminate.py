@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import ascii_lower, stored, words
+from tarmac.llm.common import ascii_lower, every, stored, words
 
 # In lower-cased text: digits, a-z and everything beyond ASCII.
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -215,7 +215,7 @@ def without_benchmark(
     """
     found = found_spans(docs.select("doc_id", "text"), benchmark, size).where("size(spans) > 0")
     hit = found.select(F.col("doc_id").alias("hit_id"), "text_key", "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _text_key(docs["text"]).alias("own_key"))
+    rows = docs.select(F.struct(*every(docs)).alias("row"), _text_key(docs["text"]).alias("own_key"))
     same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own_key") == F.col("text_key"))
     if remove == "documents":
         return rows.join(hit, same, "left_anti").select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import map_arrow, remainder
+from tarmac.llm.common import map_arrow, quoted, remainder
 
 # Letters of any script, digits, or other signs; bytes over 0x7F count as letters.
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -223,7 +223,8 @@ def scored(
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; ``keep`` names the other columns to return."""
-    names = [c for c in keep or docs.columns if c not in ("score", "predicted")]
+    names = [c for c in keep or docs.columns if c.lower() not in ("score", "predicted")]
+    kept = docs.select(*[quoted(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +232,12 @@ def scored(
             x = np.array([pooled(t, vectors) for t in texts]).reshape(len(texts), INPUTS)
             p = net.probabilities(x) if net else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(p), pa.array(p >= 0.5).cast("int32")],
-                names=[*names, "score", "predicted"],
+                [*batch.columns[: len(names)], pa.array(p), pa.array(p >= 0.5).cast("int32")],
+                names=[*batch.schema.names[: len(names)], "score", "predicted"],
             )
 
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
-    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, schema)
+    schema = kept.schema.add("score", "double").add("predicted", "integer")
+    return map_arrow(docs.select(*map(quoted, dict.fromkeys([*names, "text"]))), run, schema)
 
 
 def classify(

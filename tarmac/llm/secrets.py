@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import map_pandas, stored
+from tarmac.llm.common import every, map_pandas, stored
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def with_findings(
     docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES
 ) -> DataFrame:
     """Every row of ``docs`` as ``row``, with the ``spans`` of its blob."""
-    paths = docs.select(F.struct(*docs.columns).alias("row"), address(F.col("text")).alias("blob"))
+    paths = docs.select(F.struct(*every(docs)).alias("row"), address(F.col("text")).alias("blob"))
     found = blob_spans(ledger, rules)
     return paths.join(found, "blob", "left").withColumn(
         "spans", F.coalesce("spans", F.expr("array()").cast(found.schema["spans"].dataType))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import map_arrow, map_pandas, stored
+from tarmac.llm.common import every, map_arrow, map_pandas, quoted, stored
 from tarmac.llm.components import component_roots
 
 BITS = 64
@@ -58,17 +58,17 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` with ``fp``, the fingerprint as a signed long. Needs a ``text`` column."""
-    names = [c for c in docs.columns if c not in ("text", "fp")]
-    rest = docs.select(*names).schema
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in ("text", "fp")]
+    rest = docs.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=[*names, "fp"])
+            names = [*batch.schema.names[:-1], "fp"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=names)
 
-    return map_arrow(docs.select(*names, "text"), run, rest.add("fp", "long"))
+    return map_arrow(docs.select(*kept, "text"), run, rest.add("fp", "long"))
 
 
 def within(values: list[int], radius: int) -> list[tuple[int, int]]:
@@ -227,7 +227,7 @@ def simhash_digest(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
 
 def row_key(docs: DataFrame) -> Column:
     """Content address of a row; equal rows are interchangeable."""
-    values = [F.coalesce(docs[c].cast("string"), F.lit("\0")) for c in docs.columns]
+    values = [F.coalesce(c.cast("string"), F.lit("\0")) for c in every(docs)]
     return F.sha2(F.concat_ws("\x01", *values).cast("binary"), 256)
 
 
@@ -244,6 +244,6 @@ def one_per_component(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Dat
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
         .select(F.col("best.key").alias("key"))
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(docs).alias("key"))
+    rows = docs.select(F.struct(*every(docs)).alias("row"), row_key(docs).alias("key"))
     once = rows.join(kept, "key", "left_semi").dropDuplicates(["key"])
     return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

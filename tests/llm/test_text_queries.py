@@ -122,3 +122,14 @@ def test_pipeline_runs_every_stage(spark, small):
     out = corpus_pipeline.run(spark, small)
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 0 < len(ids) < 200 and out.where("text like '%password=%'").count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark, labels, bench, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"some words of text {i} password=abcdefgh1", "s", i * 2) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, `a.b` int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r["a.b"] == r.doc_id * 2 for r in out.collect()), name
