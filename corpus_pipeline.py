@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm.common import stored, table
+from tarmac.llm.common import every, stored, table
 from tarmac.llm.decontaminate import without_benchmark
 from tarmac.llm.mixing import mixed
 from tarmac.llm.quality_model import classify, training_labels
@@ -20,7 +20,7 @@ from tarmac.llm.simhash import one_per_component
 def accepted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     judged = classify(docs, training_labels(table(spark, sf_dir, "labels")))
-    return judged.where("predicted = 1").select(*docs.columns)
+    return judged.where("predicted = 1").select(*every(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
