@@ -95,7 +95,7 @@ def reconcile(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def compare_runs(spark: SparkSession, args: argparse.Namespace) -> None:
     a, b = runs.ENVIRONMENTS
-    log = read_runs(spark, args.a, a).unionByName(read_runs(spark, args.b, b))
+    log = runs.reduce_runs(read_runs(spark, args.a, a).unionByName(read_runs(spark, args.b, b)))
     for table in (
         runs.run_pivot(log, args.pct),
         runs.run_summary(log, args.pct),

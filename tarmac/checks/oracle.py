@@ -6,6 +6,8 @@ single aggregations, full sorts where that counts hash prefixes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 
 def _half_up(x: str, digits: int = 2) -> str:
     return (
@@ -201,9 +203,11 @@ def _band_columns(empty: str = "null") -> str:
     return ",\n         ".join(columns)
 
 
-def _delay_bands(empty: str = "null", on_cancelled_only: bool = False) -> str:
+def _delay_bands(
+    empty: str = "null", on_cancelled_only: bool = False, flights: str = FLIGHTS
+) -> str:
     return f"""
-with {FLIGHTS},{_cause_rows(on_cancelled_only)},
+with {flights},{_cause_rows(on_cancelled_only)},
 labels as (
   select origin, month,
          '"[' || string_agg('''' || causa || ' (' || frequenza || ' voli)''', ', ' order by rk)
@@ -332,6 +336,22 @@ def _flight_sample(fraction: float, name: str) -> str:
     )
 
 
+def _at_scales(report: Callable[[str], str]) -> str:
+    """The report of every scaled set, told apart by ``scale``; ``report`` gets a CTE of flights."""
+    parts = []
+    for scale in (10, 25, 50, 75, 100, 150):
+        rows = "select * exclude (h, rn, total) from placed"
+        some = f"{rows} where rn <= round_even({scale % 100} / 100.0::double * total, 0)"
+        whole, rest = [rows] * (scale // 100), [some] if scale % 100 else []
+        scaled = f"flights as ({' union all '.join(whole + rest)})"
+        parts.append(f"select {scale} as scale, * from ({report(scaled)})")
+    return (
+        f"with {FLIGHTS},\nhashed as (select *, {FLIGHT_HASH} as h from flights),\n"
+        "placed as materialized (select *, row_number() over (order by h) as rn, "
+        "count(*) over () as total from hashed)\n" + "\nunion all ".join(parts)
+    )
+
+
 FEW = "origin, month, cancelled"
 
 
@@ -746,7 +766,15 @@ select op_unique_carrier, origin, month, dep_delay, cast(sum(in_a) as bigint) as
        cast(sum(in_b) as bigint) as rows_b
 from cells group by op_unique_carrier, origin, month, dep_delay
 having sum(in_a) <> sum(in_b)""",
+    "route_month_scales": _at_scales(lambda flights: f"with {flights} {_route_month('flights')}"),
+    "delay_band_scales": _at_scales(lambda flights: _delay_bands(flights=flights)),
+    "carrier_deviation_scales": _at_scales(
+        lambda flights: f"with {flights}, {_carriers()} select * from report"
+    ),
     "run_pivot": _run_pivot(),
+    "run_cells": f"with {RUNS} select analysis, tech, pct, analysis || ' / ' || tech as label, a, b, "
+    f"{SPEEDUP} as speedup, case when a - b - 20 > 0 then 'yes' when a - b - 20 <= 0 then 'no' "
+    "else '-' end as saves from firsts",
     "run_speedup": f"with {RUNS} select analysis, tech, pct, analysis || ' / ' || tech as label, "
     f"a, b, {SPEEDUP} as speedup from firsts where a is not null and b is not null",
     "run_speedup_matrix": f"with {RUNS} select analysis || ' / ' || tech as label, "

@@ -14,12 +14,16 @@ from tarmac.plans import (
     airport_means,
     band_stats,
     carrier_deviation,
+    carrier_gaps,
     cause_counts,
     cause_top_k,
+    delay_band,
     delay_band_report,
+    route_month,
     route_month_stats,
 )
-from tarmac.session import scratch_path
+from tarmac.plans.grouped import Grouped
+from tarmac.session import scratch_path, stored
 from tarmac.sources import (
     declare_flights,
     read_csv,
@@ -59,6 +63,13 @@ def _on_runs(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: as_doubles(make(runs_view(spark, sf)))
 
 
+def _at_scales(report: Callable[[], Grouped]) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return as_doubles(report().at_scales(stored(flights_view(spark, sf), "flights")))
+
+    return query
+
+
 def _wall_clock(df: DataFrame) -> DataFrame:
     return df.withColumn("fl_date", F.col("fl_date").cast("timestamp_ntz"))
 
@@ -369,6 +380,10 @@ QUERIES: dict[str, Query] = {
         .groupBy("scale")
         .agg(F.count("*").alias("row_count"), F.sum("o_orderkey").alias("key_sum"))
     ),
+    # The reports of all scales
+    "route_month_scales": _at_scales(route_month),
+    "delay_band_scales": _at_scales(delay_band),
+    "carrier_deviation_scales": _at_scales(carrier_gaps),
     # Results compared
     "reconcile_reports": reconcile_reports,
     "reconcile_precision": reconcile_precision,
@@ -382,6 +397,7 @@ QUERIES: dict[str, Query] = {
     "multiset_difference": multiset_difference,
     # Runs compared
     "run_pivot": _on_runs(runs.run_pivot),
+    "run_cells": _on_runs(lambda df: runs.run_cells(df, overhead=20.0)),
     "run_speedup": _on_runs(runs.run_speedup),
     "run_speedup_matrix": _on_runs(runs.speedup_matrix),
     "run_seconds_matrix": _on_runs(lambda df: runs.seconds_matrix(df, "Locale")),

@@ -1,9 +1,13 @@
 """Comparing measurements of two environments.
 
 A run table has the columns ``analysis, tech, pct, env, seconds`` and may hold any number
-of repetitions per run, in the order of a ``repeat`` column. Everything is first reduced to
-one value per run by a hash aggregation that starts before the shuffle; what is left has as
-many rows as there are distinct runs.
+of repetitions per run, in the order of a ``repeat`` column. The log is read once: a hash
+aggregation that starts before the shuffle reduces it to one row per run and environment, and
+these rows are stored. Environments, columns of wide tables and all values are read from them.
+
+Every function takes a log or what ``reduce_runs`` made of it, so several tables can share one
+reading. A wide table has a column per analysis or scale of the log; ``run_cells`` holds the
+same cells as rows, for logs of any number of analyses.
 """
 
 from __future__ import annotations
@@ -14,26 +18,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.functions import exact_mean, ratio
+from tarmac.functions import exact_sum, mean_of, ratio
+from tarmac.functions.numeric import EXACT_SUM
 from tarmac.schema import CLUSTER_OVERHEAD_SECONDS
+from tarmac.session import stored
 
 # The usual names of the two environments, in the order they are compared.
 ENVIRONMENTS = ("Locale", "Cluster")
 # End of fixed values.
 
-# A wide table has a column per analysis or scale. A log with more of them is refused.
-MOST_COLUMNS = 1000
-
 RUN = ["analysis", "tech", "pct"]
 
 
-def axis(df: DataFrame, column: str) -> list:
+_MEASURES = ["_at", "_first", "_total", "_n"]
+
+
+def reduce_runs(runs: DataFrame, repeat: str = "repeat") -> DataFrame:
+    """One stored row per run and environment: the first seconds by ``repeat``, their sum and count.
+
+    What was reduced before is returned as it is.
+    """
+    if set(_MEASURES) <= set(runs.columns):
+        return runs
+    seconds = F.col("seconds")
+    order = F.when(seconds.isNotNull(), F.col(repeat))
+    reduced = runs.groupBy(*RUN, "env").agg(
+        F.min(order).alias("_at"),
+        F.min_by(seconds, order).cast("double").alias("_first"),
+        exact_sum(seconds).alias("_total"),
+        F.count(seconds).alias("_n"),
+    )
+    return stored(reduced, "runs")
+
+
+def axis(runs: DataFrame, column: str) -> list:
     """The distinct values of ``column`` in order: what a wide table gets columns for."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1)
-    values = sorted(r[0] for r in rows.collect())
-    if len(values) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} different values of {column}")
-    return values
+    rows = runs.select(column).where(F.col(column).isNotNull()).distinct()
+    return sorted(r[0] for r in rows.collect())
 
 
 def environments_of(runs: DataFrame) -> tuple[str, str]:
@@ -47,13 +68,12 @@ def environments_of(runs: DataFrame) -> tuple[str, str]:
     return found[0], found[1]
 
 
-def _reduced(how: str, here: Column, repeat: str) -> Column:
-    """Seconds of the rows selected by ``here``: the first by ``repeat``, or their mean."""
-    seconds = F.when(here, F.col("seconds"))
+def _seconds(how: str, here: Column) -> Column:
+    """Seconds of the reduced rows selected by ``here``: the first by ``repeat``, or their mean."""
     if how == "mean":
-        return exact_mean(seconds)
-    order = F.when(here & F.col("seconds").isNotNull(), F.col(repeat))
-    return F.min_by(F.col("seconds"), order).cast("double")
+        total = F.sum(F.when(here, F.col("_total"))).cast(EXACT_SUM)
+        return mean_of(total, F.sum(F.when(here, F.col("_n")))).cast("double")
+    return F.min_by(F.col("_first"), F.when(here, F.col("_at")))
 
 
 def side_values(
@@ -68,12 +88,12 @@ def side_values(
     ``how`` is ``first`` (the lowest ``repeat`` wins) or ``mean``. The environments are
     those of the log unless two are named.
     """
+    known = reduce_runs(runs, repeat)
     sides = [
-        _reduced(how, F.col("env") == env, repeat).alias(name)
-        for env, name in zip(environments or environments_of(runs), ("a", "b"))
+        _seconds(how, F.col("env") == env).alias(name)
+        for env, name in zip(environments or environments_of(known), ("a", "b"))
     ]
-    reduced = runs.groupBy(*keys).agg(*sides, F.count_if(F.col("env").isNotNull()).alias("_n"))
-    return reduced.where("_n > 0").drop("_n")
+    return known.where("env is not null").groupBy(*keys).agg(*sides)
 
 
 def _label() -> Column:
@@ -84,16 +104,18 @@ def run_pivot(
     runs: DataFrame,
     pct: int = 100,
     environments: tuple[str, str] | None = None,
-    **kwargs,
+    how: str = "first",
+    repeat: str = "repeat",
 ) -> DataFrame:
     """Technologies by analysis at one scale: seconds per environment and the speedup.
 
     The analyses are those of the whole log. A technology known to one environment only keeps
     its row.
     """
-    environments = environments or environments_of(runs)
-    analyses = axis(runs, "analysis")
-    sides = side_values(runs.where(F.col("pct") == pct), environments=environments, **kwargs)
+    known = reduce_runs(runs, repeat)
+    environments = environments or environments_of(known)
+    analyses = axis(known, "analysis")
+    sides = side_values(known.where(F.col("pct") == pct), how=how, environments=environments)
     suffixes = [e.lower() for e in environments]
     wide = sides.groupBy("tech").pivot("analysis", analyses or [""]).agg(
         F.first("a").alias("a"), F.first("b").alias("b")
@@ -115,18 +137,41 @@ def run_speedup(runs: DataFrame, **kwargs) -> DataFrame:
     return both.select(*RUN, _label(), "a", "b", ratio(F.col("a"), F.col("b")).alias("speedup"))
 
 
-def speedup_matrix(runs: DataFrame, **kwargs) -> DataFrame:
+def run_cells(
+    runs: DataFrame,
+    overhead: float = CLUSTER_OVERHEAD_SECONDS,
+    how: str = "first",
+    repeat: str = "repeat",
+    environments: tuple[str, str] | None = None,
+) -> DataFrame:
+    """The cells of all wide tables as rows: one per run, with seconds, speedup and break-even.
+
+    ``saves`` is ``yes``, ``no``, or ``-`` where a run is missing on either side.
+    """
+    sides = side_values(runs, how=how, repeat=repeat, environments=environments)
+    speedup = ratio(F.col("a"), F.col("b")).alias("speedup")
+    return sides.select(*RUN, _label(), "a", "b", speedup, _saves(overhead).alias("saves"))
+
+
+def _saves(overhead: float) -> Column:
+    saved = F.col("a") - F.col("b") - F.lit(float(overhead))
+    return F.when(saved > 0, "yes").when(saved <= 0, "no").otherwise("-")
+
+
+def speedup_matrix(runs: DataFrame, repeat: str = "repeat", **kwargs) -> DataFrame:
     """Speedups by label (rows) and scale (columns ``p10``, ``p25``, ... of the log)."""
-    return _matrix(run_speedup(runs, **kwargs), "speedup", axis(runs, "pct"))
+    known = reduce_runs(runs, repeat)
+    return _matrix(run_speedup(known, **kwargs), "speedup", axis(known, "pct"))
 
 
 def seconds_matrix(
     runs: DataFrame, environment: str, how: str = "first", repeat: str = "repeat"
 ) -> DataFrame:
     """Seconds of one environment by label and scale."""
-    here = runs.where(F.col("env") == environment)
-    values = here.groupBy(*RUN).agg(_reduced(how, F.lit(True), repeat).alias("seconds"))
-    return _matrix(values.select("*", _label()), "seconds", axis(runs, "pct"))
+    known = reduce_runs(runs, repeat)
+    here = known.where(F.col("env") == environment)
+    values = here.groupBy(*RUN).agg(_seconds(how, F.lit(True)).alias("seconds"))
+    return _matrix(values.select("*", _label()), "seconds", axis(known, "pct"))
 
 
 def _matrix(values: DataFrame, column: str, percents: Sequence[int]) -> DataFrame:
@@ -147,7 +192,10 @@ def mean_speedup(runs: DataFrame, **kwargs) -> DataFrame:
 
 
 def break_even(
-    runs: DataFrame, overhead: float = CLUSTER_OVERHEAD_SECONDS, **kwargs
+    runs: DataFrame,
+    overhead: float = CLUSTER_OVERHEAD_SECONDS,
+    repeat: str = "repeat",
+    **kwargs,
 ) -> DataFrame:
     """Does the second environment save more than its start-up cost?
 
@@ -155,14 +203,15 @@ def break_even(
     or ``-`` where a run is missing on either side. The runs are reduced once; the grid is
     read from the flags of each technology.
     """
-    analyses, percents = axis(runs, "analysis"), axis(runs, "pct")
-    saved = F.col("a") - F.col("b") - F.lit(float(overhead))
-    flag = F.when(saved > 0, "yes").when(saved <= 0, "no").otherwise("-")
+    known = reduce_runs(runs, repeat)
+    analyses, percents = axis(known, "analysis"), axis(known, "pct")
     place = F.concat_ws("/", F.col("pct").cast("string"), "analysis")
     flags = (
-        side_values(runs, **kwargs)
+        side_values(known, **kwargs)
         .groupBy("tech")
-        .agg(F.map_from_entries(F.collect_list(F.struct(place, flag))).alias("flags"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct(place, _saves(overhead)))).alias("flags")
+        )
     )
     grid = flags.withColumn("analysis", F.explode(F.lit(analyses).cast("array<string>")))
     cells = [

@@ -275,6 +275,48 @@ def scaled(
     return reduce(DataFrame.unionByName, ties, spread)
 
 
+# Band of rows that lie in whole copies only.
+WHOLE = 100
+
+
+def banded(
+    df: DataFrame,
+    scales: Sequence[float] = SCALES,
+    key: Sequence[str] | None = None,
+    seed: int = SAMPLE_SEED,
+    column: str = "band",
+) -> DataFrame:
+    """All rows once, with the smallest partial percentage of ``scales`` that holds them.
+
+    Samples are nested, so a row of band 25 is in every sample of 25 percent or more; rows in
+    none are in band ``WHOLE``. Where a sample ends among rows of one hash, those it takes come
+    once more, in the negative band of that percentage alone.
+    """
+    h = row_hash(key or df.columns, seed)
+    partial = sorted({p % 100 for p in percent_labels(scales) if p % 100})
+    cuts = find_cuts(df, [p / 100 for p in partial], key, seed) if partial else []
+    inside = [F.when(cut.covers(h), p) for p, cut in zip(partial, cuts)]
+    rows = df.withColumn(column, F.coalesce(*inside, F.lit(WHOLE)))
+    ties = [
+        _split_tie(df, cut, key, seed).withColumn(column, F.lit(-p))
+        for p, cut in zip(partial, cuts)
+        if cut.splits_tie
+    ]
+    return reduce(DataFrame.unionByName, ties, rows)
+
+
+def copies_in(scales: Sequence[float], band: Column) -> Column:
+    """The scales in percent that hold rows of ``band``, with how often they hold them."""
+    entries = []
+    for percent in percent_labels(scales):
+        whole, part = divmod(percent, 100)
+        more = band.between(1, part) | (band == -part) if part else F.lit(False)
+        times = F.when(band > 0, whole).otherwise(0) + F.when(more, 1).otherwise(0)
+        entry = F.struct(F.lit(percent).alias("scale"), times.alias("copies"))
+        entries.append(F.when(times > 0, entry))
+    return F.array_compact(F.array(*entries))
+
+
 def _rows_of(df: DataFrame, cut: Cut, key: Sequence[str] | None, seed: int) -> DataFrame:
     rows = df.where(cut.covers(row_hash(key or df.columns, seed)))
     return rows.unionByName(_split_tie(df, cut, key, seed)) if cut.splits_tie else rows

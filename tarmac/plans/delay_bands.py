@@ -19,6 +19,7 @@ from tarmac.functions import (
     ranked_counts,
     rounded,
 )
+from tarmac.plans.grouped import Grouped
 from tarmac.schema import (
     BAND_EDGES,
     CANCELLATION_CODES,
@@ -47,20 +48,28 @@ def _bands(edges: tuple[float, float]) -> dict[str, Column]:
     }
 
 
-def _band_measures(
-    edges: tuple[float, float], empty_mean: float | None
-) -> list[Column]:
+def _band_sums(edges: tuple[float, float]) -> dict[str, Column]:
+    """Per band the flights, and sums and counts of both delays."""
     dep, arr = nan_to_null(F.col("dep_delay")), nan_to_null(F.col("arr_delay"))
-    measures = []
+    sums = {}
     for band, inside in _bands(edges).items():
-        number, dep_name, arr_name = BAND_COLUMNS[band]
         in_dep, in_arr = F.when(inside, dep), F.when(inside, arr)
-        measures += [
-            F.count(in_dep).alias(number),
-            rounded(mean_of(exact_sum(in_dep), F.count(in_dep), empty_mean)).alias(dep_name),
-            rounded(mean_of(exact_sum(in_arr), F.count(in_arr), empty_mean)).alias(arr_name),
-        ]
-    return measures
+        sums |= {
+            BAND_COLUMNS[band][0]: F.count(in_dep),
+            f"{band}_dep": exact_sum(in_dep),
+            f"{band}_arr": exact_sum(in_arr),
+            f"{band}_arr_n": F.count(in_arr),
+        }
+    return sums
+
+
+def _band_columns(empty_mean: float | None) -> list[Column]:
+    columns = []
+    for band, (number, dep_name, arr_name) in BAND_COLUMNS.items():
+        dep = mean_of(F.col(f"{band}_dep"), F.col(number), empty_mean)
+        arr = mean_of(F.col(f"{band}_arr"), F.col(f"{band}_arr_n"), empty_mean)
+        columns += [F.col(number), rounded(dep).alias(dep_name), rounded(arr).alias(arr_name)]
+    return columns
 
 
 def _cause_measures(codes_on: str) -> dict[str, Column]:
@@ -80,10 +89,8 @@ def _cause_measures(codes_on: str) -> dict[str, Column]:
     return measures
 
 
-def _grouped(flights: DataFrame, origin: str, month: str):
-    return flights.groupBy(
-        F.col(origin).alias("aeroporto_partenza"), F.col(month).alias("mese")
-    )
+def _keys(origin: str, month: str) -> dict[str, Column]:
+    return {"aeroporto_partenza": F.col(origin), "mese": F.col(month)}
 
 
 def band_stats(
@@ -94,14 +101,19 @@ def band_stats(
     empty_mean: float | None = None,
 ) -> DataFrame:
     """Flights and mean delays per band."""
-    return _grouped(flights, origin, month).agg(*_band_measures(edges, empty_mean))
+    keys = _keys(origin, month)
+
+    def finish(groups: DataFrame, by: list[str]) -> DataFrame:
+        return groups.select(*by, *keys, *_band_columns(empty_mean))
+
+    return Grouped(keys, _band_sums(edges), finish).of(flights)
 
 
 def _cause_entries(flights: DataFrame, origin: str, month: str, codes_on: str) -> DataFrame:
     causes = _cause_measures(codes_on)
-    counted = _grouped(flights, origin, month).agg(*[n.alias(c) for c, n in causes.items()])
-    entries = named_counts({c: F.col(f"`{c}`") for c in causes})
-    return counted.select("aeroporto_partenza", "mese", entries.alias("entries"))
+    entries = named_counts({c: F.col(f"`{c}`") for c in causes}).alias("entries")
+    keys = _keys(origin, month)
+    return Grouped(keys, causes, lambda groups, by: groups.select(*by, *keys, entries)).of(flights)
 
 
 def cause_counts(
@@ -135,19 +147,26 @@ def cause_top_k(
     )
 
 
-def delay_band_report(
-    flights: DataFrame,
+def delay_band(
     origin: str = "origin",
     month: str = "month",
     edges: tuple[float, float] = BAND_EDGES,
     k: int = 3,
     empty_mean: float | None = None,
     codes_on: str = "any",
-) -> DataFrame:
+) -> Grouped:
     """Report 3.2. ``codes_on='cancelled'`` ignores cancellation codes of flown flights."""
     causes = _cause_measures(codes_on)
-    stats = _grouped(flights, origin, month).agg(
-        *_band_measures(edges, empty_mean), *[n.alias(c) for c, n in causes.items()]
-    )
-    label = cause_label(named_counts({c: F.col(f"`{c}`") for c in causes}), k)
-    return stats.withColumn("cause_maggiori", label).select(*DELAY_BAND_HEADER)
+    keys = _keys(origin, month)
+
+    def finish(groups: DataFrame, by: list[str]) -> DataFrame:
+        label = cause_label(named_counts({c: F.col(f"`{c}`") for c in causes}), k)
+        columns = [*keys, *_band_columns(empty_mean), label.alias("cause_maggiori")]
+        return groups.select(*by, *columns).select(*by, *DELAY_BAND_HEADER)
+
+    return Grouped(keys, _band_sums(edges) | causes, finish)
+
+
+def delay_band_report(flights: DataFrame, **options) -> DataFrame:
+    """Report 3.2 of ``flights``, see ``delay_band``."""
+    return delay_band(**options).of(flights)

@@ -6,43 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions import exact_percent, exact_sum, mean_of, nan_to_null, rounded
+from tarmac.plans.grouped import Grouped
+from tarmac.schema import ROUTE_MONTH_HEADER
 
 
-def route_month_stats(
-    flights: DataFrame,
+def route_month(
     carrier: str = "op_unique_carrier",
     origin: str = "origin",
     month: str = "month",
     delay: str = "arr_delay",
     cancelled: str = "cancelled",
     empty_mean: float | None = None,
-) -> DataFrame:
+) -> Grouped:
     """Report 3.1. Extremes of a group without flown arrivals are 0.0, its mean NULL.
 
     ``empty_mean`` replaces that NULL. The only shuffle of facts carries one partly
     aggregated row per group and task.
     """
     flown = F.when(F.col(cancelled) == 0, nan_to_null(F.col(delay)))
-    stats = flights.groupBy(
-        F.col(carrier).alias("codice"),
-        F.col(origin).alias("aeroporto_partenza"),
-        F.col(month).alias("mese"),
-    ).agg(
-        F.count(F.lit(1)).alias("numero_voli"),
-        F.coalesce(F.min(flown), F.lit(0.0)).alias("ritardo_minimo"),
-        F.coalesce(F.max(flown), F.lit(0.0)).alias("ritardo_massimo"),
-        rounded(mean_of(exact_sum(flown), F.count(flown), empty_mean)).alias("ritardo_medio"),
-        rounded(exact_percent(F.count_if(F.col(cancelled) == 1), F.count(F.lit(1))), 1).alias(
-            "tasso_cancellazione"
-        ),
-    )
-    return stats.select(
-        "codice",
-        "aeroporto_partenza",
-        "numero_voli",
-        "ritardo_minimo",
-        "ritardo_massimo",
-        "ritardo_medio",
-        "tasso_cancellazione",
-        "mese",
+
+    def finish(groups: DataFrame, by: list[str]) -> DataFrame:
+        rate = exact_percent(F.col("cancellati"), F.col("numero_voli"))
+        columns = {
+            "ritardo_minimo": F.coalesce("least", F.lit(0.0)),
+            "ritardo_massimo": F.coalesce("most", F.lit(0.0)),
+            "ritardo_medio": rounded(mean_of(F.col("total"), F.col("flown"), empty_mean)),
+            "tasso_cancellazione": rounded(rate, 1),
+        }
+        kept = [columns[c].alias(c) if c in columns else F.col(c) for c in ROUTE_MONTH_HEADER]
+        return groups.select(*by, *kept)
+
+    return Grouped(
+        keys={
+            "codice": F.col(carrier),
+            "aeroporto_partenza": F.col(origin),
+            "mese": F.col(month),
+        },
+        sums={
+            "numero_voli": F.count(F.lit(1)),
+            "total": exact_sum(flown),
+            "flown": F.count(flown),
+            "cancellati": F.count_if(F.col(cancelled) == 1),
+        },
+        least={"least": F.min(flown)},
+        most={"most": F.max(flown)},
+        finish=finish,
     )
+
+
+def route_month_stats(flights: DataFrame, **options) -> DataFrame:
+    """Report 3.1 of ``flights``, see ``route_month``."""
+    return route_month(**options).of(flights)

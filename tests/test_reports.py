@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from tarmac import schema as S
 from tarmac.functions import mean_of, rounded
+from tarmac.operators.sample import scaled
 from tarmac.plans import (
     airport_means,
     band_stats,
     carrier_deviation,
+    carrier_gaps,
     cause_counts,
     cause_top_k,
+    delay_band,
     delay_band_report,
+    route_month,
     route_month_stats,
 )
 from tarmac.sources.tables import flights_view
@@ -229,3 +233,32 @@ def test_invariants(spark, small):
     assert airport_means(flights).count() == deviation.select("aeroporto_partenza").distinct().count()
     flights.unpersist()
     deviation.unpersist()
+
+
+def test_scales_of_a_report_equal_the_report_of_each_scaled_set(spark, make_flights):
+    """Identical flights tie where samples end; groups are lost in the smaller samples."""
+    rows = [
+        {
+            "op_unique_carrier": f"C{i % 3}",
+            "origin": "ABE" if i % 2 else f"X{i % 7}",
+            "month": i % 2 + 1,
+            "dep_delay": None if i % 11 == 0 else float(i % 90),
+            "arr_delay": float(i % 7) - 2.5 if i % 5 else None,
+            "cancelled": int(i % 13 == 0),
+            "cancellation_code": "B" if i % 13 == 0 else None,
+            "nas_delay": float(i % 4),
+        }
+        for i in list(range(120)) + [1] * 150
+    ]
+    flights = make_flights(rows).repartition(5)
+    scales = (0.1, 0.25, 0.5, 1.0, 1.5, 2.25)
+    sets = scaled(flights, scales)
+    for report in (route_month(), delay_band(), carrier_gaps(precision="exact")):
+        together = report.at_scales(flights, scales)
+        assert together.columns[0] == "scale"
+        for percent in (10, 25, 50, 100, 150, 225):
+            one = report.of(sets.where(F.col("scale") == percent).drop("scale"))
+            got = together.where(F.col("scale") == percent).drop("scale")
+            assert got.schema.simpleString() == one.schema.simpleString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, one.collect()))
+    assert route_month().at_scales(flights.limit(0), scales).count() == 0

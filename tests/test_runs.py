@@ -100,6 +100,34 @@ def test_environments_come_from_the_log(spark, log):
     assert R.run_pivot(third, environments=("desk", "cloud")).count() == 3
 
 
+def test_cells_hold_every_wide_table(log):
+    known = R.reduce_runs(log)
+    assert R.reduce_runs(known) is known
+    cells = {(r.label, r.pct): r for r in R.run_cells(known, overhead=30.0).collect()}
+    assert len(cells) == 5
+    assert cells["3.3 / Spark_SQL", 100].saves == "yes" and cells["3.3 / Spark_SQL", 10].saves == "no"
+    assert cells["3.3 / Spark_Core", 100].saves == "-" and cells["3.3 / Spark_Core", 100].a is None
+    wide = {r.label: (r.p10, r.p100) for r in R.speedup_matrix(known).collect()}
+    assert wide["3.3 / Spark_SQL"] == tuple(cells["3.3 / Spark_SQL", p].speedup for p in (10, 100))
+    assert [r.asDict() for r in R.run_pivot(log).collect()] == [
+        r.asDict() for r in R.run_pivot(known).collect()
+    ]
+
+
+def test_log_of_many_analyses(spark, log):
+    """1,001 analyses: nothing is refused, and the rows agree with the wide table."""
+    many = spark.range(1001).selectExpr(
+        "lpad(string(id), 4, '0') as analysis", "'Hive' as tech", "100 as pct",
+        "explode(array('Locale', 'Cluster')) as env", "double(id + 1) as seconds", "1 as repeat",
+    )
+    many = R.reduce_runs(many)
+    row = R.run_pivot(many).first()
+    assert len(row) == 1 + 3 * 1001 and row["A1000_locale"] == row["A1000_cluster"] == 1001.0
+    cells = R.run_cells(many)
+    assert cells.count() == 1001 and cells.where("a = b and speedup = 1").count() == 1001
+    assert R.break_even(many).where("p100 = 'no'").count() == 1001
+
+
 def test_summary_and_extremes(log):
     rows = R.run_summary(log).collect()
     assert [(r.analysis, r.tech) for r in rows][0] == ("3.3", "Spark_SQL")
