@@ -620,6 +620,43 @@ RUN_SUMMARY = (
     f"summary as (select analysis, tech, a, b, {SPEEDUP} as speedup from means)"
 )
 
+ORDERS_CHANGED = """
+version_a as (select * from orders where o_orderkey % 1777 <> 3),
+version_b as (
+  select * replace (
+    case when o_orderkey % 997 = 7 then 'X' else o_orderstatus end as o_orderstatus,
+    case when o_orderkey % 1499 <> 11 then o_orderpriority end as o_orderpriority)
+  from orders where o_orderkey % 1999 <> 5
+)"""
+
+
+def _differing_orders() -> str:
+    rows = " union all ".join(
+        f"select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, cast(1 as bigint) as occurrence, "
+        f"'{name}' as column_name, {left} as value_a, {right} as value_b "
+        f"from version_a a full outer join version_b b on a.o_orderkey = b.o_orderkey where {where}"
+        for name, left, right, where in [
+            (
+                "(row)",
+                "case when a.o_orderkey is null then '0' else '1' end",
+                "case when b.o_orderkey is null then '0' else '1' end",
+                "a.o_orderkey is null or b.o_orderkey is null",
+            )
+        ]
+        + [
+            (
+                c,
+                f"a.{c}",
+                f"b.{c}",
+                f"a.o_orderkey is not null and b.o_orderkey is not null "
+                f"and a.{c} is distinct from b.{c}",
+            )
+            for c in ("o_orderstatus", "o_orderpriority")
+        ]
+    )
+    return f"with {ORDERS_CHANGED} {rows}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "flights_view": f"with {FLIGHTS} select * from flights",
     "raw_view": f"with {RAW} select * from raw",
@@ -766,6 +803,13 @@ select op_unique_carrier, origin, month, dep_delay, cast(sum(in_a) as bigint) as
        cast(sum(in_b) as bigint) as rows_b
 from cells group by op_unique_carrier, origin, month, dep_delay
 having sum(in_a) <> sum(in_b)""",
+    "differing_orders": _differing_orders(),
+    "set_difference_orders": f"""with {ORDERS_CHANGED}
+select *, cast(1 as bigint) as rows_a, cast(0 as bigint) as rows_b
+from (select * from version_a except select * from version_b)
+union all
+select *, cast(0 as bigint), cast(1 as bigint)
+from (select * from version_b except select * from version_a)""",
     "route_month_scales": _at_scales(lambda flights: f"with {flights} {_route_month('flights')}"),
     "delay_band_scales": _at_scales(lambda flights: _delay_bands(flights=flights)),
     "carrier_deviation_scales": _at_scales(

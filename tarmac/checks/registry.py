@@ -284,6 +284,24 @@ def multiset_difference(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.set_difference(flights, inside, multiplicity=True)
 
 
+def _orders_changed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All orders, of which each side lacks some and the second has changed others."""
+    orders, key = load(spark, sf, "orders"), F.col("o_orderkey")
+    status = F.when(key % 997 == 7, "X").otherwise(F.col("o_orderstatus"))
+    priority = F.when(key % 1499 != 11, F.col("o_orderpriority"))
+    changed = orders.withColumns({"o_orderstatus": status, "o_orderpriority": priority})
+    return orders.where(key % 1777 != 3), changed.where(key % 1999 != 5)
+
+
+def differing_orders(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _orders_changed(spark, sf)
+    return reconcile.paired_cells(a, b, ["o_orderkey"], checksums=True)
+
+
+def set_difference_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return reconcile.set_difference(*_orders_changed(spark, sf), checksums=True)
+
+
 QUERIES: dict[str, Query] = {
     # Views
     "flights_view": flights_view,
@@ -392,6 +410,8 @@ QUERIES: dict[str, Query] = {
     "reconcile_repeated": reconcile_repeated,
     "differing_repeated": differing_repeated,
     "differing_paired": differing_paired,
+    "differing_orders": differing_orders,
+    "set_difference_orders": set_difference_orders,
     "side_by_side": side_by_side,
     "set_difference": set_difference,
     "multiset_difference": multiset_difference,

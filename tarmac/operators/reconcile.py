@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions import nan_to_null
+from tarmac.operators.checksums import narrowed
 from tarmac.session import stored
 
 TOLERANCE = 0.01
@@ -232,14 +233,20 @@ def paired_cells(
     b: DataFrame,
     keys: Sequence[str],
     tolerance: float = TOLERANCE,
+    checksums: bool = False,
 ) -> DataFrame:
     """The differing cells of rows with one key paired one by one.
 
     The rows of a key are numbered on each side in the order of their other columns, and the
     nth rows of both sides are compared. One row per differing cell: key, ``occurrence``,
-    column and both values as text; a row without a partner gets an entry ``(row)``.
+    column and both values as text; a row without a partner gets an entry ``(row)``. With ``checksums`` only rows in parts of the
+    keys that differ are shuffled; the result is the same.
     """
-    stacked = _stacked(a, b).select(*[F.col(f"`{c}`") for c in a.columns], "_side")
+    both = _stacked(a, b)
+    if checksums:
+        less = narrowed(a, b, keys)
+        both = _stacked(less.a, less.b)
+    stacked = both.select(*[F.col(f"`{c}`") for c in a.columns], "_side")
     numbered = occurrences(stacked, [*keys, "_side"])
     sides = [numbered.where(F.col("_side") == side).drop("_side") for side in (0, 1)]
     return differing_cells(*sides, [*keys, "occurrence"], tolerance)
@@ -261,13 +268,19 @@ def side_by_side(
     return pairs.orderBy(*order).limit(n).select(*[F.col(f"`{k}`") for k in keys], *present, *columns)
 
 
-def set_difference(a: DataFrame, b: DataFrame, multiplicity: bool = False) -> DataFrame:
+def set_difference(
+    a: DataFrame, b: DataFrame, multiplicity: bool = False, checksums: bool = False
+) -> DataFrame:
     """Rows found in one result only, both directions from one shuffle.
 
     Compares sets of distinct rows, or with ``multiplicity`` also how often a row occurs;
-    ``rows_a`` and ``rows_b`` give the counts.
+    ``rows_a`` and ``rows_b`` give the counts. With ``checksums`` only rows in parts that
+    differ are shuffled; the result is the same.
     """
     columns = a.columns
+    if checksums:
+        less = narrowed(a, b, columns)
+        a, b = less.a, less.b
     tagged = a.withColumn("_a", F.lit(1)).unionByName(b.withColumn("_a", F.lit(0)))
     counted = tagged.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(
         F.sum("_a").alias("rows_a"), F.count_if(F.col("_a") == 0).alias("rows_b")

@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import pytest
 
+from tarmac.operators import checksums
 from tarmac.operators import reconcile as R
 
 SCHEMA = "k string, m int, x double, t string, d decimal(10,2)"
@@ -142,3 +143,40 @@ def test_set_difference(spark):
         (2, 1, 0),
         (3, 0, 1),
     }
+
+
+def test_checksums_leave_only_parts_that_differ(spark, monkeypatch):
+    """A third of the rows has one key, rows repeat, and NULL moves between columns."""
+    a = spark.range(9000).selectExpr(
+        "if(id % 3 = 0, 1, id % 4000) as `k.1`", "if(id % 2 = 0, id % 5, null) as x",
+        "if(id % 2 = 0, null, id % 5) as y", "id % 7 as z",
+    ).repartition(3)
+    keys = ["k.1"]
+    same = checksums.narrowed(a, a.repartition(7), keys)
+    assert (same.parts, same.equal_rows, same.a.count(), same.b.count()) == (0, 18000, 0, 0)
+    empty = a.limit(0)
+    assert checksums.narrowed(empty, empty, keys).equal_rows == 0
+
+    swapped = a.selectExpr("`k.1`", "if(`k.1` = 7, y, x) as x", "if(`k.1` = 7, x, y) as y", "z")
+    # One row of the hot key more, one key's NULLs in another column.
+    b = swapped.unionByName(a.where("`k.1` = 1 and z = 2").limit(1))
+    less = checksums.narrowed(a, b, keys)
+    assert less.parts == 2 and less.equal_rows + less.a.count() + less.b.count() == 18001
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    cells = rows(R.paired_cells(a, b, keys))
+    assert cells and rows(R.paired_cells(a, b, keys, checksums=True)) == cells
+    difference = rows(R.set_difference(a, b, multiplicity=True))
+    assert difference
+    assert rows(R.set_difference(a, b, multiplicity=True, checksums=True)) == difference
+    # Further levels, and more differing parts than one filter lists.
+    monkeypatch.setattr(checksums, "MANY_ROWS", 0)
+    assert rows(R.paired_cells(a, b, keys, checksums=True)) == cells
+    other = a.selectExpr("`k.1`", "x", "y", "z + 1 as z")
+    assert checksums.narrowed(a, other, keys).parts > 256
+    whole = rows(R.set_difference(a, other))
+    assert rows(R.set_difference(a, other, checksums=True)) == whole
+    with pytest.raises(ValueError):
+        R.paired_cells(a, b.drop("z"), keys, checksums=True)
