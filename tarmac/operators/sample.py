@@ -167,15 +167,20 @@ def shuffled(df: DataFrame, key: Sequence[str] | None = None, seed: int = SAMPLE
     counted and numbered, and split by number; they are found by counting hash prefixes.
     """
     of_row = row_hash(df.columns, seed)
-    order = [row_hash(key, seed), of_row] if key else [of_row]
+    # Columns of bytes before the sort, which would hash both rows anew in each comparison; their
+    # order is that of the digits.
+    hashes = {_free_name(df, "_row"): F.unhex(of_row)}
+    if key:
+        hashes = {_free_name(df, "_key"): F.unhex(row_hash(key, seed))} | hashes
     copy = _free_name(df, "_copy")
     heavy = _heavy_hashes(df.select(of_row.alias("h")))
-    rows = df.withColumn(copy, F.lit(0).cast("bigint"))
+    others = df.where(~of_row.isin(heavy)) if heavy else df
+    rows = others.withColumns(hashes).withColumn(copy, F.lit(0).cast("bigint"))
     if heavy:
         columns = [F.col(f"`{c}`") for c in df.columns]
         counted = df.where(of_row.isin(heavy)).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-        rows = rows.where(~of_row.isin(heavy)).unionByName(_repeat(counted, copy))
-    return rows.orderBy(*order, copy).drop(copy)
+        rows = rows.unionByName(_repeat(counted.withColumns(hashes), copy))
+    return rows.orderBy(*hashes, copy).drop(*hashes, copy)
 
 
 def _free_name(df: DataFrame, name: str) -> str:

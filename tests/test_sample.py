@@ -229,6 +229,25 @@ def test_a_hot_hash_lies_in_several_tasks(spark, split, key):
     assert sum(tasks.values()) == 2500 and len(tasks) >= 3 and max(tasks.values()) < 1500
 
 
+@pytest.mark.parametrize("key", [["_key"], None])
+@pytest.mark.parametrize("copies", [1, 300])
+def test_the_sort_compares_stored_hashes(spark, split, key, copies):
+    """No hash is computed in a comparison, and own columns of the hashes' names are kept."""
+    df = spark.range(400).selectExpr("id % 5 as _key", f"if(id < {copies}, 0, id) as _row")
+    mixed = sample.shuffled(df, key=key)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert sorts and not any("md5" in line for line in sorts)
+
+    def order(row):
+        of_key = [hashlib.md5(f"42|{row[0]}".encode()).hexdigest()] if key else []
+        return *of_key, hashlib.md5(f"42|{row[0]}|{row[1]}".encode()).hexdigest()
+
+    rows = [(i % 5, 0 if i < copies else i) for i in range(400)]
+    placed = sorted(sample.numbered(mixed).collect(), key=lambda r: r.place)
+    assert [(r._key, r._row) for r in placed] == sorted(rows, key=order)
+
+
 def test_the_whole_shuffle_is_registered(spark, small):
     from tarmac.checks.registry import QUERIES
 
